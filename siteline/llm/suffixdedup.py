@@ -183,10 +183,9 @@ def _compare(suffixes: DataFrame, length: int) -> DataFrame:
             cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
             b_col = pa.array(cols[2].astype(np.int32), mask=cols[2] < 0)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1].astype(np.int32)), b_col, pa.array(cols[3], pa.int64())], names=["doc_id", "a", "b", "hash"])
-            tail = t.slice(max(0, len(t) - 2))
-            keep = np.zeros(tail.num_rows, dtype=bool)
-            keep[-1] = True
-            held = tail.set_column(tail.schema.get_field_index("fresh"), "fresh", pa.array(keep)).combine_chunks().to_batches()[0]
+            tail = t.slice(max(0, len(t) - 2)).combine_chunks().to_batches()[0]
+            keep = pa.array([False] * (tail.num_rows - 1) + [True])
+            held = pa.RecordBatch.from_arrays([keep if f.name == "fresh" else tail.column(i) for i, f in enumerate(b.schema)], schema=b.schema)
 
     spread = F.when(F.col("n") <= TOGETHER, 0).otherwise(F.pmod(F.xxhash64("doc_id", "at"), F.ceil(F.col("n") / TOGETHER))).cast("int")
     rows = suffixes.withColumn("salt", spread).withColumn("fresh", F.lit(True))
