@@ -78,7 +78,7 @@ def threshold_top_k(ids: np.ndarray, m: np.ndarray, lists: np.ndarray, query: in
         met |= now
         new = new[ids[new] != query] if own else new
         best, score = np.concatenate((best, new)), np.concatenate((score, _scores(m[new], q)))
-        order = np.lexsort((best, -score))[:k]
+        order = np.lexsort((best, ~score))[:k]  # ~ keeps within the range where - would not
         best, score = best[order], score[order]
         if depth == n:
             break
