@@ -1,6 +1,6 @@
 """All queries of the location scores, by name."""
 
-from siteline.plans import q_functions, q_nearby, q_noise, q_scores  # noqa: F401
+from siteline.plans import q_etl, q_functions, q_nearby, q_noise, q_scores  # noqa: F401
 from siteline.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
