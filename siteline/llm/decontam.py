@@ -240,7 +240,9 @@ def without_spans(text: Column, spans: Column) -> Column:
     words, gaps = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word, -1)
     keep = lambda i: ~F.exists(spans, lambda s: (s["a"] <= i) & (i < s["b"]))
     inner = lambda i: F.exists(spans, lambda s: (s["a"] < i) & (i < s["b"]))
-    parts = F.transform(gaps, lambda g, i: F.concat(F.when(inner(i), F.lit("")).otherwise(g), F.when(i >= F.size(words), F.lit("")).when(keep(i), F.get(words, i)).when(F.exists(spans, lambda s: s["a"] == i), F.lit("\n")).otherwise(F.lit(""))))
+    both = F.arrays_zip(gaps.alias("g"), words.alias("w"))  # evaluated once; in the lambda they would be for each word
+    word_at = lambda w, i: F.when(w.isNull(), F.lit("")).when(keep(i), w).when(F.exists(spans, lambda s: s["a"] == i), F.lit("\n")).otherwise(F.lit(""))
+    parts = F.transform(both, lambda x, i: F.concat(F.when(inner(i), F.lit("")).otherwise(x["g"]), word_at(x["w"], i)))
     return F.array_join(parts, "")
 
 
