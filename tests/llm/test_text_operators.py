@@ -59,9 +59,14 @@ def test_near_pairs_exact_and_dense(spark):
     want = {(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= 4}
     got = [(r.a, r.b) for r in simhash.near_pairs(points).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    for most in (6, 7):
+        want = {(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= most}
+        got = [(r.a, r.b) for r in simhash.near_pairs(points, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     for most in (3, 4):
         want = {(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= most}
         dense = [(r.a, r.b) for r in simhash.near_pairs(points, most, cell_limit=5).collect()]
+        assert len(dense) != len(want)
         assert components(fps, dense) == components(fps, want)
 
 
