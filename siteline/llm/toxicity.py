@@ -136,8 +136,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 9000, max_entries:
     better = stats.where((a >= 4) & (b / neg <= 0.1 * a / pos)).withColumn("gain", gain).where("gain > 30")
     top = better.orderBy(F.desc("a"), F.desc(F.length("entry")), "entry").limit(10 * max_entries).collect()
     weights: dict[str, float] = {}
+    covered: set[tuple[str, int]] = set()  # beginnings of entries, with the entry's documents
     for r in top:
-        if len(weights) < max_entries and not any(r.entry[:n] in weights for n in range(4, len(r.entry) + 1)):
+        if len(weights) < max_entries and (r.entry, r.a) not in covered and not any(r.entry[:n] in weights for n in range(4, len(r.entry) + 1)):
+            covered |= {(r.entry[:n], r.a) for n in range(4, len(r.entry))}
             weights[r.entry] = math.log((r.a + 0.5) / (pos + 1)) - math.log((r.b + 0.5) / (neg + 1))
     lexicon = Lexicon(weights)
     lexicon.exceptions = _exceptions(rows, lexicon)
