@@ -26,6 +26,7 @@ from siteline.llm.common import cut, partitions
 K = 10
 #: Suffixes with the same first words are sorted together up to this number.
 TOGETHER = 2000
+MANY = 1000
 _BASE = 0x9E3779B97F4A7C15
 _MOD = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -215,8 +216,12 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length must be from {K + 1} to 250")
     sparse = cut(_sparse(docs.where("doc_id is not null"), length))
     flat = sparse.select("doc_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("at"))))
-    twice = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = flat.join(twice, "key").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("wants"))
+    twice = cut(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    # keys that hold more than 1/MANY of all suffixes are fewer than MANY: they are joined without a shuffle
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(twice.where(F.col("n") * MANY > F.lit(total)))
+    rest = flat.join(hot, "key", "left_anti").join(twice, "key")
+    wanted = flat.join(hot, "key").unionByName(rest).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("wants"))
     found = cut(_compare(_suffixes(docs, wanted, length), length))
     open_ = found.where("b is null").select("doc_id", "a", "hash")
     again = open_.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
