@@ -90,7 +90,7 @@ def _cells(points: DataFrame, max_bits: int) -> DataFrame:
     masks = _choices(max_bits)
     u = embed(F.col("fp"))
     keys = F.array(*[F.struct(F.lit(i).alias("cell"), u.bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
-    return points.select("fp", F.inline(keys))
+    return points.select(*points.columns, F.inline(keys))
 
 
 def _first_common(x: Column, max_bits: int) -> Column:
@@ -125,6 +125,8 @@ def _meeting(points: DataFrame, max_bits: int) -> DataFrame:
 def near_pairs(points: DataFrame, max_bits: int = 4, cell_limit: int = 1000) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that join all that differ in at most ``max_bits`` bits.
 
+    With a column ``grp``, pairs within a group are left out of those that cells return: they are linked already.
+
     Pairs in grid cells of up to ``cell_limit`` points are all returned; for fuller cells a set of links with the same
     components is.
     """
@@ -134,13 +136,15 @@ def near_pairs(points: DataFrame, max_bits: int = 4, cell_limit: int = 1000) ->
     cell_limit = max(cell_limit, 8 * points.count() >> segments) if cell_limit else 0  # chance fills a cell to n / 2^segments at most
     cells = _cells(points, max_bits).withColumn("n", F.count("*").over(Window.partitionBy("cell", "key")))
     few = cells.where((F.col("n") > 1) & (F.col("n") <= cell_limit))
-    a, b = few.select("cell", "key", F.col("fp").alias("a")), few.select("cell", "key", F.col("fp").alias("b"))
+    grouped = "grp" in points.columns
+    a, b = (few.select("cell", "key", F.col("fp").alias(x), *([F.col("grp").alias(f"grp_{x}")] if grouped else [])) for x in "ab")
     ua, ub = embed(F.col("a")), embed(F.col("b"))
     apart = ua.bitwiseXOR(ub)
     near = (
         (a["cell"] == b["cell"])
         & (a["key"] == b["key"])
         & (F.col("a") < F.col("b"))
+        & (F.col("grp_a") != F.col("grp_b") if grouped else F.lit(True))
         & (F.bit_count(apart) <= max_bits)
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
         & (a["cell"] == _first_common(apart, max_bits))
@@ -152,7 +156,7 @@ def near_pairs(points: DataFrame, max_bits: int = 4, cell_limit: int = 1000) ->
 
 def _edges(points: DataFrame, max_bits: int, cell_limit: int) -> tuple[DataFrame, DataFrame]:
     """``points`` (fp, rep) and the links (u, v) between representatives of near fingerprints."""
-    links = cut(near_pairs(points.select("fp"), max_bits, cell_limit))
+    links = cut(near_pairs(points.drop("rep"), max_bits, cell_limit))
     rep = lambda side: points.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))
     return points, links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
 
@@ -179,12 +183,14 @@ def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6, seeds: tuple[in
     """
     fps = fingerprints(docs.where("doc_id is not null"), words, seeds)
     texts = cut(fps.groupBy("fps").agg(F.min("doc_id").alias("rep")))
-    edges = []
-    for k in range(len(seeds)):
-        points, near = _edges(cut(texts.groupBy(F.get("fps", F.lit(k)).alias("fp")).agg(F.min("rep").alias("first"))).select("fp", F.col("first").alias("rep")), max_bits, 1000)
-        same = texts.select(F.get("fps", F.lit(k)).alias("fp"), F.col("rep").alias("v")).join(points, "fp").select(F.col("rep").alias("u"), "v")
-        edges += [near, same.where("u <> v")]
-    found = connected_components(union_all(edges))
+    edges, grouped = [], texts.withColumn("grp", F.col("rep"))
+    for k in range(len(seeds)):  # a seed looks only for links between the groups of those before it
+        at_k = grouped.select(F.get("fps", F.lit(k)).alias("fp"), "rep", "grp")
+        points, near = _edges(cut(at_k.groupBy("fp").agg(F.min("rep").alias("rep"), F.min("grp").alias("grp"))), max_bits, 1000)
+        same = at_k.select("fp", F.col("rep").alias("v")).join(points.select("fp", F.col("rep").alias("u")), "fp").select("u", "v")
+        edges = [cut(union_all([*edges, near, same.where("u <> v")]))]
+        found = connected_components(edges[0])
+        grouped = texts.join(found, F.col("rep") == F.col("node"), "left").select("fps", "rep", F.coalesce("component", "rep").alias("grp"))
     kept = texts.join(found.where("node <> component"), F.col("rep") == F.col("node"), "left_anti").select(F.col("rep").alias("_kept"))
     one = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     return one.unionByName(docs.where("doc_id is null"))
