@@ -122,22 +122,27 @@ def _meeting(points: DataFrame, max_bits: int) -> DataFrame:
     return pair.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
 
 
-def near_pairs(points: DataFrame, max_bits: int = 4, cell_limit: int = 1000) -> DataFrame:
+def near_pairs(points: DataFrame, max_bits: int = 4, cell_limit: int = 1000, spanning: bool = False) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that join all that differ in at most ``max_bits`` bits.
 
     With a column ``grp``, pairs within a group are left out of those that cells return: they are linked already.
 
     Pairs in grid cells of up to ``cell_limit`` points are all returned; for fuller cells a set of links with the same
     components is.
+
+    With ``spanning``, a cell leaves out pairs of points that are both near its least point: their links to that point
+    join them. A link to it that another cell leaves out in turn goes by a still smaller point, so components stay.
     """
     if not 1 <= max_bits <= 12:
         raise ValueError("max_bits must be from 1 to 12")
     segments = min(m.bit_count() for m in _choices(max_bits)) // 2
     cell_limit = max(cell_limit, 8 * points.count() >> segments) if cell_limit else 0  # chance fills a cell to n / 2^segments at most
-    cells = _cells(points, max_bits).withColumn("n", F.count("*").over(Window.partitionBy("cell", "key")))
+    cell = Window.partitionBy("cell", "key")
+    cells = _cells(points, max_bits).withColumn("n", F.count("*").over(cell)).withColumn("hub", F.min("fp").over(cell))
+    at_hub = (F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= max_bits)
     few = cells.where((F.col("n") > 1) & (F.col("n") <= cell_limit))
     grouped = "grp" in points.columns
-    a, b = (few.select("cell", "key", F.col("fp").alias(x), *([F.col("grp").alias(f"grp_{x}")] if grouped else [])) for x in "ab")
+    a, b = (few.select("cell", "key", F.col("fp").alias(x), at_hub.alias(f"hub_{x}"), *([F.col("grp").alias(f"grp_{x}")] if grouped else [])) for x in "ab")
     ua, ub = embed(F.col("a")), embed(F.col("b"))
     apart = ua.bitwiseXOR(ub)
     near = (
@@ -145,6 +150,7 @@ def near_pairs(points: DataFrame, max_bits: int = 4, cell_limit: int = 1000) ->
         & (a["key"] == b["key"])
         & (F.col("a") < F.col("b"))
         & (F.col("grp_a") != F.col("grp_b") if grouped else F.lit(True))
+        & (~(F.col("hub_a") & F.col("hub_b")) if spanning else F.lit(True))
         & (F.bit_count(apart) <= max_bits)
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
         & (a["cell"] == _first_common(apart, max_bits))
@@ -156,7 +162,7 @@ def near_pairs(points: DataFrame, max_bits: int = 4, cell_limit: int = 1000) ->
 
 def _edges(points: DataFrame, max_bits: int, cell_limit: int) -> tuple[DataFrame, DataFrame]:
     """``points`` (fp, rep) and the links (u, v) between representatives of near fingerprints."""
-    links = cut(near_pairs(points.drop("rep"), max_bits, cell_limit))
+    links = cut(near_pairs(points.drop("rep"), max_bits, cell_limit, spanning=True))
     rep = lambda side: points.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))
     return points, links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
 

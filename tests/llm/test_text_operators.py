@@ -63,6 +63,8 @@ def test_near_pairs_exact_and_dense(spark):
         want = {(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= most}
         got = [(r.a, r.b) for r in simhash.near_pairs(points, most).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+        span = [(r.a, r.b) for r in simhash.near_pairs(points, most, spanning=True).collect()]
+        assert set(span) < want and len(span) < len(want) / 2 and components(fps, span) == components(fps, want)
     for most in (3, 4):
         want = {(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= most}
         dense = [(r.a, r.b) for r in simhash.near_pairs(points, most, cell_limit=5).collect()]
