@@ -5,7 +5,8 @@ start in a stretch of ``length - K + 1`` words. Two copies of a passage of ``len
 stretch keeps one. Suffixes whose first words come up more than once are dealt out by these words and sorted by what
 follows; neighbours are compared and their matches extended right and left. Suffixes with very frequent first words are
 dealt out further by a hash, so a neighbour may be missed there; and a third text can hide a match of two others. So
-stretches that no neighbour settled are hashed and counted over the whole corpus. Together this marks exactly the words
+stretches that no neighbour settled are hashed and counted among all stretches with the same first words, settled ones
+included: in the task where these are together, else over the whole corpus. Together this marks exactly the words
 that lie in a stretch of ``length`` words that occurs at least twice.
 
 Words are compared by 32 bits of a 64-bit hash each, over ``length`` words, after equal 64-bit hashes of the first words.
@@ -57,13 +58,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """A mixed 64-bit hash of each k words in a row."""
-    n = len(h)
+    """A mixed 64-bit hash of each k words in a row, along the last axis."""
+    n = h.shape[-1]
     if n < k:
         return np.empty(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, n), dtype=np.uint64)))
-        x = (sums[k:] - sums[:-k]) * _powers(_INVERSE, n - k + 1)
+        sums = np.concatenate((np.zeros((*h.shape[:-1], 1), np.uint64), np.cumsum(h * _powers(_BASE, n), axis=-1, dtype=np.uint64)), axis=-1)
+        x = (sums[..., k:] - sums[..., :-k]) * _powers(_INVERSE, n - k + 1)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(29))
 
@@ -135,7 +136,8 @@ _MATCH = "doc_id long, a int, b int, hash long"
 
 
 def _compare(suffixes: DataFrame, length: int) -> DataFrame:
-    """Spans (doc_id, a, b) that neighbours settle, and (doc_id, a, null, hash) of stretches that they don't."""
+    """Spans (doc_id, a, b) of repeats within a group of suffixes; of keys over more groups, (doc_id, a, null, hash) of the
+    stretches without a copy in their group and (doc_id, null, null, hash) once for each stretch with one."""
     reach = length - K
 
     def same(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -145,53 +147,66 @@ def _compare(suffixes: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b, final in _with_end(batches):
-            t = pa.Table.from_batches([x for x in (held, b) if x is not None])
-            if not t.num_rows:
+            t = pa.concat_tables([x for x in (held, pa.Table.from_batches([b])) if x is not None])
+            key, salt = t.column("key").to_numpy(), t.column("salt").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))))
+            # the last group waits for the rest of its rows
+            end = len(t) if final else int(starts[-1])
+            held, t = t.slice(end).combine_chunks(), t.slice(0, end)
+            if not end:
                 continue
-            # the last row waits for its successor; the one before it goes along as its predecessor
-            key, salt, doc, at, before, after, n = (t.column(c).to_numpy() for c in ("key", "salt", "doc_id", "at", "before", "after", "n"))
-            fresh = t.column("fresh").to_numpy(zero_copy_only=False)
-            raw = np.frombuffer(b"".join(t.column("context").to_pylist()), dtype=np.uint8).reshape(len(t), 2 + 8 * reach)
+            key, doc, at, before, after, n = (t.column(c).to_numpy() for c in ("key", "doc_id", "at", "before", "after", "n"))
+            starts = starts[starts < end]
+            together = np.ones(end, dtype=bool)
+            together[starts] = False
+            raw = np.frombuffer(b"".join(t.column("context").to_pylist()), dtype=np.uint8).reshape(end, 2 + 8 * reach)
             words = raw[:, 2:].copy().view(">u4")
             left_n, right_n = raw[:, 0].astype(np.int64), raw[:, 1].astype(np.int64)
-            together = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
             r = K + same(words[1:, :reach], words[:-1, :reach], np.minimum(right_n[1:], right_n[:-1]))
             lft = same(words[1:, reach:], words[:-1, reach:], np.minimum(left_n[1:], left_n[:-1]))
-            r, lft = np.where(together, r, 0), np.where(together, lft, 0)
+            r, lft = np.where(together[1:], r, 0), np.where(together[1:], lft, 0)
             zero = np.zeros(1, dtype=np.int64)
             spans = [(np.concatenate((zero, r)), np.concatenate((zero, lft))), (np.concatenate((r, zero)), np.concatenate((lft, zero)))]
-            todo = fresh.copy()
-            if not final:
-                todo[-1] = False
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for rr, ll in spans:
-                ok = todo & (rr + ll >= length)
-                for c, v in zip(out, (doc[ok], at[ok] - ll[ok], at[ok] + rr[ok], np.zeros(ok.sum(), np.int64)), strict=True):
+
+            def put(*values: np.ndarray) -> None:
+                for c, v in zip(out, values, strict=True):
                     c.append(v)
-            longest = np.maximum(spans[0][0], spans[1][0])
-            for i in np.flatnonzero(todo & (n > 2)):
-                o = np.arange(after[i], before[i] + 1)  # how far before the suffix a stretch starts
-                open_ = ~((o <= spans[0][1][i]) & (length - o <= spans[0][0][i])) & ~((o <= spans[1][1][i]) & (length - o <= spans[1][0][i]))
-                if n[i] <= TOGETHER:
-                    open_ &= length - o <= longest[i]
-                o = o[open_]
-                if len(o):
-                    line = np.concatenate((words[i, reach : reach + left_n[i]][::-1].astype(np.uint64), np.full(1, key[i]).view(np.uint64), words[i, : right_n[i]].astype(np.uint64)))
-                    # the K first words stand as one symbol, so a stretch is length - K + 1 symbols
-                    grams = rolling(line, length - K + 1)[left_n[i] - o]
-                    for c, v in zip(out, (np.full(len(o), doc[i]), at[i] - o, np.full(len(o), -1), _signed(grams)), strict=True):
-                        c.append(v)
-            cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-            b_col = pa.array(cols[2].astype(np.int32), mask=cols[2] < 0)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1].astype(np.int32)), b_col, pa.array(cols[3], pa.int64())], names=["doc_id", "a", "b", "hash"])
-            tail = t.slice(max(0, len(t) - 2)).combine_chunks().to_batches()[0]
-            keep = pa.array([False] * (tail.num_rows - 1) + [True])
-            held = pa.RecordBatch.from_arrays([keep if f.name == "fresh" else tail.column(i) for i, f in enumerate(b.schema)], schema=b.schema)
+
+            for rr, ll in spans:
+                ok = rr + ll >= length
+                put(doc[ok], at[ok] - ll[ok], at[ok] + rr[ok], np.zeros(ok.sum(), np.int64))
+            o = np.arange(reach + 1)[None, :]  # how far before the suffix a stretch starts
+            fits = (after[:, None] <= o) & (o <= before[:, None])
+            open_ = fits & (n > 2)[:, None]
+            for rr, ll in spans:
+                open_ &= ~((o <= ll[:, None]) & (length - o <= rr[:, None]))
+            spread = n > TOGETHER
+            open_ &= spread[:, None] | (length - o <= np.maximum(spans[0][0], spans[1][0])[:, None])
+            # copies of an open stretch may be settled ones, so all stretches of its group count; of spread keys always
+            rows = np.flatnonzero(spread | np.repeat(np.logical_or.reduceat(open_.any(axis=1), starts), np.diff(np.append(starts, end))))
+            if len(rows):
+                line = np.concatenate((words[rows, reach:][:, ::-1].astype(np.uint64), np.ascontiguousarray(key[rows]).view(np.uint64)[:, None], words[rows, :reach].astype(np.uint64)), axis=1)
+                # the K first words stand as one symbol, so a stretch is length - K + 1 symbols
+                grams = _signed(rolling(line, reach + 1)[:, ::-1])
+                i, k = np.nonzero(fits[rows])
+                hashes, first, of, times = np.unique(grams[i, k], return_index=True, return_inverse=True, return_counts=True)
+                is_open, again = open_[rows][i, k], times[of] > 1
+                i, k, hashed = rows[i], k, grams[i, k]
+                ok = is_open & again
+                put(doc[i[ok]], at[i[ok]] - k[ok], at[i[ok]] - k[ok] + length, np.zeros(ok.sum(), np.int64))
+                ok = is_open & ~again & spread[i]
+                put(doc[i[ok]], at[i[ok]] - k[ok], np.full(ok.sum(), -1), hashed[ok])
+                ok = first[(times > 1) & spread[i[first]]]
+                put(doc[i[ok]], np.full(len(ok), -1), np.full(len(ok), -1), hashed[ok])
+            cols = [np.concatenate(c) for c in out]
+            a_col, b_col = (pa.array(c.astype(np.int32), mask=c < 0) for c in cols[1:3])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), a_col, b_col, pa.array(cols[3], pa.int64())], names=["doc_id", "a", "b", "hash"])
 
     spread = F.when(F.col("n") <= TOGETHER, 0).otherwise(F.pmod(F.xxhash64("doc_id", "at"), F.ceil(F.col("n") / TOGETHER))).cast("int")
-    rows = suffixes.withColumn("salt", spread).withColumn("fresh", F.lit(True))
+    rows = suffixes.withColumn("salt", spread)
     rows = rows.repartition(partitions(rows), "key", "salt").sortWithinPartitions("key", "salt", "context", "doc_id", "at")
-    return rows.select("key", "salt", "doc_id", "at", "before", "after", "n", "context", "fresh").mapInArrow(run, _MATCH)
+    return rows.select("key", "salt", "doc_id", "at", "before", "after", "n", "context").mapInArrow(run, _MATCH)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -225,7 +240,7 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     found = cut(_compare(_suffixes(docs, wanted, length), length))
     open_ = found.where("b is null").select("doc_id", "a", "hash")
     again = open_.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
-    spans = found.where("b is not null").select("doc_id", "a", "b").unionByName(open_.join(again, "hash").select("doc_id", "a", (F.col("a") + length).cast("int").alias("b")))
+    spans = found.where("b is not null").select("doc_id", "a", "b").unionByName(open_.where("a is not null").join(again, "hash").select("doc_id", "a", (F.col("a") + length).cast("int").alias("b")))
     empty = F.expr("cast(array() as array<struct<a:int,b:int>>)")
     last = lambda m: F.element_at(m, -1)
     grow = lambda m, s: F.when((F.size(m) > 0) & (last(m)["b"] >= s["a"]), F.concat(F.slice(m, 1, F.size(m) - 1), F.array(F.struct(last(m)["a"].alias("a"), F.greatest(last(m)["b"], s["b"]).alias("b"))))).otherwise(F.concat(m, F.array(s)))

@@ -235,6 +235,49 @@ def test_repeats_against_windows(spark):
     assert got[98].spans == [] and got[99].spans == []
 
 
+def repeats_as_windows(spark, rows):
+    """Compares with a count of all windows, for keys in one group and over several."""
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    count = Counter(tuple(w[a : a + 50]) for w in rows for a in range(len(w) - 49))
+    for together in (2000, 3):
+        before, suffixdedup.TOGETHER = suffixdedup.TOGETHER, together
+        try:
+            got = {r.doc_id: {k for s in r.spans for k in range(s.a, s.b)} for r in suffixdedup.repeats(docs).collect()}
+        finally:
+            suffixdedup.TOGETHER = before
+        for i, w in enumerate(rows):
+            assert got[i] == {k for a in range(len(w) - 49) if count[tuple(w[a : a + 50])] > 1 for k in range(a, a + 50)}, (together, i)
+
+
+def passage_with_key(fresh, least, most):
+    """Words before, the first words that a suffix is dealt out by, and words after, of a passage of 50 words."""
+    while True:
+        w = fresh(50)
+        p = int(suffixdedup.minimisers(suffixdedup.word_hashes(" ".join(w).encode()), 50)[0][0])
+        if least <= p <= most:
+            return w[:p], w[p : p + 10], w[p + 10 :]
+
+
+def keeps(row, gram):
+    """Whether a text keeps the suffix that starts with gram."""
+    at = suffixdedup.minimisers(suffixdedup.word_hashes(" ".join(row).encode()), 50)[0]
+    return any(row[p : p + 10] == gram for p in at.tolist())
+
+
+def test_repeats_apart_from_settled_copies(spark):
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    left, gram, right = passage_with_key(fresh, 5, 35)
+    a, b, c, d = sorted(fresh(4), key=lambda w: xxhash.xxh64_intdigest(w.encode(), 7))
+    other = fresh(60)
+    while not keeps(other + gram + right + [b], gram):
+        other = fresh(60)
+    rows = [fresh(60) + left + gram + right + [a] + fresh(60), other + gram + right + [b] + fresh(60)]
+    rows += [fresh(60) + left + gram + right + [x] + fresh(60) for x in (c, d)]
+    repeats_as_windows(spark, rows)
+    repeats_as_windows(spark, rows + [fresh(60) + left + gram + right + fresh(60) for _ in range(9)])
+
+
 def test_repeats_on_documents(spark, docs, texts):
     got = {r.doc_id: {k for s in r.spans for k in range(s.a, s.b)} for r in suffixdedup.repeats(docs).collect()}
     split = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts.items()}
