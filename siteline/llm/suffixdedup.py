@@ -107,7 +107,7 @@ _SUFFIX = "key long, n long, doc_id long, at int, before int, after int, context
 
 
 def _suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Suffixes at the wanted places with their context: words after the first K, and words before backwards."""
+    """Suffixes at the wanted places with their context: words after the first K, words before backwards, numbers of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = length - K
@@ -115,7 +115,7 @@ def _suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             cols: list[list] = [[] for _ in range(7)]
             for doc, x, wants in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
                 h = word_hashes(x.as_py())
-                short = (h >> np.uint64(32)).astype(">u4")
+                short = np.maximum(h >> np.uint64(32), np.uint64(1)).astype(">u4")  # 0 stands for no word
                 at, gram, first, last = minimisers(h, length)
                 count = {w["at"]: w["n"] for w in wants}
                 for p, g, lo, hi in zip(at.tolist(), _signed(gram).tolist(), first.tolist(), last.tolist(), strict=True):
@@ -123,7 +123,7 @@ def _suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         right = short[p + K : p + length].tobytes().ljust(4 * reach, b"\0")
                         left = short[max(0, p - reach) : p][::-1].tobytes().ljust(4 * reach, b"\0")
                         ends = min(len(h) - p - K, reach)
-                        for c, v in zip(cols, (g, count[p], doc, p, p - lo, p - hi, bytes([min(p, reach), ends]) + right + left), strict=True):
+                        for c, v in zip(cols, (g, count[p], doc, p, p - lo, p - hi, right + left + bytes([min(p, reach), ends])), strict=True):
                             c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "n", "doc_id", "at", "before", "after", "context"])
@@ -160,8 +160,8 @@ def _compare(suffixes: DataFrame, length: int) -> DataFrame:
             together = np.ones(end, dtype=bool)
             together[starts] = False
             raw = np.frombuffer(b"".join(t.column("context").to_pylist()), dtype=np.uint8).reshape(end, 2 + 8 * reach)
-            words = raw[:, 2:].copy().view(">u4")
-            left_n, right_n = raw[:, 0].astype(np.int64), raw[:, 1].astype(np.int64)
+            words = raw[:, :-2].copy().view(">u4")
+            left_n, right_n = raw[:, -2].astype(np.int64), raw[:, -1].astype(np.int64)
             r = K + same(words[1:, :reach], words[:-1, :reach], np.minimum(right_n[1:], right_n[:-1]))
             lft = same(words[1:, reach:], words[:-1, reach:], np.minimum(left_n[1:], left_n[:-1]))
             r, lft = np.where(together[1:], r, 0), np.where(together[1:], lft, 0)

@@ -278,6 +278,20 @@ def test_repeats_apart_from_settled_copies(spark):
     repeats_as_windows(spark, rows + [fresh(60) + left + gram + right + fresh(60) for _ in range(9)])
 
 
+def test_repeats_near_the_ends_of_texts(spark):
+    rng = np.random.default_rng(4)
+    fresh = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    short = lambda words: [xxhash.xxh64_intdigest(w.encode(), 7) for w in words]
+    rows = []
+    for start, end in ((5, 60), (60, 0), (0, 0)) * 3:
+        left, gram, right = passage_with_key(fresh, 5, 30)
+        lower, higher = sorted((fresh(60), fresh(60)), key=short)
+        while not (short(lower[:1]) < short(right[:1]) < short(higher[:1]) and keeps(fresh(60) + gram + lower, gram) and keeps(fresh(60) + gram + higher, gram)):
+            lower, higher = sorted((fresh(60), fresh(60)), key=short)
+        rows += [fresh(start) + left + gram + right + fresh(end), fresh(60) + left + gram + right + fresh(60), fresh(60) + gram + lower, fresh(60) + gram + higher]
+    repeats_as_windows(spark, rows)
+
+
 def test_repeats_on_documents(spark, docs, texts):
     got = {r.doc_id: {k for s in r.spans for k in range(s.a, s.b)} for r in suffixdedup.repeats(docs).collect()}
     split = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts.items()}
