@@ -218,7 +218,7 @@ def track_sql(cls: str, dist: str) -> str:
     return f"coalesce(greatest({_case(cls, t, 0)} - {lg(f'{d} / {_case(cls, t, 1)}')} - 3.0::double - greatest({d} - 50, 0.0::double) * 0.04::double, CASE WHEN {_case(cls, t, 0)} IS NOT NULL THEN 0.0::double END), 0.0::double)"
 
 
-RADIUS = 300
+RADIUS = 500
 NEAR_SQL = ",\n".join([
     near_segments_sql("na0", RADIUS, "v_aadt", "seg_id, aadt, hv, road_name"),
     "na AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY property_id, road_name, round_even(dist_m, -1) ORDER BY aadt DESC, dist_m, seg_id) AS rn FROM na0) WHERE rn = 1)",

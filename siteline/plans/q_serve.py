@@ -10,7 +10,7 @@ from siteline.operators import spatial
 from siteline.plans import nearby
 from siteline.plans.q_etl import shared_folder
 from siteline.plans.q_nearby import worst_contour
-from siteline.plans.q_noise import LEVELS_SQL, NOISE_SQL, noise, noise_parts, score_noise
+from siteline.plans.q_noise import LEVELS_SQL, NOISE_SQL, RADIUS, noise, noise_parts, score_noise
 from siteline.plans.q_scores import CONTAMINATION_SQL, INDUSTRY_SQL, WALK_SQL, aircraft_exposure, bushfire, contamination, flood, heat, score_solar, view_score, walk
 from siteline.plans.q_scores import _solar_props as solar_props
 from siteline.registry import query
@@ -60,7 +60,7 @@ def _without_properties(sql: str) -> str:
     return sql[:start] + GRID_SQL + ",\n" + sql[end:]
 
 
-def grid_noise(spark: SparkSession, d: str, region: tuple[float, float, float, float, float], radius_m: float = 300) -> DataFrame:
+def grid_noise(spark: SparkSession, d: str, region: tuple[float, float, float, float, float], radius_m: float = RADIUS) -> DataFrame:
     """Noise scores of a region's lattice."""
     v = lambda n: view(spark, d, n)
     props = grid_points(spark, *region)

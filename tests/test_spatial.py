@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from siteline.operators import spatial
 from siteline.plans import nearby, q_noise
+from siteline.sources.views import view
 
 R = 400.0
 
@@ -92,3 +94,21 @@ def test_more_screening_never_adds_noise(spark):
 def test_adaptive_select(spark, levels, kept):
     df = spark.createDataFrame([(1, 2, i, float(v)) for i, v in enumerate(levels)], "property_id long, kind_no int, sid long, level double")
     assert q_noise.adaptive_select(df, 8).count() == kept
+
+
+def test_noise_takes_sources_within_500_m(spark):
+    d = "/root/testdata/sf0.001"
+    props = [tuple(r) for r in view(spark, d, "v_properties").select("property_id", "lat", "lng").collect()]
+    roads = [tuple(r) for r in view(spark, d, "v_roads").where("subtype = 'road'").select("road_id", "x1", "y1", "x2", "y2").collect()]
+    got = {(r.property_id, r.road_id) for r in q_noise.parts_of(spark, d)["roads"].select("property_id", "road_id").collect()}
+    ids, x1, y1, x2, y2 = (np.array(c) for c in zip(*roads))
+    some = 0
+    for p, lat, lng in props:
+        a, b = np.stack((x1 - lng, y1 - lat), axis=1), np.stack((x2 - lng, y2 - lat), axis=1)
+        t = np.clip(-(a * (b - a)).sum(axis=1) / np.maximum(((b - a) ** 2).sum(axis=1), 1e-18), 0, 1)
+        dist = np.hypot(*(a + t[:, None] * (b - a)).T) * 111_320 * math.cos(math.radians(lat))
+        window = (abs(np.minimum(x1, x2) - lng) < 500 / 111_000 * 1.5) & (abs(np.minimum(y1, y2) - lat) < 500 / 111_000 * 1.5)
+        assert {q for q in got if q[0] == p} == {(p, int(i)) for i in ids[window & (dist < 500)]}
+        some += int((window & (dist > 300) & (dist < 500)).sum())
+    assert some > 0
+    spark.catalog.clearCache()
