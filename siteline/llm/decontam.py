@@ -35,13 +35,13 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Phrases:
     """The distinct windows of benchmark items, as numbered words, and the items that hold each."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.word: dict[bytes, int] = {}
         holders: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for item, words in items:
             ids = [self.word.setdefault(w, len(self.word) + 1) for w in words]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                holders[tuple(ids[i : i + window])].add(item)
+                holders[tuple(ids[i : i + window])].update([] if item is None else [item])
         self.items = [sorted(x) for x in holders.values()]
         self.length = np.array([len(k) for k in holders], dtype=np.int64)
         self.ids = np.zeros((len(holders), window), dtype=np.int64)
@@ -170,7 +170,8 @@ def _search_shard(docs: list[tuple[int, list[int]]], phrases: Phrases) -> dict[i
 _FOUND = "doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
-def _one_pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
+def _one_pass(docs: DataFrame, phrases: Phrases, with_key: bool) -> DataFrame:
+    """(doc_id, n_words, spans, items) of each row; with_key adds text_md5, which tells rows of one doc_id apart."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +193,12 @@ def _one_pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
             spans = [[{"a": a, "b": z} for a, z in found[k][0]] if k in found else [] for k in range(len(n_words))]
             items = [sorted(found[k][1]) if k in found else [] for k in range(len(n_words))]
             kinds = (pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, k) for v, k in zip((n_words, spans, items), kinds, strict=True))], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, k) for v, k in zip((n_words, spans, items), kinds, strict=True)), *b.columns[2:]], names=["doc_id", "n_words", "spans", "items", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _FOUND)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    if not with_key:
+        return rows.mapInArrow(run, _FOUND)
+    return rows.withColumn("text_md5", F.md5("text")).mapInArrow(run, _FOUND + ", text_md5 string")
 
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000) -> DataFrame:
@@ -202,24 +206,31 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
 
     spans: merged half-open ranges of word numbers inside occurrences of windows of benchmark items; items: item_ids (as
     strings, sorted) with an occurrence. An item of fewer words than ``window`` is one window; an item or document
-    without words, null included, has none. Items that repeat an item_id are taken together. With more than one block of
-    benchmark items, doc_id must be unique.
+    without words, null included, has none. Items that repeat an item_id are taken together; items without one give
+    spans only. Each document gives a row, be its doc_id repeated or null.
     """
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = bench.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     blocks = 1 + (size[0] or 0) // (4 * max_words)
     passes = []
     for k in range(blocks):
         some = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         items = [(r.item_id, words_of((r.text or "").encode())) for r in some.toLocalIterator()]
-        passes.append(_one_pass(docs, Phrases(items, window)))
+        passes.append(_one_pass(docs, Phrases(items, window), blocks > 1))
     if blocks == 1:
         return passes[0]
-    rows = cut(union_all(passes)).groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # equal texts have equal spans, so copies of a row are counted and written out again
+    rows = cut(union_all(passes)).groupBy("doc_id", "text_md5").agg(
+        F.first("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        (F.count("*") / blocks).cast("int").alias("copies"),
+    )
 
     step = lambda m, s: F.when((F.size(m) > 0) & (F.element_at(m, -1)["b"] >= s["a"]), F.concat(F.slice(m, 1, F.size(m) - 1), F.array(F.struct(F.element_at(m, -1)["a"].alias("a"), F.greatest(F.element_at(m, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(m, F.array(s)))
 
-    return rows.withColumn("spans", F.aggregate("spans", F.expr("cast(array() as array<struct<a:int,b:int>>)"), step))
+    rows = rows.withColumn("spans", F.aggregate("spans", F.expr("cast(array() as array<struct<a:int,b:int>>)"), step))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", "spans", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:

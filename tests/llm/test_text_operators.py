@@ -110,6 +110,17 @@ def test_decontamination(spark, docs, texts):
     assert many == got
 
 
+def test_decontamination_of_repeated_and_missing_ids(spark):
+    w = [f"w{i}" for i in range(90)]
+    bench = spark.createDataFrame([("1", " ".join(w[:30])), ("2", " ".join(w[40:60])), (None, " ".join(w[70:85]))], "item_id string, text string")
+    data = [(1, " ".join(w[:12])), (1, " ".join(w[:12])), (1, " ".join(["x", *w[40:55]])), (None, " ".join(w[:35])), (None, " ".join(w[70:90])), (None, None), (None, ""), (2, " ".join(w))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted(str(x) for x in [(1, 12, [(0, 12)], ["1"])] * 2 + [(1, 16, [(1, 16)], ["2"]), (None, 35, [(0, 30)], ["1"]), (None, 20, [(0, 15)], []), (None, 0, [], []), (None, 0, [], []), (2, 90, [(0, 30), (40, 60), (70, 85)], ["1", "2"])])
+    for most in (2_000_000, 10):
+        found = decontam.removal_spans(docs, bench, max_words=most).collect()
+        assert sorted(str((r.doc_id, r.n_words, [tuple(s) for s in r.spans], r.items)) for r in found) == want, most
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
