@@ -410,15 +410,11 @@ def _table(spark: SparkSession, d: str) -> DataFrame:
     return training_table(noise_features(spark, d), view(spark, d, "v_measured")).persist()
 
 
-#: Boosting rounds of the registered queries; a production fit takes the defaults of ``fit_residual``.
-QUERY_TREES = 5
-
-
 @query("train_residual")
 def train_residual(spark: SparkSession, d: str) -> DataFrame:
     """Held-out metrics of model and physics."""
     rows = _table(spark, d)
-    e = predicted_errors(fit_residual(rows.where("is_train"), QUERY_TREES), rows.where("not is_train"))
+    e = predicted_errors(fit_residual(rows.where("is_train")), rows.where("not is_train"))
     m = error_metrics(e).withColumn("which", F.lit("model"))
     return m.unionByName(error_metrics(e.withColumn("err", F.col("phys_err"))).withColumn("which", F.lit("physics")))
 
@@ -426,7 +422,7 @@ def train_residual(spark: SparkSession, d: str) -> DataFrame:
 @query("top_features")
 def top_features(spark: SparkSession, d: str) -> DataFrame:
     """The ten features of most importance."""
-    model = fit_residual(_table(spark, d).where("is_train"), QUERY_TREES).stages[-1]
+    model = fit_residual(_table(spark, d).where("is_train")).stages[-1]
     imp = model.featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(FEATURES, imp, strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(10)
@@ -436,7 +432,7 @@ def top_features(spark: SparkSession, d: str) -> DataFrame:
 def cross_validate(spark: SparkSession, d: str) -> DataFrame:
     """Metrics by fold of five-fold validation, each fold by a model of the others."""
     rows = _table(spark, d)
-    parts = [error_metrics(predicted_errors(fit_residual(rows.where(F.col("fold") != k), 2, 3), rows.where(F.col("fold") == k))).withColumn("fold", F.lit(k)) for k in range(5)]
+    parts = [error_metrics(predicted_errors(fit_residual(rows.where(F.col("fold") != k)), rows.where(F.col("fold") == k))).withColumn("fold", F.lit(k)) for k in range(5)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
