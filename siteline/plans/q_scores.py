@@ -354,7 +354,7 @@ def flood(spark: SparkSession, d: str) -> DataFrame:
 
 @query("score_flood", duckdb_ctes("v_properties", "v_overlays", "v_raster") + ",\n" + FLOOD_SQL + f"\nSELECT property_id, 'VIC' AS state, score, {label_sql('flood')} AS label, zones, zone_count, water_score, overlay_score FROM fl")
 def q_score_flood(spark: SparkSession, d: str) -> DataFrame:
-    return flood(spark, d).where("state = 'VIC'")
+    return flood(spark, d)
 
 
 @query("jrc_component", duckdb_ctes("v_properties", "v_raster") + ",\n" + WATER_CELLS_SQL + f"\nSELECT property_id, cast({flood_water_sql()} AS INT) AS component FROM wc")
@@ -438,7 +438,7 @@ def bushfire(spark: SparkSession, d: str) -> DataFrame:
 
 @query("score_bushfire", duckdb_ctes("v_properties", "v_overlays", "v_raster") + ",\n" + FIRE_SQL + f"\nSELECT property_id, 'VIC' AS state, score, {label_sql('bushfire')} AS label, zones, cover, {COVER_LABEL_SQL} AS cover_label, overlay_score, satellite_score FROM bf")
 def q_score_bushfire(spark: SparkSession, d: str) -> DataFrame:
-    return bushfire(spark, d).where("state = 'VIC'")
+    return bushfire(spark, d)
 
 
 @query("fuel_class", duckdb_ctes("v_raster") + f"\nSELECT row, col, {FUEL_SQL} AS fuel, {COVER_LABEL_SQL} AS name FROM (SELECT row, col, cast(value AS INT) AS cover FROM v_raster)")
@@ -782,7 +782,7 @@ def contamination(spark: SparkSession, d: str) -> DataFrame:
 
 @query("score_contamination", duckdb_ctes("v_properties", "v_epa", "v_pois") + ",\n" + CONTAMINATION_SQL + f"\nSELECT property_id, 'VIC' AS state, score, {label_sql('contamination')} AS label, n_sites, site_m, site_name, n_industrial, industrial_m, industrial_type FROM ct")
 def q_score_contamination(spark: SparkSession, d: str) -> DataFrame:
-    return contamination(spark, d).where("state = 'VIC'")
+    return contamination(spark, d)
 
 
 @query("epa_component", f"SELECT o_orderkey, cast({REGISTER_SQL} AS INT) AS epa, cast({INDUSTRY_SQL} AS INT) AS industrial FROM (SELECT o_orderkey, o_orderkey % 6 AS n_sites, o_orderkey * 7 % 2500 AS site_m, o_orderkey % 8 AS n_industrial, o_orderkey * 3 % 500 AS industrial_m FROM orders)")
