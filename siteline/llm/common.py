@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +23,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint.
 
-    The folder is the session's ``spark.checkpoint.dir``, which all executors share; only where that is unset, as in
-    tests, a temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``, which all executors share; see ``shared_folder``.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if path is None and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return path or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -73,3 +84,61 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = cut(_toward_least(_toward_least(edges, True), False))
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, at): the row as a struct, so that no column of the caller's clashes, and its key.
+
+    at is a hash of the text, which tells rows of one doc_id apart.
+    """
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("at"))
+
+
+def distinct_rows(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The callers' rows of ``keyed_rows``, one of each of the keys in ``repeated`` (doc_id, at), which are few as a rule."""
+    again = repeated.select(F.col("doc_id").alias("r_id"), F.col("at").alias("r_at"))
+    on = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("at") == F.col("r_at"))
+    once = rows.join(again, on, "left_anti").select("row")
+    if repeated.isEmpty():
+        return rows.select("row.*")
+    return once.unionByName(rows.join(again, on, "left_semi").dropDuplicates(["doc_id", "at"]).select("row")).select("row.*")
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(table, starts, ends) of whole groups of rows equal in ``keys``, from batches of a partition sorted by these.
+
+    The last group of a batch waits for the rest of its rows.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = [b.schema.get_field_index(k) for k in keys]
+        cols = [b.column(i).to_numpy() for i in names]
+        new = np.zeros(b.num_rows, dtype=bool)
+        for c, before in zip(cols, last or [None] * len(keys), strict=True):
+            new[1:] |= c[1:] != c[:-1]
+            new[0] |= before is None or c[0] != before
+        last = [c[-1] for c in cols]
+        cut_at = np.flatnonzero(new)
+        if len(cut_at) and (cut_at[-1] or held):
+            k = int(cut_at[-1])
+            ready = [*held, b.slice(0, k)] if k else held
+            yield _bounds(ready, keys)
+            held = [b.slice(k)]
+        else:
+            held.append(b)
+    if held:
+        yield _bounds(held, keys)
+
+
+def _bounds(held: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    t = pa.Table.from_batches(held).combine_chunks()
+    new = np.zeros(len(t), dtype=bool)
+    new[0] = True
+    for k in keys:
+        c = t.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return t, starts, np.append(starts[1:], len(t))

@@ -4,12 +4,13 @@ A fingerprint of 64 bits is cut into 32 segments of two bits. The bit counts of
 a grid, where the Manhattan distance never exceeds the number of differing bits. Written in unary (00, 01, 11), the
 counts fill 64 bits again and the Manhattan distance is the number of differing bits of that code.
 
-Range join: the segments form ``max_bits + AGREE`` grid coordinates. Points within ``max_bits`` of each other differ in at
-most so many coordinates, so they agree in at least ``AGREE`` of them; each point is put into one grid cell for each
-choice of so many coordinates. In a cell the Manhattan bound is tested first, then the exact number of bits.
-Cells with more than ``cell_limit`` points, and with many times what chance puts into one, (families of thousands of near
-copies) are not paired off: each of their points is tied to all fingerprints within half the distance, and points that
-meet at one of these are linked.
+Range join: the segments form ``max_bits + agree`` grid coordinates. Points within ``max_bits`` of each other differ in at
+most so many coordinates, so they agree in at least ``agree`` of them; each point is put into one grid cell for each
+choice of so many coordinates. The more points, the more coordinates a key takes, so that chance puts ``OCCUPANCY``
+points into a cell at most. In a cell the Manhattan bound is tested first, then the exact number of bits.
+A cell returns no more than ``forests`` spanning forests of its links, those of fewest bits first, so a family of
+thousands of near copies costs a few links per member and loses no component. Cells beyond ``LIMIT`` points (dense ones)
+are cut into blocks, and every two blocks meet in a group of their own.
 """
 
 from __future__ import annotations
@@ -20,56 +21,82 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteline.llm.common import connected_components, cut, union_all
+from siteline.llm.common import connected_components, cut, distinct_rows, keyed_rows, partitions, sorted_groups
 
 SEED = 42
-AGREE = 3
+OCCUPANCY, LIMIT = 8192, 65536
+#: Hot cells up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
+FEW = 100_000
 EVEN = 0x5555555555555555
+_TILE = 1 << 18
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints_of(text: bytes | None, words: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
-    """The signed 64-bit fingerprint of one UTF-8 text for each seed; no words: zero."""
-    w = (text or b"").lower().split()
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text between ASCII white space, A-Z in lower case."""
+    return (text or b"").lower().split()
+
+
+def shingle_hashes(w: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of each shingle in order, repeats included; fewer words are one shingle, none make none."""
     if not w:
-        return [0] * len(seeds)
-    joined = b" ".join(w)
-    digest = xxhash.xxh64_intdigest
+        return np.empty(0, dtype=np.uint64)
+    joined, digest = b" ".join(w), xxhash.xxh64_intdigest
     if len(w) <= words:
-        return [_signed(digest(joined, s)) for s in seeds]
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
     length = np.fromiter(map(len, w), dtype=np.int64, count=len(w))
     end = np.cumsum(length + 1) - 1
     start = (end - length)[: len(w) - words + 1].tolist()
-    shingles = [joined[a:b] for a, b in zip(start, end[words - 1 :].tolist(), strict=True)]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(start, end[words - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def fingerprints_of(text: bytes | None, words: int, variants: int = 1) -> list[int]:
+    """The signed 64-bit fingerprints of one UTF-8 text; no words: zero.
+
+    The first takes the shingles' hashes as they are, each further one mixes them anew.
+    """
+    h = shingle_hashes(words_of(text), words)
+    if not len(h):
+        return [0] * variants
     out = []
-    for seed in seeds:
-        h = np.array([digest(s, seed) for s in shingles], dtype=">u8")
+    for k in range(variants):
+        x = h
+        if k:
+            with np.errstate(over="ignore"):
+                x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x = x ^ (x >> np.uint64(31))
+        x = x.astype(">u8")
         ones = np.zeros(64, dtype=np.int64)
-        for i in range(0, len(h), 4096):
-            ones += np.unpackbits(h[i : i + 4096].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h)).view(">i8")[0]))
+        for i in range(0, len(x), 4096):
+            ones += np.unpackbits(x[i : i + 4096].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(x)).view(">i8")[0]))
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(doc_id, fps) of each row, a fingerprint per seed: lower-cased A-Z, shingles of ``words`` words hashed by XXH64,
-    majority of each bit.
+def fingerprints(docs: DataFrame, words: int = 4, variants: int = 1) -> DataFrame:
+    """(doc_id, at, same, fps) of each row: at is a hash of the text as it is, same one of its words, fps the fingerprints.
 
-    Null and empty texts have no words and the fingerprint zero; fewer words than ``words`` make one shingle.
+    A-Z is lower-cased, shingles of ``words`` words are hashed by XXH64, and a bit is the majority of their bits. Null
+    and empty texts have no words and the fingerprint zero; fewer words than ``words`` make one shingle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprints_of(x.as_py(), words, seeds) for x in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+            texts = [x.as_py() for x in b.column(2).cast(pa.binary())]
+            same = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in texts]
+            fps = [fingerprints_of(t, words, variants) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "at", "same", "fps"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fps array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("at"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, at long, same binary, fps array<long>")
 
 
 def embed(fp: Column) -> Column:
@@ -79,123 +106,191 @@ def embed(fp: Column) -> Column:
     return F.shiftleft(both.bitwiseAND(F.lit(EVEN)), 1).bitwiseOR(any_.bitwiseAND(F.lit(EVEN)))
 
 
-def _choices(max_bits: int) -> list[int]:
-    """For each choice of AGREE grid coordinates the mask of their segments' bits."""
-    at = np.array_split(np.arange(32), max_bits + AGREE)
-    return [sum(c) for c in combinations([sum(3 << (2 * int(i)) for i in g) for g in at], AGREE)]
-
+def _embedded(fp: np.ndarray) -> np.ndarray:
+    """``embed`` of an array of unsigned fingerprints."""
+    half, even = fp >> np.uint64(1), np.uint64(EVEN)
+    return ((fp & half & even) << np.uint64(1)) | ((fp | half) & even)
 
-def _cells(points: DataFrame, max_bits: int) -> DataFrame:
-    """(cell, key, fp): each point once for each choice of coordinates that two near points can agree in."""
-    masks = _choices(max_bits)
-    u = embed(F.col("fp"))
-    keys = F.array(*[F.struct(F.lit(i).alias("cell"), u.bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
-    return points.select(*points.columns, F.inline(keys))
 
+def agreeing(n: int, max_bits: int) -> int:
+    """How many coordinates a key takes for n points: so many that chance puts OCCUPANCY points into a cell at most.
 
-def _first_common(x: Column, max_bits: int) -> Column:
-    """Number of the first choice of coordinates without a difference, x being the xor of two embeddings."""
-    masks = _choices(max_bits)
-    out = None
-    for i, m in reversed(list(enumerate(masks))):
-        clean = x.bitwiseAND(F.lit(_signed(m))) == 0
-        out = F.when(clean, i) if out is None else F.when(clean, i).otherwise(out)
-    return out
-
-
-def _meeting(points: DataFrame, max_bits: int) -> DataFrame:
-    """Links (a, b) of a dense set: points that meet at a fingerprint within half of ``max_bits`` of both.
-
-    Each point makes as many rows as there are fingerprints that near; at one fingerprint no more points can meet than
-    that, so the lists are bounded. Two points within ``max_bits`` always meet, and only they do.
+    Two segments have the same count by chance in three of eight cases.
     """
-    r = (max_bits + 1) // 2
-    masks = [_signed(sum(1 << i for i in c)) for k in range(r + 1) for c in combinations(range(64), k)]
-    flip = F.explode(F.array(*map(F.lit, masks))) if len(masks) < 100 else F.explode(F.from_json(F.lit(str(masks)), "array<long>"))
-    met = points.select("fp", flip.alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("at"))
-    lists = met.groupBy("at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    pair = lists.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    if max_bits % 2 == 0:
-        return pair.distinct()
-    x = F.explode("fps")  # an odd limit lets points meet that are one bit too far apart
-    pair = lists.select("fps", x.alias("a")).select("a", F.explode("fps").alias("b")).where("a < b")
-    return pair.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
-
-
-def near_pairs(points: DataFrame, max_bits: int = 4, cell_limit: int = 1000, spanning: bool = False) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that join all that differ in at most ``max_bits`` bits.
-
-    With a column ``grp``, pairs within a group are left out of those that cells return: they are linked already.
-
-    Pairs in grid cells of up to ``cell_limit`` points are all returned; for fuller cells a set of links with the same
-    components is.
-
-    With ``spanning``, a cell leaves out pairs of points that are both near its least point: their links to that point
-    join them. A link to it that another cell leaves out in turn goes by a still smaller point, so components stay.
+    for agree in range(1, 32 - max_bits):
+        least = sum(sorted(len(x) for x in np.array_split(np.arange(32), max_bits + agree))[:agree])
+        if n * 0.375**least <= OCCUPANCY:
+            return agree
+    return 32 - max_bits
+
+
+def _masks(max_bits: int, agree: int) -> list[int]:
+    """For each choice of ``agree`` grid coordinates the mask of their segments' bits."""
+    at = np.array_split(np.arange(32), max_bits + agree)
+    return [_signed(sum(c)) for c in combinations([sum(3 << (2 * int(i)) for i in g) for g in at], agree)]
+
+
+def _cells(points: DataFrame, max_bits: int, agree: int, variants: int) -> DataFrame:
+    """(key, node, fp): each point once for each fingerprint and choice of coordinates that two near ones can agree in."""
+    masks = _masks(max_bits, agree)
+    i = F.explode(F.sequence(F.lit(0), F.lit(variants * len(masks) - 1)))
+    rows = points.select("node", "fps", i.alias("i")).select("node", "i", F.get("fps", F.expr(f"i div {len(masks)}").cast("int")).alias("fp"))
+    mask = F.get(F.array(*map(F.lit, masks)), F.col("i") % len(masks))
+    return rows.select(F.xxhash64("i", embed(F.col("fp")).bitwiseAND(mask)).alias("key"), "node", "fp")
+
+
+def _in_blocks(cells: DataFrame, limit: int) -> DataFrame:
+    """Cells of more than ``limit`` points cut into blocks of about half of that; every two blocks make a group."""
+    hot = cut(cells.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit))
+    n_hot = hot.count()
+    if not n_hot:
+        return cells
+    few = F.broadcast(hot) if n_hot <= FEW else hot
+    rest = cells.join(few.select("key"), "key", "left_anti")
+    blocks = F.ceil(F.col("n") * 2 / limit).cast("int")
+    dealt = cells.join(few, "key").withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    pair = F.xxhash64("key", F.least("k", "other"), F.greatest("k", "other"))
+    return rest.unionByName(dealt.where("k <> other").select(pair.alias("key"), "node", "fp"))
+
+
+def links_within(fp: np.ndarray, max_bits: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, bits, linked) of a cell: pairs of row numbers within max_bits, and which rows have such a pair.
+
+    The Manhattan bound is tested on tiles of the cell, the number of bits on what passes. Beyond ``most`` pairs no more
+    are gathered, and a, b and bits are empty.
+    """
+    u, n, linked = _embedded(fp), len(fp), np.zeros(len(fp), dtype=bool)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    total, i = 0, 0
+    while i < n:
+        step = max(1, min(n - i, _TILE // (n - i)))
+        a, b = np.nonzero(np.bitwise_count(u[i : i + step, None] ^ u[None, i:]) <= max_bits)
+        a, b = a[b > a] + i, b[b > a] + i
+        bits = np.bitwise_count(fp[a] ^ fp[b])
+        near = bits <= max_bits
+        a, b = a[near], b[near]
+        linked[a] = linked[b] = True
+        total += len(a)
+        if total <= most:
+            found.append((a, b, bits[near]))
+        i += step
+    if total > most or not found:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))]
+    return (*(np.concatenate(x) for x in zip(*found, strict=True)), linked)
+
+
+def spanning(fp: np.ndarray, max_bits: int, forests: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): row numbers of ``forests`` spanning forests of fewest bits without a common edge, by Prim's rule.
+
+    Distances are made a row at a time, so memory is in proportion to the points.
+    """
+    n, out = len(fp), []
+    used: list[list[int]] = [[] for _ in range(n)]
+    for _ in range(forests):
+        best, parent, todo = np.full(n, 255, np.uint8), np.zeros(n, np.int64), np.ones(n, bool)
+        v = 0
+        for _ in range(n):
+            todo[v] = False
+            bits = np.bitwise_count(fp ^ fp[v])
+            bits[bits > max_bits] = 255
+            bits[used[v]] = 255
+            better = (bits < best) & todo
+            best[better], parent[better] = bits[better], v
+            best[v] = 255
+            nearest = int(best.argmin())
+            if best[nearest] < 255:
+                p, v = int(parent[nearest]), nearest
+                used[p].append(v)
+                used[v].append(p)
+                out.append((p, v))
+            else:  # the next tree
+                v = int(todo.argmax())
+    a, b = np.array(out, dtype=np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def near_links(points: DataFrame, max_bits: int = 4, forests: int = 1, limit: int | None = None) -> DataFrame:
+    """Links (u, v), u > v, between points (``node`` long, ``fps`` array of fingerprints, equal numbers of them).
+
+    Two points are near if for one of the numbers their fingerprints differ in at most ``max_bits`` bits. A cell with up
+    to ``forests`` near pairs per linked point returns them all, a denser one so many spanning forests; so links have
+    the same components as all near pairs. ``limit``: points of a cell beyond which it is cut into blocks.
     """
     if not 1 <= max_bits <= 12:
         raise ValueError("max_bits must be from 1 to 12")
-    segments = min(m.bit_count() for m in _choices(max_bits)) // 2
-    cell_limit = max(cell_limit, 8 * points.count() >> segments) if cell_limit else 0  # chance fills a cell to n / 2^segments at most
-    cell = Window.partitionBy("cell", "key")
-    cells = _cells(points, max_bits).withColumn("n", F.count("*").over(cell)).withColumn("hub", F.min("fp").over(cell))
-    at_hub = (F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= max_bits)
-    few = cells.where((F.col("n") > 1) & (F.col("n") <= cell_limit))
-    grouped = "grp" in points.columns
-    a, b = (few.select("cell", "key", F.col("fp").alias(x), at_hub.alias(f"hub_{x}"), *([F.col("grp").alias(f"grp_{x}")] if grouped else [])) for x in "ab")
-    ua, ub = embed(F.col("a")), embed(F.col("b"))
-    apart = ua.bitwiseXOR(ub)
-    near = (
-        (a["cell"] == b["cell"])
-        & (a["key"] == b["key"])
-        & (F.col("a") < F.col("b"))
-        & (F.col("grp_a") != F.col("grp_b") if grouped else F.lit(True))
-        & (~(F.col("hub_a") & F.col("hub_b")) if spanning else F.lit(True))
-        & (F.bit_count(apart) <= max_bits)
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        & (a["cell"] == _first_common(apart, max_bits))
-    )
-    pairs = a.join(b, near).select("a", "b")
-    dense = cells.where(F.col("n") > cell_limit).select("fp").distinct()
-    return pairs.unionByName(_meeting(dense, max_bits))
-
-
-def _edges(points: DataFrame, max_bits: int, cell_limit: int) -> tuple[DataFrame, DataFrame]:
-    """``points`` (fp, rep) and the links (u, v) between representatives of near fingerprints."""
-    links = cut(near_pairs(points.drop("rep"), max_bits, cell_limit, spanning=True))
-    rep = lambda side: points.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))
-    return points, links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, cell_limit: int = 1000) -> DataFrame:
+    n, variants = points.agg(F.count("*"), F.coalesce(F.max(F.size("fps")), F.lit(1))).first()
+    limit = limit or LIMIT
+    cells = _cells(points, max_bits, agreeing(n, max_bits), variants)
+    cells = _in_blocks(cells, limit) if n > limit else cells
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts, ends in sorted_groups(batches, ["key"]):
+            node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+            us, vs = [], []
+            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                x = fp[s:e]
+                a, b, _, linked = links_within(x, max_bits, forests * (e - s))
+                of = np.flatnonzero(linked)
+                if len(a) > forests * len(of) or len(of) and not len(a):
+                    a, b = (of[k] for k in spanning(x[of], max_bits, forests))
+                us.append(node[s + a])
+                vs.append(node[s + b])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    dealt = cells.repartition(partitions(cells), "key").sortWithinPartitions("key", "node").select("key", "node", "fp")
+    return dealt.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, limit: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of each row; component_id is the smallest doc_id reachable over links.
 
-    Equal fingerprints, those of null and empty texts among them, are linked. Rows that repeat a doc_id each get a row.
+    Equal fingerprints, those of null and empty texts among them, are linked. Rows that repeat a doc_id each get a row
+    and are linked by their texts alone; a component without doc_id has a null component_id. An empty table gives none.
     Copies are reduced to one point before the join and only take the point's component afterwards.
     """
     fps = cut(fingerprints(docs, words).select("doc_id", F.get("fps", F.lit(0)).alias("fp")))
-    points, edges = _edges(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))), max_bits, cell_limit)
-    found = connected_components(edges)
-    of = points.join(found, points["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"))).withColumn("node", F.monotonically_increasing_id())
+    found = connected_components(near_links(points.select("node", F.array("fp").alias("fps")), max_bits, limit=limit))
+    of = points.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(of.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between nodes whose ``sets`` (node, shingles) have a Jaccard similarity of ``similarity`` or more."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+    both = F.size(F.array_intersect("s_u", "s_v"))
+    # |a & b| / |a | b|, without the union
+    return links.join(side("u"), "u").join(side("v"), "v").where(both >= similarity * (F.size("s_u") + F.size("s_v") - both)).select("u", "v")
 
 
-def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """One row of each group of near copies: that of the smallest doc_id. Rows without doc_id stay.
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 8, variants: int = 4, forests: int = 3) -> DataFrame:
+    """One row of each group of near copies: that of the smallest doc_id, null last.
 
-    Documents are linked if their fingerprints are near for any of the seeds; more seeds find more of the copies with a
-    similarity near 0.8, for as many more rounds of jobs. Texts without words are one group.
+    Candidates differ in at most ``max_bits`` bits in one of ``variants`` fingerprints; they are linked if the sets of
+    their shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more, and a group is a component of
+    links. Texts of the same words are one point from the start, those without words (null, empty) among them. Rows that
+    repeat doc_id and text count as one; those that repeat a doc_id with another text are documents of their own.
     """
-    fps = fingerprints(docs.where("doc_id is not null"), words, seeds)
-    texts = cut(fps.groupBy("fps").agg(F.min("doc_id").alias("rep")))
-    edges, grouped = [], texts.withColumn("grp", F.col("rep"))
-    for k in range(len(seeds)):  # a seed looks only for links between the groups of those before it
-        at_k = grouped.select(F.get("fps", F.lit(k)).alias("fp"), "rep", "grp")
-        points, near = _edges(cut(at_k.groupBy("fp").agg(F.min("rep").alias("rep"), F.min("grp").alias("grp"))), max_bits, 1000)
-        same = at_k.select("fp", F.col("rep").alias("v")).join(points.select("fp", F.col("rep").alias("u")), "fp").select("u", "v")
-        edges = [cut(union_all([*edges, near, same.where("u <> v")]))]
-        found = connected_components(edges[0])
-        grouped = texts.join(found, F.col("rep") == F.col("node"), "left").select("fps", "rep", F.coalesce("component", "rep").alias("grp"))
-    kept = texts.join(found.where("node <> component"), F.col("rep") == F.col("node"), "left_anti").select(F.col("rep").alias("_kept"))
-    one = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return one.unionByName(docs.where("doc_id is null"))
+    fps = cut(fingerprints(docs, words, variants))
+    one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("at"))
+    texts = cut(fps.groupBy("same").agg(F.first("fps").alias("fps"), F.min(one).alias("one")).select("fps", "one")).withColumn("node", F.monotonically_increasing_id())
+    links = cut(near_links(texts.select("node", "fps"), max_bits, forests))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words_of(x.as_py()), words)).view(np.int64) for x in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    rows = keyed_rows(docs)
+    wanted = texts.join(ends, "node").select("node", F.col("one.doc_id").alias("w_id"), F.col("one.at").alias("w_at"))
+    same_row = lambda i, at: F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("at") == F.col(at))
+    asked = rows.select("doc_id", "at", F.col("row.text").cast("string").alias("text")).join(wanted, same_row("w_id", "w_at"))
+    sets = cut(asked.dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>"))
+    found = connected_components(_similar(links, sets, similarity))
+    of = texts.join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("one").alias("one"))
+    kept = of.select(F.col("one.doc_id").alias("k_id"), F.col("one.at").alias("k_at"))
+    return distinct_rows(rows.join(kept, same_row("k_id", "k_at"), "left_semi"), fps.groupBy("doc_id", "at").agg(F.count("*").alias("n")).where("n > 1"))

@@ -44,7 +44,7 @@ def test_simhash_components(spark, docs, texts):
     assert got == {i: (fp[i], comp[i]) for i in ids}
 
 
-def test_near_pairs_exact_and_dense(spark):
+def test_near_links_keep_components(spark):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)]
     fps = set(base)
@@ -55,28 +55,69 @@ def test_near_pairs_exact_and_dense(spark):
                 x ^= simhash._signed(1 << int(bit))
             fps.add(x)
     fps = sorted(fps)
-    points = spark.createDataFrame([(x,) for x in fps], "fp long")
-    want = {(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= 4}
-    got = [(r.a, r.b) for r in simhash.near_pairs(points).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    for most in (6, 7):
-        want = {(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= most}
-        got = [(r.a, r.b) for r in simhash.near_pairs(points, most).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
-        span = [(r.a, r.b) for r in simhash.near_pairs(points, most, spanning=True).collect()]
-        assert set(span) < want and len(span) < len(want) / 2 and components(fps, span) == components(fps, want)
-    for most in (3, 4):
-        want = {(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= most}
-        dense = [(r.a, r.b) for r in simhash.near_pairs(points, most, cell_limit=5).collect()]
-        assert len(dense) != len(want)
-        assert components(fps, dense) == components(fps, want)
-
-
-def test_keep_one_keeps_rows_without_id(spark, docs):
-    extra = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
-    out = simhash.keep_one(docs.unionByName(extra))
-    assert out.where("doc_id is null").count() == 1 and out.columns == docs.columns
-    assert simhash.keep_one(docs.limit(0)).count() == 0
+    points = spark.createDataFrame([(k, [x]) for k, x in enumerate(fps)], "node long, fps array<long>")
+    for most, forests, limit in ((3, 1, None), (4, 1, None), (4, 1, 20), (8, 3, None), (8, 3, 20)):
+        want = {(b, a) for a in range(len(fps)) for b in range(a + 1, len(fps)) if ((fps[a] ^ fps[b]) % (1 << 64)).bit_count() <= most}
+        got = [(r.u, r.v) for r in simhash.near_links(points, most, forests, limit).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want, (most, forests, limit)
+        assert components(range(len(fps)), got) == components(range(len(fps)), want), (most, forests, limit)
+        assert limit or most < 8 or len(got) < len(want) / 2
+    assert simhash.near_links(points.limit(0)).count() == 0
+
+
+def test_longer_keys_for_more_points():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    b = a.copy()
+    for k in range(len(b)):
+        for bit in rng.choice(64, 4, replace=False):
+            b[k] ^= np.uint64(1 << int(bit))
+    for agree in (1, 2, 4):
+        masks = np.array(simhash._masks(4, agree), dtype=np.int64).view(np.uint64)
+        u, v = simhash._embedded(a), simhash._embedded(b)
+        assert (np.bitwise_count(u ^ v) <= 4).all()
+        assert ((u[:, None] & masks) == (v[:, None] & masks)).any(axis=1).all()
+    assert [simhash.agreeing(n, 4) for n in (10**5, 10**7, 10**9)] == [1, 2, 3] and simhash.agreeing(0, 8) == 1
+
+
+def plain_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def plain_groups(texts):
+    """Number of each row's group: components of similarity 0.8 of five-word shingles, by all pairs."""
+    s = [plain_shingles(t) for t in texts]
+    near = lambda a, b: a == b if not a or not b else len(a & b) >= 0.8 * len(a | b)
+    comp = components(range(len(s)), [(a, b) for a in range(len(s)) for b in range(a) if near(s[a], s[b])])
+    return [comp[k] for k in range(len(s))]
+
+
+def test_keep_one(spark, docs):
+    base = docs.where("doc_id is not null").collect()
+    rng = np.random.default_rng(6)
+    long_ = next(r for r in base if r.text and 150 < len(r.text.split()) < 400)
+    near = []
+    for k in range(40):  # a family of near copies
+        w = long_.text.split(" ")
+        for at in rng.choice(len(w), 1 + k % 3, replace=False):
+            w[at] = f"changed{k}x{at}"
+        near.append(long_.asDict() | {"doc_id": 700_000 + k, "text": " ".join(w)})
+    rows = [r.asDict() for r in base] + near + [r.asDict() for r in base[:20]]  # repeated rows
+    rows += [base[3].asDict() | {"doc_id": base[5].doc_id}, base[0].asDict() | {"doc_id": None}, base[0].asDict() | {"doc_id": None, "text": "a text that no other row has " * 3}]
+    df = spark.createDataFrame(rows, docs.schema).withColumnsRenamed({"size": "node", "token": "at"}).withColumn("row", F.lit(1))
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
+    groups = plain_groups([r["text"] for r in rows])
+    first = {}
+    for g, r in zip(groups, rows):
+        key = (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+        first[g] = min(first.get(g, key), key)
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(first.values())]
+    twice = simhash.keep_one(df.unionByName(df))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in twice.collect()) == got
+    assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_decontamination(spark, docs, texts):
