@@ -94,6 +94,18 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("at"))
 
 
+def with_text(rows: DataFrame, text: Column, docs: DataFrame) -> DataFrame:
+    """The rows (struct ``row``) of ``docs`` with another text where ``text`` isn't null; n_chars, if there, is counted anew
+    for these."""
+
+    def value(c: str) -> Column:
+        new = {"text": text, "n_chars": F.length(text)}.get(c)
+        old = F.col(f"row.`{c}`")
+        return old if new is None else F.coalesce(new.cast(docs.schema[c].dataType), old).alias(c)
+
+    return rows.select(*(value(c) for c in docs.columns))
+
+
 def distinct_rows(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     """The callers' rows of ``keyed_rows``, one of each of the keys in ``repeated`` (doc_id, at), which are few as a rule."""
     again = repeated.select(F.col("doc_id").alias("r_id"), F.col("at").alias("r_at"))

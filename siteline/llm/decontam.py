@@ -11,15 +11,18 @@ The phrases reach the tasks in blocks of benchmark items of at most ``max_words`
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from siteline.llm.common import cut, union_all
+from siteline.llm.common import cut, keyed_rows, union_all, with_text
 
 SHARD_BYTES = 8 << 20
 SAMPLE = 4
@@ -67,8 +70,29 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return order
 
 
+class Bits:
+    """A bit vector with ranks: the bits themselves, and the number of ones before each 64 of them."""
+
+    def __init__(self, bits: np.ndarray):
+        padded = np.zeros((len(bits) // 64 + 1) * 64, dtype=np.uint8)
+        padded[: len(bits)] = bits
+        self.words = np.packbits(padded, bitorder="little").view("<u8")
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words)))).astype(np.int32)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Number of ones before place i."""
+        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[i >> 6] + np.bitwise_count(self.words[i >> 6] & below)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return ((self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 class FMIndex:
-    """FM-index of an integer array that ends in its only 0, the least symbol."""
+    """FM-index of an integer array that ends in its only 0, the least symbol.
+
+    Kept are a bit vector for each level of the wavelet matrix, one that marks the sampled rows, and their positions.
+    """
 
     def __init__(self, text: np.ndarray):
         n = len(text)
@@ -78,11 +102,12 @@ class FMIndex:
         self.ones, self.zeros = [], []
         for b in range(self.levels - 1, -1, -1):
             bit = (level >> b) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
-            self.zeros.append(n - int(self.ones[-1][-1]))
+            self.ones.append(Bits(bit))
+            self.zeros.append(n - int(bit.sum()))
             level = np.concatenate((level[bit == 0], level[bit == 1]))
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=1 << self.levels))))
-        self.at = np.where(order % SAMPLE == 0, order, -1)
+        self.sampled = Bits(order % SAMPLE == 0)
+        self.at = order[order % SAMPLE == 0].astype(np.int32)
         self.n = n
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -90,7 +115,7 @@ class FMIndex:
         start = np.zeros_like(i)
         for k in range(self.levels):
             one = ((symbol >> (self.levels - 1 - k)) & 1).astype(bool)
-            a, b = self.ones[k][start], self.ones[k][i]
+            a, b = self.ones[k].rank(start), self.ones[k].rank(i)
             start = np.where(one, self.zeros[k] + a, start - a)
             i = np.where(one, self.zeros[k] + b, i - b)
         return i - start
@@ -99,8 +124,7 @@ class FMIndex:
         """The row of the suffix that starts one word earlier."""
         symbol, place, start = np.zeros_like(i), i, np.zeros_like(i)
         for k in range(self.levels):
-            a, b = self.ones[k][start], self.ones[k][place]
-            one = self.ones[k][place + 1] > b
+            a, b, one = self.ones[k].rank(start), self.ones[k].rank(place), self.ones[k][place]
             symbol = symbol * 2 + one
             start = np.where(one, self.zeros[k] + a, start - a)
             place = np.where(one, self.zeros[k] + b, place - b)
@@ -123,12 +147,11 @@ class FMIndex:
         return which, lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        """Positions of the suffixes in these rows."""
+        """Positions of the suffixes in these rows: steps back to a sampled row."""
         out, open_, steps = np.empty(len(rows), dtype=np.int64), np.arange(len(rows)), 0
         while len(open_):
-            at = self.at[rows]
-            known = at >= 0
-            out[open_[known]] = at[known] + steps
+            known = self.sampled[rows]
+            out[open_[known]] = self.at[self.sampled.rank(rows[known])] + steps
             rows, open_ = self.step(rows[~known]), open_[~known]
             steps += 1
         return out
@@ -167,18 +190,17 @@ def _search_shard(docs: list[tuple[int, list[int]]], phrases: Phrases) -> dict[i
     return out
 
 
-_FOUND = "doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+_FOUND = "doc_id long, at long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
-def _one_pass(docs: DataFrame, phrases: Phrases, with_key: bool) -> DataFrame:
-    """(doc_id, n_words, spans, items) of each row; with_key adds text_md5, which tells rows of one doc_id apart."""
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+def _one_pass(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """(doc_id, at, n_words, spans, items) of each row, for the phrases that were sent; at is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = sent.value
         get = phrases.word.get
         for b in batches:
-            texts, n_words, shard, size = b.column(1).cast(pa.binary()), [], [], 0
+            texts, n_words, shard, size = b.column(2).cast(pa.binary()), [], [], 0
             found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
             for k, x in enumerate(texts):
                 words = words_of(t := x.as_py())
@@ -193,34 +215,27 @@ def _one_pass(docs: DataFrame, phrases: Phrases, with_key: bool) -> DataFrame:
             spans = [[{"a": a, "b": z} for a, z in found[k][0]] if k in found else [] for k in range(len(n_words))]
             items = [sorted(found[k][1]) if k in found else [] for k in range(len(n_words))]
             kinds = (pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, k) for v, k in zip((n_words, spans, items), kinds, strict=True)), *b.columns[2:]], names=["doc_id", "n_words", "spans", "items", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, k) for v, k in zip((n_words, spans, items), kinds, strict=True))], names=["doc_id", "at", "n_words", "spans", "items"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    if not with_key:
-        return rows.mapInArrow(run, _FOUND)
-    return rows.withColumn("text_md5", F.md5("text")).mapInArrow(run, _FOUND + ", text_md5 string")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("at"), text.alias("text")).mapInArrow(run, _FOUND)
 
 
-def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_words, spans, items) of each row of ``docs``.
-
-    spans: merged half-open ranges of word numbers inside occurrences of windows of benchmark items; items: item_ids (as
-    strings, sorted) with an occurrence. An item of fewer words than ``window`` is one window; an item or document
-    without words, null included, has none. Items that repeat an item_id are taken together; items without one give
-    spans only. Each document gives a row, be its doc_id repeated or null.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, max_words: int) -> DataFrame:
+    """``removal_spans`` with at, which tells rows of one doc_id apart."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = bench.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     blocks = 1 + (size[0] or 0) // (4 * max_words)
-    passes = []
+    sc, passes = docs.sparkSession.sparkContext, []
     for k in range(blocks):
         some = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        items = [(r.item_id, words_of((r.text or "").encode())) for r in some.toLocalIterator()]
-        passes.append(_one_pass(docs, Phrases(items, window), blocks > 1))
-    if blocks == 1:
-        return passes[0]
+        sent = sc.broadcast(Phrases([(r.item_id, words_of((r.text or "").encode())) for r in some.toLocalIterator()], window))
+        if blocks == 1:
+            return _one_pass(docs, sent)
+        passes.append(cut(_one_pass(docs, sent)))  # a block's phrases go before those of the next are made
+        sent.destroy()
     # equal texts have equal spans, so copies of a row are counted and written out again
-    rows = cut(union_all(passes)).groupBy("doc_id", "text_md5").agg(
+    rows = union_all(passes).groupBy("doc_id", "at").agg(
         F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -230,7 +245,20 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     step = lambda m, s: F.when((F.size(m) > 0) & (F.element_at(m, -1)["b"] >= s["a"]), F.concat(F.slice(m, 1, F.size(m) - 1), F.array(F.struct(F.element_at(m, -1)["a"].alias("a"), F.greatest(F.element_at(m, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(m, F.array(s)))
 
     rows = rows.withColumn("spans", F.aggregate("spans", F.expr("cast(array() as array<struct<a:int,b:int>>)"), step))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", "spans", "items")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
+
+
+def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000) -> DataFrame:
+    """(doc_id, n_words, spans, items) of each row of ``docs``.
+
+    spans: merged half-open ranges of word numbers inside occurrences of windows of benchmark items; items: item_ids (as
+    strings, sorted) with an occurrence. An item of fewer words than ``window`` is one window; an item or document
+    without words, null included, has none. Items that repeat an item_id are taken together; items without one give
+    spans only. Each document gives a row, be its doc_id repeated or null; an empty table gives none, and an empty
+    benchmark no spans. Phrases are searched in passes of about ``max_words`` words of the benchmark, one in memory at
+    a time.
+    """
+    return _found(docs, benchmark, window, max_words).drop("at")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -245,30 +273,38 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def without_spans(text: Column, spans: Column) -> Column:
-    """The text without the words of the spans and the marks between them; a line break stands for each span."""
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    words, gaps = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word, -1)
-    keep = lambda i: ~F.exists(spans, lambda s: (s["a"] <= i) & (i < s["b"]))
-    inner = lambda i: F.exists(spans, lambda s: (s["a"] < i) & (i < s["b"]))
-    both = F.arrays_zip(gaps.alias("g"), words.alias("w"))  # evaluated once; in the lambda they would be for each word
-    word_at = lambda w, i: F.when(w.isNull(), F.lit("")).when(keep(i), w).when(F.exists(spans, lambda s: s["a"] == i), F.lit("\n")).otherwise(F.lit(""))
-    parts = F.transform(both, lambda x, i: F.concat(F.when(inner(i), F.lit("")).otherwise(x["g"]), word_at(x["w"], i)))
-    return F.array_join(parts, "")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
 
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans (sorted, apart) and the marks between them; a line break stands for each."""
+    out, done, word = [], 0, enumerate(_WORD.finditer(text))
+    for a, b in spans:
+        for i, m in word:
+            if i == a:
+                out += [text[done : m.start()], "\n"]
+            if i == b - 1:
+                done = m.end()
+                break
+    return "".join(out) + text[done:]
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000) -> DataFrame:
     """``docs`` with the removal spans taken out of the texts; n_chars, if there, is counted anew.
 
-    Documents without a span keep their text to the byte; one of which no word is left goes. doc_id must be unique;
-    documents with a null doc_id stay as they are.
+    Documents without a span keep their text to the byte; one of which no word is left goes. Rows with a null or
+    repeated doc_id are treated by their texts, each on its own.
     """
-    found = removal_spans(docs.where("doc_id is not null"), benchmark, window).where(F.size("spans") > 0)
-    hit = found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), (F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]) == F.col("n_words")).alias("_all"))
-    out = docs.join(hit, F.col("doc_id") == F.col("_id"), "left").where(F.coalesce(~F.col("_all"), F.lit(True)))
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("_spans"))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    hit = _found(docs, benchmark, window, max_words).where(F.size("spans") > 0).dropDuplicates(["doc_id", "at"])
+    hit = hit.select(F.col("doc_id").alias("h_id"), F.col("at").alias("h_at"), "spans", "n_words")
+    rows = keyed_rows(docs).join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("at") == F.col("h_at")), "left")
+    all_ = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]) == F.col("n_words")
+    rows = rows.where(F.coalesce(~all_, F.lit(True))).select("row", F.when(F.col("spans").isNotNull(), F.col("row.text").cast("string")).alias("text"), "spans")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t and without_spans(t, [(x["a"], x["b"]) for x in s or ()]) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "less"])
 
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("less", StringType())]))
+    return with_text(out, F.col("less"), docs)

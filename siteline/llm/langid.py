@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -157,12 +158,9 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text.decode())
 
 
-def predict(docs: DataFrame, model: Model | None, chunk: int = 4 << 20) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row's whole text, with any other columns of ``docs`` but lang after them.
-
-    ``und`` with score 0 where the text is null or has no letter, or where there is no model.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _judged(rows: DataFrame, model: Model | None, chunk: int = 4 << 20) -> DataFrame:
+    """(carry, lang_pred, score) of rows (carry, text), carry being any column."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -185,9 +183,19 @@ def predict(docs: DataFrame, model: Model | None, chunk: int = 4 << 20) -> DataF
                         flush(group)
                         group, size = [], 0
             flush(group)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["carry", "lang_pred", "score"])
+
+    out = StructType([rows.schema["carry"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.select("carry", "text").mapInArrow(run, out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, lang_pred, score) of each row's whole text, rows that repeat a doc_id among them.
+
+    ``und`` with score 0 where the text is null or has no letter, or where there is no model. An empty table gives none.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("carry"), F.col("text").cast("string").alias("text"))
+    return _judged(rows, model).withColumnRenamed("carry", "doc_id")
 
 
 def identify(docs: DataFrame, **options: int) -> DataFrame:
@@ -199,11 +207,12 @@ def identify(docs: DataFrame, **options: int) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """``docs`` without rows whose text is in no language: ``und``, or no language with a probability of ``least``.
 
-    Rows without doc_id are judged by nothing and go only with a null text. doc_id must be unique.
+    Rows are judged by their texts alone, those without doc_id or with a repeated one too, and need no join. Without a
+    column lang, or without labelled rows to learn from, only texts that are null or have no letter go.
     """
-    if "lang" not in docs.columns:
-        return docs.where(F.col("text").isNotNull())
-    found = predict(docs.where("doc_id is not null"), train(docs))
-    good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(good, "doc_id", "left_semi")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull() & F.col("text").isNotNull())).select(*docs.columns)
+    model = train(docs) if "lang" in docs.columns else None
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("carry"), F.col("text").cast("string").alias("text"))
+    found = _judged(rows, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("carry.*")

@@ -10,16 +10,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteline.llm.common import cut, word_count
+from siteline.llm.common import cut, keyed_rows, partitions, word_count
 
 #: A source's documents are dealt to this many parts of the seeded order, so that no task holds a whole source.
 PARTS_HEX = 3
 
 
 def weights_by_order(sources: DataFrame, cycle: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
-    """(source, source_size, weight): weights repeat along the sources by code point, null last."""
-    place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(cycle)
-    return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (place + 1).cast("int")).cast("long"))
+    """(source, source_size, weight): weights repeat along the sources by code point, null last.
+
+    Sources are sorted by ranges, so that no task holds them all; a range's places start after those before it.
+    """
+    n = partitions(sources)
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = cut(sources.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order)).cast("long")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))  # at most n rows
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("range", before.alias("before")))
+    place = (inside + F.col("before") - 1) % len(cycle)
+    rows = ranged.join(starts, "range").withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (place + 1).cast("int")).cast("long"))
+    return rows.drop("range", "before")
 
 
 def fill(sources: DataFrame, share: tuple[int, int] = (3, 2), max_epochs: int = 2) -> DataFrame:
@@ -54,15 +65,15 @@ def seeded(doc_id: Column, seed: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
-def mix(docs: DataFrame, share: tuple[int, int] = (3, 2), max_epochs: int = 2, cycle: tuple[int, ...] = (3, 1, 2), seed: str = "mix") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, and the column ``source``) of each row.
+def mix(docs: DataFrame, share: tuple[int, int] = (3, 2), max_epochs: int = 2, cycle: tuple[int, ...] = (3, 1, 2), seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, and the columns ``source`` and ``carry``) of each row.
 
     Size is the number of words, null and empty texts having none; taken is the number of words that the mix takes of
     the document, repeats counted. The words taken of a source are its target, rounded down; no document exceeds
     ``max_epochs`` times its size. Reruns agree: the order depends on seed, doc_id and size alone. A null source is a
     source of its own. Rows that repeat a doc_id are documents of their own; equal ones among them are in any order.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), *carry)
     rows = cut(rows.withColumn("order", seeded(F.col("doc_id"), seed)).withColumn("part", F.substring("order", 1, PARTS_HEX)))
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     sources = fill(weights_by_order(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), cycle), share, max_epochs)
@@ -73,19 +84,36 @@ def mix(docs: DataFrame, share: tuple[int, int] = (3, 2), max_epochs: int = 2, c
     plan = parts.withColumn("before", before).alias("p").join(sources.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")))
     plan = plan.select(F.col("p.source").alias("p_source"), F.col("part").alias("p_part"), "source_size", "target", "whole", (F.col("rest") - F.col("before")).alias("left"), "part_size")
     at = (F.col("part") == F.col("p_part")) & F.col("source").eqNullSafe(F.col("p_source"))
-    dealt = rows.join(plan, at).select("doc_id", "source", "size", "source_size", "target", "whole", "left", "part_size", "order", "part")
+    dealt = rows.join(plan, at).select("doc_id", "source", "size", "source_size", "target", "whole", "left", "part_size", "order", "part", *carry)
     edge = (F.col("left") > 0) & (F.col("left") < F.col("part_size"))
     inside = Window.partitionBy("source", "part").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
     cutting = dealt.where(edge).withColumn("more", F.greatest(F.least(F.col("left") - F.coalesce(F.sum("size").over(inside), F.lit(0)), F.col("size")), F.lit(0)))
     clear = dealt.where(~edge).withColumn("more", F.when(F.col("left") > 0, F.col("size")).otherwise(F.lit(0)))
-    return clear.unionByName(cutting).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"))
+    return clear.unionByName(cutting).select("doc_id", "source", *carry, "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"))
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with ``taken`` and ``copies`` (whole repetitions); documents of which nothing is taken go.
+    """``docs`` with ``taken`` and ``copies`` (whole repetitions), which take the place of columns of these names;
+    documents of which nothing is taken go.
 
-    ``taken`` beyond ``copies`` times the document's words is a last, partial repetition of its first words. doc_id must
-    be unique.
+    ``taken`` beyond ``copies`` times the document's words is a last, partial repetition of its first words. Rows that
+    repeat doc_id, source and text are documents of their own; which of them is the one taken in part is left open.
     """
-    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), "taken", F.expr("taken div size").alias("copies"))
-    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    rows = keyed_rows(docs).withColumn("source", F.col("row.source").cast("string"))
+    key = ["doc_id", "source", "at"]
+    plan = mix(rows.select(*key, F.col("row.text").alias("text")), carry=("at",), **options).select(*key, "taken", F.expr("taken div nullif(size, 0)").alias("copies"))
+    plan = cut(plan)
+    again = cut(plan.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    right = plan.where("taken > 0").select(*(F.col(c).alias(f"p_{c}") for c in key), "taken", "copies")
+    on = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in key]
+    if again.isEmpty():
+        out = rows.join(right, on)
+    else:  # repeated rows are numbered on both sides, so that each meets one row of the plan
+        twice = again.select(*(F.col(c).alias(f"t_{c}") for c in key))
+        is_twice = lambda t, prefix: [F.col(f"{prefix}{c}").eqNullSafe(F.col(f"t_{c}")) for c in key]
+        number = lambda prefix: F.row_number().over(Window.partitionBy(*(f"{prefix}{c}" for c in key)).orderBy(F.lit(0)))
+        one = rows.join(twice, is_twice(rows, ""), "left_anti").join(right, on)
+        many = rows.join(twice, is_twice(rows, ""), "left_semi").withColumn("k", number(""))
+        theirs = plan.select(*(F.col(c).alias(f"p_{c}") for c in key), "taken", "copies").join(twice, is_twice(plan, "p_"), "left_semi").withColumn("p_k", number("p_")).where("taken > 0")
+        out = one.unionByName(many.join(theirs, [*on, F.col("k") == F.col("p_k")]).drop("k", "p_k"))
+    return out.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in ("taken", "copies")), "taken", "copies")

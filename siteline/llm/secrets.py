@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteline.llm.common import cut
+from siteline.llm.common import cut, keyed_rows, with_text
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,11 +46,11 @@ def _spans(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0
 def found_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, at, base, tokens): base spans and the spans and texts of tokens; at tells texts of one doc_id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.col("text").cast("string")).alias("at"))
     base = F.concat(_spans(F.col("text"), ASSIGN, 0, 6, 2), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2))
     tokens = F.zip_with(_spans(F.col("text"), TOKEN, 3), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t.alias("token")))
     tokens = F.when(F.col("text").rlike(TOKEN), tokens)
-    return rows.select("doc_id", F.xxhash64("text").alias("at"), F.array_sort(base).alias("base"), tokens.alias("tokens"))
+    return rows.select("doc_id", "at", F.array_sort(base).alias("base"), tokens.alias("tokens"))
 
 
 def _tail(z: Column) -> Column:
@@ -151,20 +151,17 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, q: float = 0.1, mark: str = "[secret]") -> DataFrame:
     """``docs`` with a mark in place of each secret; overlapping spans share one. Other texts stay to the byte, nulls too;
-    n_chars, if there, is counted anew where a text changes."""
-    found = scan(docs, q).select(F.col("doc_id").alias("_id"), F.col("at").alias("_at"), F.array_sort(F.concat("base", "added")).alias("_spans")).where(F.size("_spans") > 0)
-    found = found.dropDuplicates(["_id", "_at"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_at"))
-    out = docs.join(found, same, "left")
+    n_chars, if there, is counted anew where a text changes. Rows with a null or repeated doc_id are treated by their texts.
+    """
+    found = scan(docs, q).select(F.col("doc_id").alias("f_id"), F.col("at").alias("f_at"), F.array_sort(F.concat("base", "added")).alias("spans")).where(F.size("spans") > 0)
+    rows = keyed_rows(docs).join(found.dropDuplicates(["f_id", "f_at"]), F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("at") == F.col("f_at")), "left")
+    text = F.col("row.text").cast("string")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    piece = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
+    piece = lambda a, b: F.substring(text, a + 1, b - a)
 
     def step(s: Column, x: Column) -> Column:
         fresh = x["start"] >= s["at"]
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], piece(s["at"], x["start"]), F.lit(mark))).otherwise(s["out"]).alias("out"))
 
-    changed = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], piece(s["at"], F.length("text"))))
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(changed))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    changed = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], piece(s["at"], F.length(text))))
+    return with_text(rows, F.when(F.col("spans").isNotNull(), changed), docs)

@@ -85,29 +85,34 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("at"), text.alias("text"))
+
+
 def _sparse(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, n_words, keys, places): one row per document with its kept suffixes."""
+    """(doc_id, at, n_words, keys, places): one row per document with its kept suffixes; at is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, keys, places = [], [], []
-            for x in b.column(1).cast(pa.binary()):
+            for x in b.column(2).cast(pa.binary()):
                 h = word_hashes(x.as_py())
                 at, gram, _, _ = minimisers(h, length)
                 n_words.append(len(h))
                 keys.append(_signed(gram))
                 places.append(at.astype(np.int32))
             lists = [pa.array(v, pa.list_(t)) for v, t in ((keys, pa.int64()), (places, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), *lists], names=["doc_id", "n_words", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), *lists], names=["doc_id", "at", "n_words", "keys", "places"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, keys array<long>, places array<int>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, at long, n_words long, keys array<long>, places array<int>")
 
 
-_SUFFIX = "key long, n long, doc_id long, at int, before int, after int, context binary"
+_SUFFIX = "key long, n long, doc long, at int, before int, after int, context binary"
 
 
 def _suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Suffixes at the wanted places with their context: words after the first K, words before backwards, numbers of both."""
+    """Suffixes of the texts (doc, doc_id, at) at the wanted places with their context: words after the first K, words before backwards, numbers of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = length - K
@@ -126,18 +131,19 @@ def _suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         for c, v in zip(cols, (g, count[p], doc, p, p - lo, p - hi, right + left + bytes([min(p, reach), ends])), strict=True):
                             c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "n", "doc_id", "at", "before", "after", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "n", "doc", "at", "before", "after", "context"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
-    return rows.select("doc_id", "text", "wants").mapInArrow(run, _SUFFIX)
+    theirs = wanted.select("doc", F.col("doc_id").alias("w_id"), F.col("at").alias("w_at"), "wants")
+    rows = _keyed(docs).join(theirs, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("at") == F.col("w_at")))
+    return rows.select("doc", "text", "wants").mapInArrow(run, _SUFFIX)
 
 
-_MATCH = "doc_id long, a int, b int, hash long"
+_MATCH = "doc long, a int, b int, hash long"
 
 
 def _compare(suffixes: DataFrame, length: int) -> DataFrame:
-    """Spans (doc_id, a, b) of repeats within a group of suffixes; of keys over more groups, (doc_id, a, null, hash) of the
-    stretches without a copy in their group and (doc_id, null, null, hash) once for each stretch with one."""
+    """Spans (doc, a, b) of repeats within a group of suffixes; of keys over more groups, (doc, a, null, hash) of the
+    stretches without a copy in their group and (doc, null, null, hash) once for each stretch with one."""
     reach = length - K
 
     def same(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -155,7 +161,7 @@ def _compare(suffixes: DataFrame, length: int) -> DataFrame:
             held, t = t.slice(end).combine_chunks(), t.slice(0, end)
             if not end:
                 continue
-            key, doc, at, before, after, n = (t.column(c).to_numpy() for c in ("key", "doc_id", "at", "before", "after", "n"))
+            key, doc, at, before, after, n = (t.column(c).to_numpy() for c in ("key", "doc", "at", "before", "after", "n"))
             starts = starts[starts < end]
             together = np.ones(end, dtype=bool)
             together[starts] = False
@@ -201,12 +207,12 @@ def _compare(suffixes: DataFrame, length: int) -> DataFrame:
                 put(doc[i[ok]], np.full(len(ok), -1), np.full(len(ok), -1), hashed[ok])
             cols = [np.concatenate(c) for c in out]
             a_col, b_col = (pa.array(c.astype(np.int32), mask=c < 0) for c in cols[1:3])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), a_col, b_col, pa.array(cols[3], pa.int64())], names=["doc_id", "a", "b", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), a_col, b_col, pa.array(cols[3], pa.int64())], names=["doc", "a", "b", "hash"])
 
-    spread = F.when(F.col("n") <= TOGETHER, 0).otherwise(F.pmod(F.xxhash64("doc_id", "at"), F.ceil(F.col("n") / TOGETHER))).cast("int")
+    spread = F.when(F.col("n") <= TOGETHER, 0).otherwise(F.pmod(F.xxhash64("doc", "at"), F.ceil(F.col("n") / TOGETHER))).cast("int")
     rows = suffixes.withColumn("salt", spread)
-    rows = rows.repartition(partitions(rows), "key", "salt").sortWithinPartitions("key", "salt", "context", "doc_id", "at")
-    return rows.select("key", "salt", "doc_id", "at", "before", "after", "n", "context").mapInArrow(run, _MATCH)
+    rows = rows.repartition(partitions(rows), "key", "salt").sortWithinPartitions("key", "salt", "context", "doc", "at")
+    return rows.select("key", "salt", "doc", "at", "before", "after", "n", "context").mapInArrow(run, _MATCH)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -225,27 +231,34 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_words, spans) of each row: merged half-open ranges of word numbers in repeated passages.
 
     A passage is repeated if its ``length`` words, between ASCII white space and to the letter, occur elsewhere in the
-    corpus or again in the text. Null, empty and shorter texts have no spans. doc_id must be unique and not null.
+    corpus or again in the text. Null, empty and shorter texts have no spans. Each row is a text of its own, be its
+    doc_id repeated or null; so rows that repeat a long text are repeats of each other. An empty table gives no rows.
     """
     if not K < length <= 250:
         raise ValueError(f"length must be from {K + 1} to 250")
-    sparse = cut(_sparse(docs.where("doc_id is not null"), length))
-    flat = sparse.select("doc_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("at"))))
-    twice = cut(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    sparse = cut(_sparse(docs, length))
+    # rows equal in doc_id and text are taken together here, and come apart again where they meet their texts
+    texts = sparse.groupBy("doc_id", "at").agg(F.first("keys").alias("keys"), F.first("places").alias("places"), F.count("*").alias("copies"))
+    texts = cut(texts).withColumn("doc", F.monotonically_increasing_id())
+    flat = texts.select("doc", "copies", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("at"))))
+    twice = cut(flat.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1"))
     # keys that hold more than 1/MANY of all suffixes are fewer than MANY: they are joined without a shuffle
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = F.broadcast(twice.where(F.col("n") * MANY > F.lit(total)))
     rest = flat.join(hot, "key", "left_anti").join(twice, "key")
-    wanted = flat.join(hot, "key").unionByName(rest).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("wants"))
-    found = cut(_compare(_suffixes(docs, wanted, length), length))
-    open_ = found.where("b is null").select("doc_id", "a", "hash")
+    wanted = flat.join(hot, "key").unionByName(rest).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("wants"))
+    names = texts.select("doc", "doc_id", "at")
+    found = cut(_compare(_suffixes(docs, wanted.join(names, "doc"), length), length))
+    open_ = found.where("b is null").select("doc", "a", "hash")
     again = open_.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
-    spans = found.where("b is not null").select("doc_id", "a", "b").unionByName(open_.where("a is not null").join(again, "hash").select("doc_id", "a", (F.col("a") + length).cast("int").alias("b")))
+    spans = found.where("b is not null").select("doc", "a", "b").unionByName(open_.where("a is not null").join(again, "hash").select("doc", "a", (F.col("a") + length).cast("int").alias("b")))
     empty = F.expr("cast(array() as array<struct<a:int,b:int>>)")
     last = lambda m: F.element_at(m, -1)
     grow = lambda m, s: F.when((F.size(m) > 0) & (last(m)["b"] >= s["a"]), F.concat(F.slice(m, 1, F.size(m) - 1), F.array(F.struct(last(m)["a"].alias("a"), F.greatest(last(m)["b"], s["b"]).alias("b"))))).otherwise(F.concat(m, F.array(s)))
-    merged = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("s")).select("doc_id", F.aggregate("s", empty, grow).alias("spans"))
-    return sparse.select("doc_id", "n_words").join(merged, "doc_id", "left").select("doc_id", "n_words", F.coalesce("spans", empty).alias("spans"))
+    merged = spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("s")).select("doc", F.aggregate("s", empty, grow).alias("spans"))
+    merged = merged.join(names, "doc").select(F.col("doc_id").alias("m_id"), F.col("at").alias("m_at"), "spans")
+    out = sparse.select("doc_id", "at", "n_words").join(merged, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("at") == F.col("m_at")), "left")
+    return out.select("doc_id", "n_words", F.coalesce("spans", empty).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
