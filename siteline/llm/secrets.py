@@ -1,14 +1,16 @@
 """Secret scans: patterns for known forms, and a battery of randomness tests for other tokens.
 
-Tokens of an encoding's alphabet are tested for uniform symbols (chi-squared), for runs about the alphabet's middle and
-for serial correlation. The least of the three p-values, times three, says how far a token is from random; within each
-class of lengths the Benjamini-Hochberg rule rejects those that are not random, with a bound on the share of random
-tokens among the rejected. What is left is reported. DataFrame expressions only.
+Tokens of an encoding's alphabet are tested for uniform symbols (chi-squared over groups of symbols, and over single
+ones where a token is long enough), for runs about the alphabet's middle and for serial correlation. The least p-value,
+times the number of tests, is a token's randomness: it is near 0 for names, words and numbers. A token is reported if it
+is more random than such structured tokens are: its p-value against them is the share of simulated structured tokens of
+its encoding and class of lengths that look as random, and within each class of lengths the Benjamini-Hochberg rule
+bounds the share of structured tokens among those reported. DataFrame expressions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteline.llm.common import cut, keyed_rows, with_text
@@ -17,12 +19,14 @@ from siteline.llm.common import cut, keyed_rows, with_text
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # leftmost runs of 20 and more: as AKIA[A-Z0-9]+ with shorter matches dropped
 HEX = r"[0-9a-f]{24,}"  # likewise
-#: A token that could be an encoded key: 20 and more symbols, with a letter and a digit.
-TOKEN = r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A token that could be an encoded key, if it has a letter and a digit: 20 and more symbols, taken without backtracking.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: p-values count in steps of 1/STEPS of their decimal logarithm, down to 10^-(BINS / STEPS).
 STEPS, BINS = 50, 1000
+#: Classes of lengths begin here; structured tokens are simulated at the least length of a class, where they look most random.
+LENGTHS = (20, 24, 32, 45, 64)
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -49,7 +53,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.col("text").cast("string")).alias("at"))
     base = F.concat(_spans(F.col("text"), ASSIGN, 0, 6, 2), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2))
     tokens = F.zip_with(_spans(F.col("text"), TOKEN, 3), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t.alias("token")))
-    tokens = F.when(F.col("text").rlike(TOKEN), tokens)
+    tokens = F.when(F.col("text").rlike(TOKEN), F.filter(tokens, lambda t: t["token"].rlike("[0-9]") & t["token"].rlike("[A-Za-z]")))
     return rows.select("doc_id", "at", F.array_sort(base).alias("base"), tokens.alias("tokens"))
 
 
@@ -82,17 +86,26 @@ def encoding_of(token: Column) -> Column:
 def randomness(tokens: DataFrame) -> DataFrame:
     """``tokens`` (column ``token``) of a known encoding, with n, z values of the three tests and p.
 
-    p is the least p-value of the battery times three, 1 at most: the smaller, the less random the token.
+    p is the least p-value of the battery times the number of its tests, 1 at most: the smaller, the less random the token.
     """
     rows = tokens.withColumn("body", F.regexp_replace("token", "=+$", "")).withColumn("enc", encoding_of(F.col("body"))).where("enc is not null")
     rows = rows.withColumn("k", F.length("enc.alphabet").cast("double")).withColumn("n", F.length("body").cast("double"))
     rows = rows.withColumn("chars", F.split("body", ""))
     rows = rows.withColumn("v", F.transform("chars", lambda c: F.instr(F.col("enc.alphabet"), c).cast("double") - 1 - (F.col("k") - 1) / 2))
     n, k = F.col("n"), F.col("k")
+    # groups of symbols: vowels, consonants of either case, and the rest; digits and letters by halves in hex
+    cells = {"hex": ("[0-4]", "[5-9]", "[AaEe]", "[B-Db-dFf]"), "base32": ("[AEIOU]", "[B-DF-HJ-NP-TV-Z]", "[2-7]"), "base64": ("[AEIOUaeiou]", "[b-df-hj-np-tv-z]", "[B-DF-HJ-NP-TV-Z]", "[^A-Za-z]")}
+    shares = {"hex": (5, 5, 2, 4), "base32": (5, 21, 6), "base64": (10, 21, 21, 12)}
+
+    def grouped(name: str) -> Column:
+        total = sum(shares[name])
+        parts = [F.pow(F.regexp_count("body", F.lit(cell)) - n * w / total, F.lit(2.0)) / (n * w / total) for cell, w in zip(cells[name], shares[name], strict=True)]
+        return _chi_tail(sum(parts[1:], parts[0]), F.lit(float(len(parts) - 1)))
+
+    name = F.col("enc.name")
+    rows = rows.withColumn("p_groups", F.when(name == "hex", grouped("hex")).when(name == "base32", grouped("base32")).otherwise(grouped("base64")))
     squares = F.aggregate(F.array_distinct("chars"), F.lit(0.0), lambda s, c: s + F.pow(n - F.length(F.replace(F.col("body"), c, F.lit(""))), F.lit(2.0)))
-    df = k - 1
-    chi = F.greatest(squares * k / n - n, F.lit(1e-9)) / df
-    rows = rows.withColumn("z_chi", (F.pow(chi, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+    rows = rows.withColumn("p_symbols", F.when(n >= 5 * k, _chi_tail(squares * k / n - n, k - 1)))
     up = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.when(x > 0, 1.0).otherwise(0.0))
     first = F.struct(F.lit(0.0).alias("runs"), F.lit(0.0).alias("corr"), F.lit(None).cast("double").alias("last"))
     walk = lambda s, x: F.struct((s["runs"] + F.when(s["last"].isNull() | ((s["last"] > 0) != (x > 0)), 1.0).otherwise(0.0)).alias("runs"), (s["corr"] + F.coalesce(s["last"] * x, F.lit(0.0))).alias("corr"), x.alias("last"))
@@ -101,23 +114,65 @@ def randomness(tokens: DataFrame) -> DataFrame:
     spread = F.sqrt(F.greatest(even * (even - 1) / (n - 1), F.lit(1e-9)))
     rows = rows.withColumn("z_runs", F.abs(F.col("walk.runs") - 1 - even) / spread)
     rows = rows.withColumn("z_serial", F.abs(F.col("walk.corr")) / ((k * k - 1) / 12 * F.sqrt(n - 1)))
-    chi_p = F.when(F.col("z_chi") > 0, _tail(F.col("z_chi"))).otherwise(1 - _tail(-F.col("z_chi")))
-    p = F.least(F.lit(1.0), 3 * F.least(chi_p, 2 * _tail(F.col("z_runs")), 2 * _tail(F.col("z_serial"))))
-    return rows.withColumn("p", p).drop("chars", "v", "walk", "up")
+    least = F.least("p_groups", "p_symbols", 2 * _tail(F.col("z_runs")), 2 * _tail(F.col("z_serial")))  # nulls don't count
+    return rows.withColumn("p", F.least(F.lit(1.0), F.when(n >= 5 * k, 4.0).otherwise(3.0) * least)).drop("chars", "v", "walk", "up")
+
 
+def _chi_tail(x: Column, df: Column) -> Column:
+    """P(chi-squared > x) by the cube-root rule of Wilson and Hilferty."""
+    z = (F.pow(F.greatest(x, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    return F.when(z > 0, _tail(z)).otherwise(1 - _tail(-z))
 
-def not_rejected(tested: DataFrame, q: float = 0.1) -> DataFrame:
-    """Rows of ``tested`` (n, p) that Benjamini-Hochberg at level q leaves as random within their class of lengths.
 
-    p-values are rounded up to steps of 1/STEPS of a decade, so that a bounded table of counts takes the place of a sort.
+def structured(spark: SparkSession, each: int = 2000) -> DataFrame:
+    """Simulated structured tokens (column ``token``), ``each`` of either kind and of each length in LENGTHS.
+
+    Words of two or three syllables, drawn by a hash, run together and cut to length, with a number at the end: capitals
+    at the words' starts, or lower-case words between hyphens with a capital at the start, or upper case; and letters'
+    codes in hex. The table's size is fixed.
+    """
+    rows = spark.range(each * len(LENGTHS)).withColumn("n", F.get(F.array(*map(F.lit, LENGTHS)), (F.col("id") % len(LENGTHS)).cast("int")))
+    draw = lambda what, most, *i: F.pmod(F.xxhash64(F.lit(what), "id", *i), F.lit(most)).cast("int")
+    pick = lambda letters, what, *i: F.substring(F.lit(letters), draw(what, len(letters), *i) + 1, F.lit(1))
+    consonants, vowels = "bcdfghlmnprstvtrsln", "aeiouaeio"
+    syllable = lambda i, j: F.concat(pick(consonants, "c", i, j), pick(vowels, "v", i, j), F.when(draw("e", 3, i, j) == 0, pick("nrstl", "f", i, j)).otherwise(""))
+    word = lambda i: F.concat(syllable(i, F.lit(0)), syllable(i, F.lit(1)), F.when(draw("w", 2, i) == 0, syllable(i, F.lit(2))).otherwise(""))
+    words = F.transform(F.sequence(F.lit(1), (F.col("n") / 4).cast("int") + 1), word)
+    number = draw("digits", 9000).cast("string")
+    fit = lambda text: F.concat(F.substring(text, F.lit(1), F.col("n") - F.length("number")), F.col("number"))
+    rows = rows.withColumn("words", words).withColumn("number", F.concat(F.lit("2"), number))
+    camel = fit(F.array_join(F.transform("words", F.initcap), ""))
+    kinds = [camel, fit(F.initcap(F.array_join("words", "-"))), fit(F.upper(F.array_join("words", ""))), F.substring(F.hex(F.array_join("words", " ")), F.lit(1), F.col("n"))]
+    return rows.select(F.explode(F.array(*kinds)).alias("token"))
+
+
+def _classed(tested: DataFrame) -> DataFrame:
+    """``tested`` (enc, n, p) with family, length_class (the last of LENGTHS reached) and bin: steps of 1/STEPS of a decade of p."""
+    length = sum((F.when(F.col("n") >= x, 1).otherwise(0) for x in LENGTHS[1:]), F.lit(0))
+    family = F.when(F.col("enc.name").startswith("base64"), "base64").otherwise(F.col("enc.name"))
+    return tested.withColumn("family", family).withColumn("length_class", length).withColumn("bin", F.least(F.floor(-F.log10(F.greatest("p", F.lit(1e-30))) * STEPS), F.lit(BINS)).cast("int"))
+
+
+def discoveries(tested: DataFrame, null: DataFrame, q: float = 0.1) -> DataFrame:
+    """Rows of ``tested`` (enc, n, p) that Benjamini-Hochberg at level q, within their class of lengths, tells from
+    structured ones (``null``, tested as well).
+
+    p-values are taken down to steps of 1/STEPS of a decade, so bounded tables of counts take the place of sorts.
     """
-    length = F.least(F.floor(F.log2(F.col("n")) * 2), F.lit(40)).cast("int")
-    rows = tested.withColumn("length_class", length).withColumn("bin", F.least(F.floor(-F.log10(F.greatest("p", F.lit(1e-30))) * STEPS), F.lit(BINS)).cast("int"))
-    counts = rows.groupBy("length_class", "bin").agg(F.count("*").alias("c"))  # at most 41 x 1001 rows
-    by = Window.partitionBy("length_class")
-    counts = counts.withColumn("rank", F.sum("c").over(by.orderBy(F.desc("bin")))).withColumn("m", F.sum("c").over(by))
-    worst = counts.where(F.pow(F.lit(10.0), -F.col("bin") / STEPS) <= q * F.col("rank") / F.col("m")).groupBy("length_class").agg(F.min("bin").alias("reject_from"))
-    return rows.join(F.broadcast(worst), "length_class", "left").where(F.col("reject_from").isNull() | (F.col("bin") < F.col("reject_from"))).drop("bin", "length_class", "reject_from")
+    key = ["family", "length_class", "bin"]
+    by = Window.partitionBy("family", "length_class")
+    rows = _classed(tested)
+    counts = rows.groupBy(*key).agg(F.count("*").alias("c"), F.lit(0).cast("long").alias("d"))  # 3 x 5 x 1001 rows at most
+    both = counts.unionByName(_classed(null).groupBy(*key).agg(F.lit(0).cast("long").alias("c"), F.count("*").alias("d")))
+    both = both.groupBy(*key).agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    # how many structured tokens look as random as a bin's tokens
+    both = both.withColumn("p0", (1 + F.sum("d").over(by.orderBy("bin"))) / (1 + F.sum("d").over(by)))
+    levels = both.groupBy("length_class", "p0").agg(F.sum("c").alias("c"))
+    of = Window.partitionBy("length_class")
+    levels = levels.withColumn("rank", F.sum("c").over(of.orderBy("p0"))).withColumn("m", F.sum("c").over(of))
+    best = levels.where(F.col("p0") * F.col("m") <= q * F.col("rank")).groupBy("length_class").agg(F.max("p0").alias("most"))
+    good = both.join(best, "length_class").where((F.col("c") > 0) & (F.col("p0") <= F.col("most"))).select(*key)
+    return rows.join(F.broadcast(good), key, "left_semi").drop("family", "bin", "length_class")
 
 
 def scan(docs: DataFrame, q: float = 0.1, least: int = 24) -> DataFrame:
@@ -125,16 +180,17 @@ def scan(docs: DataFrame, q: float = 0.1, least: int = 24) -> DataFrame:
 
     Spans are (start, kind, end) in code points, sorted; kind counts along KINDS. Added spans don't overlap base ones.
     Null texts count as empty. Rows that repeat a doc_id with another text are told apart by ``at``, a hash of the text;
-    rows equal in both share their spans.
+    rows equal in both share their spans. An empty table gives none. q bounds the expected share of structured tokens
+    among the added spans of a class of lengths.
     """
     rows = cut(found_spans(docs))
     tokens = rows.where(F.size("tokens") > 0).dropDuplicates(["doc_id", "at"])
     one = tokens.select("doc_id", "at", "base", F.inline("tokens")).where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
     tested = randomness(one.where(F.col("end") - F.col("start") >= least))
     span = F.struct("start", F.lit(3).alias("kind"), "end")
-    added = not_rejected(tested, q).groupBy("doc_id", "at").agg(F.array_sort(F.collect_list(span)).cast(_SPAN).alias("added"))
-    added = added.select(F.col("doc_id").alias("_id"), F.col("at").alias("_at"), "added")
-    out = rows.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_at")), "left")
+    added = discoveries(tested, cut(randomness(structured(docs.sparkSession))), q).groupBy("doc_id", "at").agg(F.array_sort(F.collect_list(span)).cast(_SPAN).alias("added"))
+    added = added.select(F.col("doc_id").alias("a_id"), F.col("at").alias("a_at"), "added")
+    out = rows.join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("at") == F.col("a_at")), "left")
     return out.select("doc_id", "at", "base", F.coalesce("added", F.array().cast(_SPAN)).alias("added"))
 
 

@@ -172,7 +172,7 @@ def _curve(rows: DataFrame, lexicon: Lexicon, stands_for: dict[int, float]) -> t
         auto = lexicon.automaton()
         for b, texts in _texts(batches):
             x = [lexicon.measures(auto, t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("toxic")), pa.array([a for a, _ in x]), pa.array([d for _, d in x])], names=["toxic", "weight", "density"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("toxic")), pa.array([a for a, _ in x], pa.float64()), pa.array([d for _, d in x], pa.float64())], names=["toxic", "weight", "density"])
 
     t = rows.mapInArrow(measure, "toxic int, weight double, density double").toPandas().sort_values(["toxic", "weight", "density"])
     x = np.column_stack((np.ones(len(t)), t["weight"], t["density"]))

@@ -1,7 +1,10 @@
 """Text operators against plain versions on a small table with hard cases."""
 
 import hashlib
+import math
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -231,6 +234,86 @@ def test_secrets(spark, docs):
     assert secrets.scan(rows.limit(0)).count() == 0
 
 
+def plain_battery(token):
+    """(n, p) of a token of an encoding, by the normal and chi-squared tails in double precision."""
+    body = token.rstrip("=")
+    up, low, dig = (bool(re.search(x, body)) for x in ("[A-Z]", "[a-z]", "[0-9]"))
+    if not dig or not (up or low):
+        return None
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for name, alphabet, ok in (("hex", digits + "abcdef", True), ("hex", digits + "ABCDEF", True), ("base32", upper + "234567", True), ("base64", upper + lower + digits + "+/", up and low), ("base64", upper + lower + digits + "-_", up and low)):
+        if ok and set(body) <= set(alphabet):
+            break
+    else:
+        return None
+    n, k = len(body), len(alphabet)
+    groups = {"hex": ["01234", "56789", "AaEe", "BCDbcdFf"], "base32": ["AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "234567"], "base64": ["AEIOUaeiou", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", digits + "+/-_"]}[name]
+
+    def tail(z):
+        return 0.5 * math.erfc(z / math.sqrt(2))
+
+    def chi(x, df):
+        return tail(((max(x, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+    share = [sum(c in alphabet for c in g) / k for g in groups]
+    count = [sum(body.count(c) for c in g) for g in groups]
+    p = [chi(sum((c - n * w) ** 2 / (n * w) for c, w in zip(count, share)), len(groups) - 1)]
+    if n >= 5 * k:
+        p.append(chi(sum(body.count(c) ** 2 for c in alphabet) * k / n - n, k - 1))
+    v = [alphabet.index(c) - (k - 1) / 2 for c in body]
+    above = sum(x > 0 for x in v)
+    even = 2 * above * (n - above) / n
+    runs = 1 + sum((a > 0) != (b > 0) for a, b in zip(v, v[1:]))
+    p.append(2 * tail(abs(runs - 1 - even) / math.sqrt(max(even * (even - 1) / (n - 1), 1e-9))))
+    p.append(2 * tail(abs(sum(a * b for a, b in zip(v, v[1:]))) / ((k * k - 1) / 12 * math.sqrt(n - 1))))
+    return n, min(1.0, len(p) * min(p))
+
+
+def planted_tokens():
+    """Random keys of several encodings, and names and numbers as programs have them."""
+    r = random.Random(5)
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF")
+    keys = ["".join(r.choice(alphabets[k % 3]) for _ in range((32, 40, 64, 400)[k % 4])) for k in range(120)]
+    words = "get set user account manager service handler factory request response internal session token value buffer stream reader writer config option default parser builder context network string number update delete insert select index table column".split()
+    names = []
+    for k in range(600):
+        x = ""
+        while len(x) < (24, 32, 40, 64)[k % 4]:
+            w = r.choice(words)
+            x += ("-" if x else "") + w if k % 5 == 0 else w.capitalize()
+        names.append((x.upper() if k % 7 == 0 else x[0].upper() + x[1:]) + str(r.randint(2, 999)))
+    return keys, names
+
+
+def test_randomness_battery(spark):
+    keys, names = planted_tokens()
+    tokens = spark.createDataFrame([(x,) for x in [*keys, *names, "a" * 30, "12345678901234567890", "Ab1" * 10, "QUJD" * 9 + "1=="]], "token string")
+    got = {r.token: (r.n, r.p) for r in secrets.randomness(tokens).collect()}
+    want = {r.token: plain_battery(r.token) for r in tokens.collect()}
+    assert set(got) == {t for t, w in want.items() if w}
+    for t, (n, p) in got.items():
+        assert n == want[t][0] and abs(p - want[t][1]) < 1e-5 + 1e-3 * p, (t, p, want[t])
+
+
+def test_reported_tokens_are_keys(spark):
+    keys, names = planted_tokens()
+    for some in (keys, keys[::3][:8]):
+        rows = spark.createDataFrame([(k, f"see {x} here") for k, x in enumerate([*some, *names])], "doc_id long, text string")
+        found = {r.doc_id: [tuple(s) for s in r.added] for r in secrets.scan(rows).collect()}
+        hits = [k for k in range(len(some)) if found[k] == [(4, 3, 4 + len(some[k]))]]
+        false = [k for k in range(len(some), len(found)) if found[k]]
+        assert len(hits) >= 0.75 * len(some), len(hits)
+        assert len(false) <= 0.1 * (len(hits) + len(false)), (len(hits), len(false))
+
+
+def test_secrets_in_long_runs(spark):
+    texts = ["a" * 1_000_000, "AKIA" * 50_000, "f" * 300_000, "é" * 200_000 + " token=abcdef", "token=" + "x" * 100_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in secrets.scan(rows).collect()}
+    assert got == {k: plain_spans(t) for k, t in enumerate(texts)} and time.time() - began < 60
+
+
 def test_mixing_against_plain(spark, docs, texts):
     got = mixing.mix(docs).collect()
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts.items()}
