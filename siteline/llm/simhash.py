@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from siteline.llm.common import connected_components, cut, distinct_rows, keyed_rows, partitions, sorted_groups
 
 SEED = 42
-OCCUPANCY, LIMIT = 8192, 65536
+OCCUPANCY, LIMIT = 16384, 65536
 #: Hot cells up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
 FEW = 100_000
 EVEN = 0x5555555555555555
