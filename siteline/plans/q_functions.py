@@ -9,7 +9,7 @@ from siteline.functions import acoustics as ac
 from siteline.functions import geo, ladders, places
 from siteline.operators import spatial
 from siteline.plans import nearby
-from siteline.plans.q_nearby import R4, aniso, centres_sql, first_int, in_window, iso, near_pois_sql, near_rail_sql, near_segments_sql
+from siteline.plans.q_nearby import R4, aniso, centres_sql, first_int, in_window, iso, near_pois_sql, near_rail_sql, near_segments_sql, state_sql
 from siteline.plans.q_noise import CLASS_AADT_SQL, LDEN_SQL, crtn_sql, path_samples, period_sql, rail_sql, track_sql
 from siteline.plans.q_scores import GROUP_SQL, ladder_sql, sql_any
 from siteline.registry import query
@@ -38,10 +38,10 @@ def extract_region(spark: SparkSession, d: str) -> DataFrame:
     return out.select("road_id", "class", "subtype")
 
 
-@query("raster_cell_source", duckdb_ctes("v_raster") + "\nSELECT row // 50 AS tile, count(*) AS n, cast(sum(value) AS BIGINT) AS total FROM v_raster WHERE row // 50 IN (1, 2) GROUP BY 1")
+@query("raster_cell_source", duckdb_ctes("v_raster") + "\nSELECT row // 50 AS tile_y, col // 50 AS tile_x, count(*) AS n, cast(sum(value) AS BIGINT) AS total FROM v_raster GROUP BY ALL")
 def raster_cell_source(spark: SparkSession, d: str) -> DataFrame:
-    tiles = view(spark, d, "v_raster").withColumn("tile", F.expr("cast(row div 50 as int)")).where(F.col("tile").isin(1, 2))
-    return tiles.groupBy("tile").agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
+    tile = lambda c: F.expr(f"cast({c} div 50 as int)")
+    return view(spark, d, "v_raster").groupBy(tile("row").alias("tile_y"), tile("col").alias("tile_x")).agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
 
 
 @query("explode_daily_series", duckdb_ctes("v_climate") + "\nSELECT cell_id, day, temperature_2m_max AS t, precipitation AS p FROM v_climate")
@@ -107,10 +107,6 @@ def motor_road_filter(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "v_roads").where(places.is_motor(F.col("class"))).groupBy("class").agg(F.count("*").alias("n"))
 
 
-def state_sql(boxes: list) -> str:
-    return "CASE " + " ".join(f"WHEN lng BETWEEN {a}::double AND {c}::double AND lat BETWEEN {b}::double AND {e}::double THEN '{s}'" for s, a, b, c, e in boxes) + " END"
-
-
 @query("detect_state", f"SELECT {K}, {state_sql(geo.STATE_BOXES)} AS state, {state_sql(geo.HAZARD_STATE_BOXES)} AS hazard_state FROM (SELECT {K}, 110 + ({K} * 37 % 4700) / 100.0::double AS lng, -45 + ({K} * 53 % 3600) / 100.0::double AS lat FROM orders)")
 def detect_state(spark: SparkSession, d: str) -> DataFrame:
     k = F.col(K)

@@ -227,9 +227,15 @@ def register_sites(props: DataFrame, epa: DataFrame, radius_m: float = 2000) ->
     return spatial.corner_join(with_state, sites, radius_m, "s_lng", "s_lat", ok).select("property_id", "site_id", "name", "issue", F.bround(dist).cast("long").alias("dist_m"))
 
 
+def state_sql(boxes: list) -> str:
+    return "CASE " + " ".join(f"WHEN lng BETWEEN {a}::double AND {c}::double AND lat BETWEEN {b}::double AND {e}::double THEN '{s}'" for s, a, b, c, e in boxes) + " END"
+
+
 def epa_sql(name: str) -> str:
-    h = repr(2000 / 111_000)
-    return f"{name} AS (SELECT p.property_id, e.site_id, e.name, e.issue, cast(round_even({aniso('e.lng', 'e.lat')}, 0) AS BIGINT) AS dist_m FROM v_properties p JOIN v_epa e ON e.state = 'VIC' AND abs(e.lat - p.lat) <= {h}::double AND abs(e.lng - p.lng) <= {h}::double AND p.lng BETWEEN 140.96::double AND 149.98::double AND p.lat BETWEEN -39.2::double AND -33.98::double)"
+    h, dist = repr(2000 / 111_000), aniso("e.lng", "e.lat")
+    square = f"abs(e.lat - p.lat) <= {h}::double AND abs(e.lng - p.lng) <= {h}::double"
+    return f"""{name} AS (SELECT p.property_id, e.site_id, e.name, e.issue, cast(round_even({dist}, 0) AS BIGINT) AS dist_m FROM (SELECT *, {state_sql(geo.HAZARD_STATE_BOXES)} AS state FROM v_properties) p
+  JOIN v_epa e ON e.state = p.state AND abs(e.lat - p.lat) <= 0.1::double WHERE (p.state IN ('VIC', 'NSW') AND {square}) OR (p.state = 'WA' AND {dist} <= 2000))"""
 
 
 @query("join_epa_sites", duckdb_ctes("v_properties", "v_epa") + ",\n" + epa_sql("e") + "\nSELECT * FROM e")

@@ -10,7 +10,7 @@ from siteline.operators import spatial
 from siteline.plans import nearby
 from siteline.plans.q_nearby import (
     CONTOUR_SQL, FIRE_ORDER, FIRE_RANK, FLOOD_ORDER, FLOOD_RANK, MDEG, R4, epa_sql, inside_sql, near_buildings_sql, near_pois_sql,
-    near_segments_sql, near_water_sql, overlay_hits, register_sites, worst_contour, worst_overlay, worst_sql,
+    near_segments_sql, near_water_sql, overlay_hits, register_sites, state_sql, worst_contour, worst_overlay, worst_sql,
 )
 from siteline.registry import query
 from siteline.sources.views import duckdb_ctes, view
@@ -140,11 +140,12 @@ def slope_grid(cells: DataFrame, res_y: float, res_x: float) -> DataFrame:
 SLOPE_SQL = """sl AS (SELECT row, col, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope FROM (
   SELECT *, (coalesce(lead(value) OVER y, value) - coalesce(lag(value) OVER y, value)) / ((CASE WHEN lag(value) OVER y IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(value) OVER y IS NULL THEN 0 ELSE 1 END) * 111.32::double) AS gy,
     (coalesce(lead(value) OVER x, value) - coalesce(lag(value) OVER x, value)) / ((CASE WHEN lag(value) OVER x IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(value) OVER x IS NULL THEN 0 ELSE 1 END) * 87.8::double) AS gx
-  FROM v_raster WINDOW y AS (PARTITION BY col ORDER BY row), x AS (PARTITION BY row ORDER BY col)))"""
+  FROM v_raster WINDOW y AS (PARTITION BY row // 250, col ORDER BY row), x AS (PARTITION BY col // 250, row ORDER BY col)))"""
 
 
 def _slopes(spark: SparkSession, d: str) -> DataFrame:
-    return slope_grid(view(spark, d, "v_raster").withColumn("grid_id", F.lit(0)), 111.32, 87.8)
+    box = F.expr("row div 250 * 1000000 + col div 250")  # boxes lie 250 cells apart
+    return slope_grid(view(spark, d, "v_raster").withColumn("grid_id", box), 111.32, 87.8)
 
 
 @query("slope_grid", duckdb_ctes("v_raster") + ",\n" + SLOPE_SQL + "\nSELECT row, col, round_even(slope, 4) AS slope FROM sl")
@@ -321,7 +322,12 @@ def _layers(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
 
 FLOOD_LAYERS = [("VIC", 4, 0), ("NSW", 1, 0), ("SA", 3, 0), ("TAS", 1, 0), ("ACT", 1, 0)]
 FIRE_LAYERS = [("VIC", 1, 0), ("NSW", 1, 0), ("WA", 1, 0), ("SA", 6, 0), ("TAS", 1, 0)]
-OUTSIDE = "p.lng BETWEEN 140.96::double AND 149.98::double AND p.lat BETWEEN -39.2::double AND -33.98::double"
+STATE_SQL = state_sql(geo.HAZARD_STATE_BOXES)
+
+
+def layers_sql(rows: list[tuple[str, int, int]]) -> str:
+    return "CASE state " + " ".join(f"WHEN '{s}' THEN {n}" for s, n, _ in rows) + " ELSE 0 END"
+
 
 
 def _terrain(spark: SparkSession, d: str) -> DataFrame:
@@ -336,14 +342,15 @@ def flood_water_sql() -> str:
 
 
 FLOOD_OVERLAY_SQL = "CASE WHEN worst IS NOT NULL THEN greatest(CASE worst WHEN 'floodway' THEN 10 WHEN 'flood' THEN 20 ELSE 40 END, CASE worst WHEN 'floodway' THEN 20 WHEN 'flood' THEN 40 ELSE 60 END - least(n_zones - 1, 3) * 3) ELSE 90 END"
+FLOOD_STATE_SQL = FLOOD_OVERLAY_SQL.replace("ELSE 90", f"WHEN {layers_sql(FLOOD_LAYERS)} = 0 THEN NULL ELSE 90")
 MODIFIER_SQL = """CASE WHEN hand_m IS NULL THEN b WHEN hand_m < 2 AND ev THEN least(b, 55) - greatest(0, cast(trunc((2 - hand_m) * 10) AS INT)) WHEN hand_m < 2 THEN least(b, 70) WHEN hand_m < 5 AND ev THEN least(b, 65) WHEN hand_m < 5 THEN least(b, 80) WHEN hand_m > 20 THEN greatest(b, least(b + 10, 95)) ELSE b END"""
 FLOOD_SQL = f"""{inside_sql('h', 'flood')},\n{worst_sql('w', FLOOD_RANK, FLOOD_ORDER)},\n{WATER_CELLS_SQL},
 ts AS (SELECT p.property_id, CASE WHEN r.value < 90 THEN r.value / 4 END AS hand_m, r.value / 2 AS p95 FROM v_properties p LEFT JOIN v_raster r ON r.row = floor((p.lat - -37.9::double) / 0.001::double + 0.5::double) AND r.col = floor((p.lng - 144.9::double) / 0.001::double + 0.5::double)),
-f1 AS (SELECT p.property_id, w.zones, coalesce(w.n_zones, 0) AS zone_count, cast({FLOOD_OVERLAY_SQL} AS INT) AS overlay_score, cast({flood_water_sql()} AS INT) AS water_score, hand_m, p95
-  FROM v_properties p LEFT JOIN w ON p.property_id = w.property_id LEFT JOIN wc ON p.property_id = wc.property_id LEFT JOIN ts ON p.property_id = ts.property_id WHERE {OUTSIDE}),
+f1 AS (SELECT p.property_id, p.state, w.zones, coalesce(w.n_zones, 0) AS zone_count, cast({FLOOD_STATE_SQL} AS INT) AS overlay_score, cast({flood_water_sql()} AS INT) AS water_score, hand_m, p95
+  FROM (SELECT *, {STATE_SQL} AS state FROM v_properties) p LEFT JOIN w ON p.property_id = w.property_id LEFT JOIN wc ON p.property_id = wc.property_id LEFT JOIN ts ON p.property_id = ts.property_id),
 f2 AS (SELECT *, coalesce(least(overlay_score, water_score), 85) AS b, coalesce(least(overlay_score, water_score) < 80, false) AS ev FROM f1),
 f3 AS (SELECT *, {MODIFIER_SQL} AS m FROM f2),
-fl AS (SELECT *, cast(greatest(0, least(100, CASE WHEN ev AND coalesce(p95 > 25, false) THEN greatest(0, m - 5) ELSE m END)) AS INT) AS score FROM f3)"""
+fl AS (SELECT *, CASE WHEN state IS NOT NULL THEN cast(greatest(0, least(100, CASE WHEN ev AND coalesce(p95 > 25, false) THEN greatest(0, m - 5) ELSE m END)) AS INT) END AS score FROM f3)"""
 
 
 def flood(spark: SparkSession, d: str) -> DataFrame:
@@ -352,7 +359,7 @@ def flood(spark: SparkSession, d: str) -> DataFrame:
     return score_flood(props, worst_overlay(overlay_hits(spark, d, "flood"), FLOOD_ORDER), _layers(spark, FLOOD_LAYERS), cells, _terrain(spark, d))
 
 
-@query("score_flood", duckdb_ctes("v_properties", "v_overlays", "v_raster") + ",\n" + FLOOD_SQL + f"\nSELECT property_id, 'VIC' AS state, score, {label_sql('flood')} AS label, zones, zone_count, water_score, overlay_score FROM fl")
+@query("score_flood", duckdb_ctes("v_properties", "v_overlays", "v_raster") + ",\n" + FLOOD_SQL + f"\nSELECT property_id, state, score, coalesce({label_sql('flood')}, 'Outside Australia') AS label, zones, zone_count, water_score, overlay_score FROM fl")
 def q_score_flood(spark: SparkSession, d: str) -> DataFrame:
     return flood(spark, d)
 
@@ -423,10 +430,10 @@ def satellite_sql(fuel: str, slope: str, fire: str) -> str:
 
 FIRE_SQL = f"""{inside_sql('bh', 'bushfire')},\n{worst_sql('bw', FIRE_RANK, FIRE_ORDER, 'bh')},\n{COVER_SQL},\n{BURN_SQL},\n{SLOPE_SQL},
 ps AS (SELECT p.property_id, avg(sl.slope) AS mean_slope FROM v_properties p JOIN sl ON abs(sl.row - floor((p.lat - -37.9::double) / 0.001::double + 0.5::double)) <= 1 AND abs(sl.col - floor((p.lng - 144.9::double) / 0.001::double + 0.5::double)) <= 1 GROUP BY 1),
-b1 AS (SELECT p.property_id, bw.zones, dc.cover, {FUEL_SQL} AS fuel, ps.mean_slope, bn.seasons_with_fire, CASE WHEN worst IS NOT NULL THEN CASE worst WHEN 'extreme' THEN 10 WHEN 'high' THEN 22 WHEN 'moderate' THEN 40 ELSE 58 END ELSE 90 END AS overlay_score
-  FROM v_properties p LEFT JOIN bw ON p.property_id = bw.property_id LEFT JOIN dc ON p.property_id = dc.property_id LEFT JOIN ps ON p.property_id = ps.property_id LEFT JOIN bn ON p.property_id = bn.property_id WHERE {OUTSIDE}),
+b1 AS (SELECT p.property_id, p.state, bw.zones, dc.cover, {FUEL_SQL} AS fuel, ps.mean_slope, bn.seasons_with_fire, CASE WHEN worst IS NOT NULL THEN CASE worst WHEN 'extreme' THEN 10 WHEN 'high' THEN 22 WHEN 'moderate' THEN 40 ELSE 58 END WHEN {layers_sql(FIRE_LAYERS)} > 0 THEN 90 END AS overlay_score
+  FROM (SELECT *, {STATE_SQL} AS state FROM v_properties) p LEFT JOIN bw ON p.property_id = bw.property_id LEFT JOIN dc ON p.property_id = dc.property_id LEFT JOIN ps ON p.property_id = ps.property_id LEFT JOIN bn ON p.property_id = bn.property_id),
 fire AS (SELECT *, cast({satellite_sql('fuel', 'mean_slope', 'CASE WHEN fuel >= 0.4::double THEN seasons_with_fire END')} AS INT) AS satellite_score FROM b1),
-bf AS (SELECT *, cast(coalesce(least(overlay_score, satellite_score), 85) AS INT) AS score FROM fire)"""
+bf AS (SELECT *, CASE WHEN state IS NOT NULL THEN cast(coalesce(least(overlay_score, satellite_score), 85) AS INT) END AS score FROM fire)"""
 
 
 def bushfire(spark: SparkSession, d: str) -> DataFrame:
@@ -436,7 +443,7 @@ def bushfire(spark: SparkSession, d: str) -> DataFrame:
     return score_bushfire(props, worst_overlay(overlay_hits(spark, d, "bushfire"), FIRE_ORDER), _layers(spark, FIRE_LAYERS), _cover(spark, d), slope, _burns(spark, d, props))
 
 
-@query("score_bushfire", duckdb_ctes("v_properties", "v_overlays", "v_raster") + ",\n" + FIRE_SQL + f"\nSELECT property_id, 'VIC' AS state, score, {label_sql('bushfire')} AS label, zones, cover, {COVER_LABEL_SQL} AS cover_label, overlay_score, satellite_score FROM bf")
+@query("score_bushfire", duckdb_ctes("v_properties", "v_overlays", "v_raster") + ",\n" + FIRE_SQL + f"\nSELECT property_id, state, score, coalesce({label_sql('bushfire')}, 'Outside Australia') AS label, zones, cover, {COVER_LABEL_SQL} AS cover_label, overlay_score, satellite_score FROM bf")
 def q_score_bushfire(spark: SparkSession, d: str) -> DataFrame:
     return bushfire(spark, d)
 
@@ -496,13 +503,16 @@ def at_share(values: str, share: float) -> F.Column:
 
 
 def summer_stats(daily: DataFrame) -> DataFrame:
-    """(cell_id, mean, p90) of daily maxima of December to February; a cell holds some years of days, so its list is short."""
+    """(cell_id, mean, p90) of daily maxima of December to February; a cell holds some years of days, so its list is short.
+
+    The mean is that of values to six decimals, summed as decimals, so it does not depend on the order of rows.
+    """
     rows = daily.where(F.month("day").isin(12, 1, 2) & F.col("temperature_2m_max").isNotNull())
-    out = rows.groupBy("cell_id").agg(F.avg("temperature_2m_max").alias("mean"), F.sort_array(F.collect_list("temperature_2m_max")).alias("s"))
+    out = rows.groupBy("cell_id").agg((F.sum(F.round("temperature_2m_max", 6).cast("decimal(18,6)")).cast("double") / F.count("*")).alias("mean"), F.sort_array(F.collect_list("temperature_2m_max")).alias("s"))
     return out.select("cell_id", "mean", at_share("s", 0.9).alias("p90"))
 
 
-SUMMER_SQL = "su AS (SELECT cell_id, avg(temperature_2m_max) AS mean, list_sort(list(temperature_2m_max))[cast(least(trunc(count(*) * 0.9::double), count(*) - 1) AS INT) + 1] AS p90 FROM v_climate WHERE month(day) IN (12, 1, 2) GROUP BY cell_id)"
+SUMMER_SQL = "su AS (SELECT cell_id, cast(sum(cast(round(temperature_2m_max, 6) AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS mean, list_sort(list(temperature_2m_max))[cast(least(trunc(count(*) * 0.9::double), count(*) - 1) AS INT) + 1] AS p90 FROM v_climate WHERE month(day) IN (12, 1, 2) GROUP BY cell_id)"
 
 
 @query("summer_stats", duckdb_ctes("v_climate") + ",\n" + SUMMER_SQL + "\nSELECT cell_id, round_even(mean, 4) AS mean, round_even(p90, 4) AS p90 FROM su")
@@ -772,15 +782,15 @@ REGISTER_SQL = "CASE WHEN n_sites = 0 THEN 95 WHEN site_m < 100 THEN 10 WHEN sit
 INDUSTRY_SQL = "CASE WHEN n_industrial = 0 THEN 95 WHEN coalesce(industrial_m < 100, false) AND n_industrial > 3 THEN 30 WHEN coalesce(industrial_m < 100, false) THEN 45 WHEN n_industrial > 5 THEN 40 WHEN n_industrial > 3 THEN 55 WHEN n_industrial > 1 THEN 70 ELSE 80 END"
 CONTAMINATION_SQL = f"""{epa_sql('es')},\n{INDUSTRIAL_SQL},
 sg AS (SELECT property_id, count(*) AS n_sites, min(dist_m) AS site_m, arg_min(name, dist_m * 1000000 + site_id) AS site_name FROM es GROUP BY 1),
-c1 AS (SELECT p.property_id, coalesce(n_sites, 0) AS n_sites, site_m, site_name, coalesce(n_industrial, 0) AS n_industrial, industrial_m, industrial_type FROM v_properties p LEFT JOIN sg ON p.property_id = sg.property_id LEFT JOIN id ON p.property_id = id.property_id WHERE {OUTSIDE}),
-ct AS (SELECT *, cast(least({REGISTER_SQL}, {INDUSTRY_SQL}) AS INT) AS score FROM c1)"""
+c1 AS (SELECT p.property_id, p.state, coalesce(n_sites, 0) AS n_sites, site_m, site_name, coalesce(n_industrial, 0) AS n_industrial, industrial_m, industrial_type FROM (SELECT *, {STATE_SQL} AS state FROM v_properties) p LEFT JOIN sg ON p.property_id = sg.property_id LEFT JOIN id ON p.property_id = id.property_id),
+ct AS (SELECT *, CASE WHEN state IS NOT NULL THEN cast(least(CASE WHEN state IN ('VIC', 'NSW', 'WA') THEN {REGISTER_SQL} END, {INDUSTRY_SQL}) AS INT) END AS score FROM c1)"""
 
 
 def contamination(spark: SparkSession, d: str) -> DataFrame:
     return score_contamination(_props(spark, d), view(spark, d, "v_epa"), view(spark, d, "v_pois"))
 
 
-@query("score_contamination", duckdb_ctes("v_properties", "v_epa", "v_pois") + ",\n" + CONTAMINATION_SQL + f"\nSELECT property_id, 'VIC' AS state, score, {label_sql('contamination')} AS label, n_sites, site_m, site_name, n_industrial, industrial_m, industrial_type FROM ct")
+@query("score_contamination", duckdb_ctes("v_properties", "v_epa", "v_pois") + ",\n" + CONTAMINATION_SQL + f"\nSELECT property_id, state, score, coalesce({label_sql('contamination')}, 'Outside Australia') AS label, n_sites, site_m, site_name, n_industrial, industrial_m, industrial_type FROM ct")
 def q_score_contamination(spark: SparkSession, d: str) -> DataFrame:
     return contamination(spark, d)
 

@@ -13,7 +13,7 @@ from siteline.plans.q_nearby import worst_contour
 from siteline.plans.q_noise import LEVELS_SQL, NOISE_SQL, RADIUS, noise, noise_parts, score_noise
 from siteline.plans.q_scores import CONTAMINATION_SQL, INDUSTRY_SQL, WALK_SQL, aircraft_exposure, bushfire, contamination, flood, heat, score_solar, view_score, walk
 from siteline.plans.q_scores import _solar_props as solar_props
-from siteline.registry import query
+from siteline.registry import ORACLES, query
 from siteline.sources.views import duckdb_ctes, view
 from siteline.streaming import serve
 
@@ -35,7 +35,10 @@ def compose_scores(spark: SparkSession, d: str) -> DataFrame:
     return compose(view(spark, d, "v_properties"), {"walkability": walk(spark, d), "contamination": contamination(spark, d)})
 
 
-@query("score_all")
+SCORES = {"noise": "score_noise", "walkability": "score_walkability", "solar": "score_solar", "flood": "score_flood", "bushfire": "score_bushfire", "heat": "score_heat", "view_quality": "score_view", "contamination": "score_contamination"}
+
+
+@query("score_all", duckdb_ctes("v_properties") + "\nSELECT p.property_id, " + ", ".join(f"{c}.score AS {c}" for c in SCORES) + f", '{DISCLAIMER}' AS disclaimer FROM v_properties p" + "".join(f"\nLEFT JOIN ({ORACLES[q]}) {c} ON p.property_id = {c}.property_id" for c, q in SCORES.items()))
 def score_all(spark: SparkSession, d: str) -> DataFrame:
     """All eight scores of every property with the disclaimer."""
     props = view(spark, d, "v_properties")
@@ -50,20 +53,19 @@ def grid_points(spark: SparkSession, lat0: float, lat1: float, lng0: float, lng1
     return g.select("property_id", F.bround(lat0 + F.col("r") * step, 6).alias("lat"), F.bround(lng0 + F.col("c") * step, 6).alias("lng"))
 
 
-GRID = (-37.9, -37.86, 144.9, 144.94, 0.002)
-GRID_SQL = "v_properties AS (SELECT r * 20 + c AS property_id, round_even(-37.9::double + r * 0.002::double, 6) AS lat, round_even(144.9::double + c * 0.002::double, 6) AS lng, NULL AS roof_area_m2, 'optimal' AS orientation FROM range(0, 20) a(r), range(0, 20) b(c))"
+GRID_SQL = "v_properties AS (SELECT *, NULL AS roof_area_m2, 'optimal' AS orientation FROM v_lattice)"
 
 
 def _without_properties(sql: str) -> str:
+    """The SQL with the lattice in place of the properties."""
     start = sql.index("v_properties AS MATERIALIZED (")
     end = sql.index("),\n", start) + 3
-    return sql[:start] + GRID_SQL + ",\n" + sql[end:]
+    return sql[:start] + duckdb_ctes("v_lattice").removeprefix("WITH ") + ",\n" + GRID_SQL + ",\n" + sql[end:]
 
 
-def grid_noise(spark: SparkSession, d: str, region: tuple[float, float, float, float, float], radius_m: float = RADIUS) -> DataFrame:
-    """Noise scores of a region's lattice."""
+def grid_noise(spark: SparkSession, d: str, props: DataFrame, radius_m: float = RADIUS) -> DataFrame:
+    """Noise scores of a lattice (property_id, lat, lng), such as ``grid_points`` of one of REGIONS."""
     v = lambda n: view(spark, d, n)
-    props = grid_points(spark, *region)
     contours = v("v_overlays").where("theme = 'aircraft'")
     hits = spatial.inside(props, contours, "overlay_id", ["layer_name", "layer_no", "severity", "code", "airfield", "defence"])
     parts = noise_parts(props, v("v_aadt"), v("v_stations"), v("v_roads"), v("v_rail_shapes"), v("v_rail_frequency"), v("v_buildings"), radius_m)
@@ -76,7 +78,8 @@ GRID_OUT = "SELECT n4.property_id, p.lat, p.lng, score, round_even(lden, 1) AS e
 
 @query("grid_precompute", _without_properties(LEVELS_SQL) + ",\n" + NOISE_SQL + "\n" + GRID_OUT)
 def grid_precompute(spark: SparkSession, d: str) -> DataFrame:
-    return grid_noise(spark, d, GRID).drop("label", "dominant_source")
+    """The lattice of 0.005 degrees over every box that customers occupy."""
+    return grid_noise(spark, d, view(spark, d, "v_lattice")).drop("label", "dominant_source")
 
 
 def write_score_grid(grid: DataFrame, path: str, region: str) -> None:
