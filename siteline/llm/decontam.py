@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from siteline.llm.common import cut, keyed_rows, union_all, with_text
 
@@ -190,17 +190,18 @@ def _search_shard(docs: list[tuple[int, list[int]]], phrases: Phrases) -> dict[i
     return out
 
 
-_FOUND = "doc_id long, at long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+def _one_pass(rows: DataFrame, sent: Broadcast) -> DataFrame:
+    """``rows`` (carry, text) as (carry, n_words, spans, items, less), carry being any column, for the phrases that were sent.
 
-
-def _one_pass(docs: DataFrame, sent: Broadcast) -> DataFrame:
-    """(doc_id, at, n_words, spans, items) of each row, for the phrases that were sent; at is a hash of the text."""
+    less: the text without the spans, null without any. Without ``text``, that of the struct carry is taken.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = sent.value
         get = phrases.word.get
         for b in batches:
-            texts, n_words, shard, size = b.column(2).cast(pa.binary()), [], [], 0
+            texts = (b.column(1) if b.num_columns > 1 else b.column(0).field("text")).cast(pa.binary())
+            n_words, shard, size = [], [], 0
             found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
             for k, x in enumerate(texts):
                 words = words_of(t := x.as_py())
@@ -214,25 +215,40 @@ def _one_pass(docs: DataFrame, sent: Broadcast) -> DataFrame:
             found |= _search_shard(shard, phrases)
             spans = [[{"a": a, "b": z} for a, z in found[k][0]] if k in found else [] for k in range(len(n_words))]
             items = [sorted(found[k][1]) if k in found else [] for k in range(len(n_words))]
-            kinds = (pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, k) for v, k in zip((n_words, spans, items), kinds, strict=True))], names=["doc_id", "at", "n_words", "spans", "items"])
+            less = [without_spans(texts[k].as_py().decode(), found[k][0]) if k in found else None for k in range(len(n_words))]
+            kinds = (pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, k) for v, k in zip((n_words, spans, items, less), kinds, strict=True))], names=["carry", "n_words", "spans", "items", "less"])
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("at"), text.alias("text")).mapInArrow(run, _FOUND)
+    span = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
+    out = [rows.schema["carry"], StructField("n_words", LongType()), StructField("spans", span), StructField("items", ArrayType(StringType())), StructField("less", StringType())]
+    return rows.mapInArrow(run, StructType(out))
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, window: int, max_words: int) -> DataFrame:
-    """``removal_spans`` with at, which tells rows of one doc_id apart."""
+def _blocks(benchmark: DataFrame, max_words: int) -> tuple[DataFrame, int]:
+    """The benchmark as (item_id, text) of strings, and in how many blocks it is searched."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    blocks = 1 + (size[0] or 0) // (4 * max_words)
-    sc, passes = docs.sparkSession.sparkContext, []
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return bench, 1 + size // (4 * max_words)
+
+
+def _sent(bench: DataFrame, window: int, blocks: int, k: int) -> Broadcast:
+    """The phrases of block k of the benchmark, on all executors."""
+    some = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    phrases = Phrases([(r.item_id, words_of((r.text or "").encode())) for r in some.toLocalIterator()], window)
+    return bench.sparkSession.sparkContext.broadcast(phrases)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, max_words: int) -> DataFrame:
+    """``removal_spans`` with at, a hash of the text that tells rows of one doc_id apart."""
+    bench, blocks = _blocks(benchmark, max_words)
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("at")).alias("carry")
+    rows, passes = docs.select(key, F.col("text").cast("string").alias("text")), []
     for k in range(blocks):
-        some = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        sent = sc.broadcast(Phrases([(r.item_id, words_of((r.text or "").encode())) for r in some.toLocalIterator()], window))
+        sent = _sent(bench, window, blocks, k)
+        one = _one_pass(rows, sent).select("carry.doc_id", "carry.at", "n_words", "spans", "items")
         if blocks == 1:
-            return _one_pass(docs, sent)
-        passes.append(cut(_one_pass(docs, sent)))  # a block's phrases go before those of the next are made
+            return one
+        passes.append(cut(one))  # a block's phrases go before those of the next are made
         sent.destroy()
     # equal texts have equal spans, so copies of a row are counted and written out again
     rows = union_all(passes).groupBy("doc_id", "at").agg(
@@ -293,18 +309,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     """``docs`` with the removal spans taken out of the texts; n_chars, if there, is counted anew.
 
     Documents without a span keep their text to the byte; one of which no word is left goes. Rows with a null or
-    repeated doc_id are treated by their texts, each on its own.
+    repeated doc_id are treated by their texts, each on its own. With one block of phrases this is a single pass without
+    a shuffle; spans of more blocks are put together by document first.
     """
+    bench, blocks = _blocks(benchmark, max_words)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    if blocks == 1:
+        rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("carry"))
+        out = _one_pass(rows, _sent(bench, window, 1, 0)).where((F.size("spans") == 0) | (n_hit < F.col("n_words"))).withColumnRenamed("carry", "row")
+        return with_text(out, F.col("less"), docs)
     hit = _found(docs, benchmark, window, max_words).where(F.size("spans") > 0).dropDuplicates(["doc_id", "at"])
-    hit = hit.select(F.col("doc_id").alias("h_id"), F.col("at").alias("h_at"), "spans", "n_words")
-    rows = keyed_rows(docs).join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("at") == F.col("h_at")), "left")
-    all_ = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]) == F.col("n_words")
-    rows = rows.where(F.coalesce(~all_, F.lit(True))).select("row", F.when(F.col("spans").isNotNull(), F.col("row.text").cast("string")).alias("text"), "spans")
+    hit = hit.select(F.col("doc_id").alias("h_id"), F.col("at").alias("h_at"), "spans", (n_hit == F.col("n_words")).alias("gone"))
+    rows = keyed_rows(docs).join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("at") == F.col("h_at")), "left").where("not coalesce(gone, false)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t and without_spans(t, [(x["a"], x["b"]) for x in s or ()]) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "less"])
 
+    rows = rows.select("row", F.when(F.col("spans").isNotNull(), F.col("row.text").cast("string")).alias("text"), "spans")
     out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("less", StringType())]))
     return with_text(out, F.col("less"), docs)

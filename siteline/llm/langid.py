@@ -158,14 +158,14 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text.decode())
 
 
-def _judged(rows: DataFrame, model: Model | None, chunk: int = 4 << 20) -> DataFrame:
-    """(carry, lang_pred, score) of rows (carry, text), carry being any column."""
+def _judged(rows: DataFrame, model: Model | None, chunk: int = 1 << 20) -> DataFrame:
+    """(carry, lang_pred, score) of rows (carry, text), carry being any column; without ``text``, that of the struct carry."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
+            texts = (b.column(1) if b.num_columns > 1 else b.column(0).field("text")).cast(pa.binary())
             pred, score = ["und"] * b.num_rows, [0.0] * b.num_rows
 
             def flush(group: list[tuple[int, bytes]]) -> None:
@@ -186,7 +186,7 @@ def _judged(rows: DataFrame, model: Model | None, chunk: int = 4 << 20) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["carry", "lang_pred", "score"])
 
     out = StructType([rows.schema["carry"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.select("carry", "text").mapInArrow(run, out)
+    return rows.mapInArrow(run, out)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -213,6 +213,5 @@ def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     model = train(docs) if "lang" in docs.columns else None
     if model is None:
         return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("carry"), F.col("text").cast("string").alias("text"))
-    found = _judged(rows, model)
+    found = _judged(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("carry")), model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("carry.*")

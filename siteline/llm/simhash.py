@@ -56,12 +56,12 @@ def shingle_hashes(w: list[bytes], words: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(start, end[words - 1 :].tolist(), strict=True)], dtype=np.uint64)
 
 
-def fingerprints_of(text: bytes | None, words: int, variants: int = 1) -> list[int]:
-    """The signed 64-bit fingerprints of one UTF-8 text; no words: zero.
+def fingerprints_of(w: list[bytes], words: int, variants: int = 1) -> list[int]:
+    """The signed 64-bit fingerprints of a text's words; no words: zero.
 
     The first takes the shingles' hashes as they are, each further one mixes them anew.
     """
-    h = shingle_hashes(words_of(text), words)
+    h = shingle_hashes(w, words)
     if not len(h):
         return [0] * variants
     out = []
@@ -90,9 +90,11 @@ def fingerprints(docs: DataFrame, words: int = 4, variants: int = 1) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.as_py() for x in b.column(2).cast(pa.binary())]
-            same = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in texts]
-            fps = [fingerprints_of(t, words, variants) for t in texts]
+            same, fps = [], []
+            for x in b.column(2).cast(pa.binary()):  # one text at a time
+                w = words_of(x.as_py())
+                same.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                fps.append(fingerprints_of(w, words, variants))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "at", "same", "fps"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("at"), F.col("text").cast("string").alias("text"))
