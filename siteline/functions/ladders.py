@@ -191,7 +191,8 @@ def openness_factor(n: Column, tall: Column) -> Column:
 
 
 def horizon_factor(open_dirs: Column, downhill: Column) -> Column:
-    return F.bround(F.least(F.lit(1.0), open_dirs / 8 + F.least(downhill * 0.05, F.lit(0.15))), 3)
+    """From 0 to 1; null without heights (``least`` alone would pass over the null)."""
+    return F.when(open_dirs.isNotNull(), F.bround(F.least(F.lit(1.0), open_dirs / 8 + F.least(downhill * 0.05, F.lit(0.15))), 3))
 
 
 def anef_penalty(anef: Column) -> Column:

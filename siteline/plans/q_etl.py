@@ -358,14 +358,12 @@ def rain_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return grid.join(_rain(spark, d), "cell_id")
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="siteline-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors reach: below the session's checkpoint folder, or a local one without it."""
+    """A fresh folder that all executors reach: below ``spark.checkpoint.dir``, or a temporary one in local mode only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/siteline-{spark._jvm.java.util.UUID.randomUUID()}" if base else _folder()
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='siteline-')).rstrip('/')}/siteline-{spark._jvm.java.util.UUID.randomUUID()}"
 
 
 def scan_timetable_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -422,8 +420,11 @@ def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """One data set with a folder for each value; a later write replaces only the folders it has rows for."""
-    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """One data set with a folder for each value; a later write replaces only the folders it has rows for.
+
+    Rows are brought together by value, and values with many rows are spread over tasks by the size of their data.
+    """
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 @query("scan_timetable_csv", "SELECT s_suppkey::varchar AS id, trim(s_name) AS name FROM supplier")

@@ -307,12 +307,15 @@ def error_metrics(errors: DataFrame, by: list[str] | None = None) -> DataFrame:
 METRICS_SQL = "count(*) AS n, round_even(avg(err), 4) AS bias, round_even(avg(abs(err)), 4) AS mae, round_even(sqrt(avg(err * err)), 4) AS rmse, round_even(count(*) FILTER (abs(err) <= 5) / count(*) * 100, 4) AS w5, round_even(count(*) FILTER (abs(err) <= 10) / count(*) * 100, 4) AS w10"
 
 
-def upper_median(errors: DataFrame) -> DataFrame:
-    """The middle error, the upper one of two, from counts of equal errors rather than a sort of all rows."""
-    counts = errors.groupBy("err").agg(F.count("*").alias("c"))
-    w = Window.orderBy("err")
-    place = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(1))))
-    return place.where(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min("err").alias("median_err"))
+def upper_median(errors: DataFrame, steps: int = 100) -> DataFrame:
+    """The middle error, the upper one of two. Errors are counted by steps of 1/``steps`` first, and only those of the
+    step that holds the middle are looked at one by one, as counts of equal errors."""
+    bins = errors.where("err is not null").withColumn("bin", F.floor(F.col("err") * steps))
+    counts = bins.groupBy("bin").agg(F.count("*").alias("c"))  # a few thousand steps of a level's range
+    place = counts.withColumn("upto", F.sum("c").over(Window.orderBy("bin"))).withColumn("half", F.floor(F.sum("c").over(Window.partitionBy(F.lit(1))) / 2))
+    middle = place.where("upto > half").orderBy("bin").limit(1).select("bin", (F.col("half") - F.col("upto") + F.col("c")).alias("left"))
+    inside = bins.join(F.broadcast(middle), "bin").groupBy("err").agg(F.count("*").alias("c"), F.first("left").alias("left"))
+    return inside.withColumn("upto", F.sum("c").over(Window.orderBy("err"))).where("upto > left").agg(F.min("err").alias("median_err"))
 
 
 def _errors(spark: SparkSession, d: str) -> DataFrame:
@@ -390,12 +393,18 @@ def training_table(features: DataFrame, measured: DataFrame) -> DataFrame:
     return assign_split(rows.withColumn("target", F.col("la50") - F.col("physics_lden")), "property_id")
 
 
+ROWS_A_TASK = 20_000
+
+
 def fit_residual(rows: DataFrame, trees: int = 300, depth: int = 5, rate: float = 0.03):
     """A gradient-boosted model of the residual, weighted, on the sorted features."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    # a round is a few short jobs over all rows, so tasks are made no smaller than they are worth
+    parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_A_TASK))
+    rows = rows.select("target", "weight", *FEATURES).coalesce(parts)
     gbt = GBTRegressor(featuresCol="x", labelCol="target", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=42, checkpointInterval=50)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="x"), gbt]).fit(rows)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +70,33 @@ def rail_sources(rail: DataFrame, fallback: DataFrame) -> DataFrame:
     return g.unionByName(f).where("raw > 0")
 
 
-def corridor(sources: DataFrame, props: DataFrame, centres: DataFrame) -> DataFrame:
-    """(property_id, kind_no, sid, zone, loss): buildings that stand between a source and its property, by 20 m zone."""
+def corridor(sources: DataFrame, props: DataFrame, centres: DataFrame, sectors: int = 16) -> DataFrame:
+    """(property_id, kind_no, sid, zone, loss): buildings that stand between a source and its property, by 20 m zone.
+
+    Sources meet buildings of their sector as seen from the property; a building within 30 m of the line of sight may
+    reach over into other sectors, a near one into all, so it goes to each that it can be met in. The geometry of a
+    source is worked out before the join.
+    """
+    turn = 2 * math.pi
+    dx, dy = (F.col("lng") - F.col("src_lng")) * F.col("k"), (F.col("lat") - F.col("src_lat")) * geo.M_PER_DEG
     at = sources.where("src_lng is not null and dist_m >= 20").select("property_id", "kind_no", "sid", "dist_m", "src_lng", "src_lat").join(nearby.keyed(props), "property_id")
-    size, along, off = geo.ray_project(F.col("src_lat"), F.col("src_lng"), F.col("lat"), F.col("lng"), F.col("clat"), F.col("clng"))
-    loss = ac.barrier_loss(along, off, size, F.col("dist_m"), F.col("h"))
-    b = centres.select(F.col("property_id").alias("b_id"), "h", "clng", "clat")
-    between = (F.col("property_id") == F.col("b_id")) & (off <= 30) & (along >= 5) & (along <= F.col("dist_m") - 5) & (size >= 1)
-    out = at.join(b, between).select("property_id", "kind_no", "sid", F.floor(along / 20).cast("int").alias("zone"), loss.alias("loss"))
-    return out.where("loss is not null")
+    at = at.withColumn("k", geo.M_PER_DEG * F.cos(F.radians((F.col("src_lat") + F.col("lat")) / 2)))
+    at = at.withColumn("dx", dx).withColumn("dy", dy).withColumn("size", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where("size >= 1")
+    at = at.withColumn("nx", F.col("dx") / F.col("size")).withColumn("ny", F.col("dy") / F.col("size"))
+    sector = lambda angle: F.pmod(F.floor(angle / turn * sectors), F.lit(sectors)).cast("int")
+    at = at.select("property_id", "kind_no", "sid", "dist_m", "src_lng", "src_lat", "k", "nx", "ny", "size", sector(F.atan2(-F.col("dy"), -F.col("dx"))).alias("s"))
+    b = centres.join(nearby.keyed(props), "property_id").withColumn("ex", (F.col("clng") - F.col("lng")) * geo.lng_scale(F.col("lat"))).withColumn("ey", (F.col("clat") - F.col("lat")) * geo.M_PER_DEG)
+    b = b.withColumn("far", F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey"))).withColumn("angle", F.atan2("ey", "ex"))
+    reach = F.asin(F.lit(35.0) / F.col("far"))  # 5 m more than the test below for the change of scale with latitude
+    first, last = (F.floor((F.col("angle") + w) / turn * sectors) for w in (-reach, reach))
+    some = F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.lit(sectors)).cast("int"))
+    b = b.select(F.col("property_id").alias("b_id"), "h", "clng", "clat", F.explode(F.when(F.col("far") > 40, some).otherwise(F.sequence(F.lit(0), F.lit(sectors - 1)))).alias("b_s"))
+    bx, by = (F.col("clng") - F.col("src_lng")) * F.col("k"), (F.col("clat") - F.col("src_lat")) * geo.M_PER_DEG
+    along, off = bx * F.col("nx") + by * F.col("ny"), F.abs(by * F.col("nx") - bx * F.col("ny"))
+    between = (F.col("property_id") == F.col("b_id")) & (F.col("s") == F.col("b_s")) & (off <= 30) & (along >= 5) & (along <= F.col("dist_m") - 5)
+    out = at.join(b, between).select("property_id", "kind_no", "sid", "dist_m", "h", along.alias("along"), off.alias("off"), "size")
+    loss = ac.barrier_loss(F.col("along"), F.col("off"), F.col("size"), F.col("dist_m"), F.col("h"))
+    return out.select("property_id", "kind_no", "sid", F.floor(F.col("along") / 20).cast("int").alias("zone"), loss.alias("loss")).where("loss is not null")
 
 
 def barrier_combine(losses: DataFrame) -> DataFrame:
@@ -136,7 +157,10 @@ def facade(levels: DataFrame, props: DataFrame, air: DataFrame) -> DataFrame:
 
 
 def noise_parts(props: DataFrame, aadt: DataFrame, stations: DataFrame, roads: DataFrame, shapes: DataFrame, frequency: DataFrame, buildings: DataFrame, radius_m: float) -> dict[str, DataFrame]:
-    """What is near, and all sources with their levels; each is kept (memory, then disk) since several steps read it."""
+    """What is near, and all sources with their levels; each is kept (memory, then disk) since several steps read it.
+
+    ``release`` gives them up once the results are written.
+    """
     near = {
         "aadt": dedup_directional(nearby.counted(props, aadt, radius_m)),
         "stations": nearby.stations(props, stations, radius_m),
@@ -145,8 +169,34 @@ def noise_parts(props: DataFrame, aadt: DataFrame, stations: DataFrame, roads: D
         "tracks": nearby.roads(props, roads, radius_m, "rail"),
     }
     near = {k: v.persist() for k, v in near.items()}
-    sources = road_sources(near["aadt"], near["stations"], near["roads"]).unionByName(rail_sources(near["rail"], near["tracks"]))
-    return near | {"levels": screened(sources.persist(), props, nearby.building_centres(props, buildings, radius_m)).persist()}
+    sources = road_sources(near["aadt"], near["stations"], near["roads"]).unionByName(rail_sources(near["rail"], near["tracks"])).persist()
+    return near | {"sources": sources, "levels": screened(sources, props, nearby.building_centres(props, buildings, radius_m)).persist()}
+
+
+def release(parts: dict[str, DataFrame]) -> None:
+    """Give up what ``noise_parts`` keeps."""
+    for t in parts.values():
+        t.unpersist()
+
+
+def counts_of(parts: dict[str, DataFrame]) -> DataFrame:
+    """(property_id, n_aadt, n_stations, road_count, with_speed, tram1, train1, tram2, train2): how much of each kind is near,
+    and the nearest tram and train by timetable (1) and by track (2); one aggregate over all kinds."""
+    tram = lambda test: (F.when(test, F.col("dist_m")), F.when(~test, F.col("dist_m")))
+    values = {
+        "aadt": {"n_aadt": F.lit(1)},
+        "stations": {"n_stations": F.lit(1)},
+        "roads": {"road_count": F.lit(1), "with_speed": F.coalesce(F.col("speed_kmh") > 0, F.lit(False)).cast("int")},
+        "rail": dict(zip(("tram1", "train1"), tram(F.col("route_type") == 0), strict=True)),
+        "tracks": dict(zip(("tram2", "train2"), tram(F.col("class") == "tram"), strict=True)),
+    }
+    kinds = {c: "double" if c.startswith("tra") else "int" for v in values.values() for c in v}
+    rows = []
+    for kind, own in values.items():
+        t = parts[kind].where(places.is_motor(F.col("class"))) if kind == "roads" else parts[kind]
+        rows.append(t.select("property_id", *(own.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items())))
+    every = reduce(DataFrame.unionByName, rows)
+    return every.groupBy("property_id").agg(*(F.min(c).alias(c) if k == "double" else F.sum(c).alias(c) for c, k in kinds.items()))
 
 
 def score_noise(props: DataFrame, parts: dict[str, DataFrame], air: DataFrame, raster: DataFrame) -> DataFrame:
@@ -160,16 +210,8 @@ def score_noise(props: DataFrame, parts: dict[str, DataFrame], air: DataFrame, r
     top = levels.groupBy("property_id").agg(F.max_by(F.struct("kind_no", "dist_m", "src_lng", "src_lat"), F.struct("level", -F.col("kind_no"), -F.col("sid"))).alias("t"), F.max("screen").alias("max_screening"))
     far = top.where("t.kind_no < 3 and bround(t.dist_m) > 200").select("property_id", F.bround("t.dist_m").alias("dist_m"), "t.src_lng", "t.src_lat").join(nearby.keyed(props), "property_id")
     terrain = best_terrain_barrier(raster_at(path_samples(far, TERRAIN_SAMPLES), raster))
-    rail_dist = lambda t: F.min(F.when((F.col("route_type") == 0) == t, F.col("dist_m")))
-    counts = [
-        parts["aadt"].groupBy("property_id").agg(F.count("*").alias("n_aadt")),
-        parts["stations"].groupBy("property_id").agg(F.count("*").alias("n_stations")),
-        parts["roads"].where(places.is_motor(F.col("class"))).groupBy("property_id").agg(F.count("*").alias("road_count"), F.count_if(F.coalesce(F.col("speed_kmh") > 0, F.lit(False))).alias("with_speed")),
-        parts["rail"].groupBy("property_id").agg(rail_dist(True).alias("tram1"), rail_dist(False).alias("train1")),
-        parts["tracks"].groupBy("property_id").agg(F.min(F.when(F.col("class") == "tram", F.col("dist_m"))).alias("tram2"), F.min(F.when(F.col("class") != "tram", F.col("dist_m"))).alias("train2")),
-    ]
     rows = nearby.keyed(props).select("property_id")
-    for t in (roads, rails, top.select("property_id", "max_screening"), terrain, air.select("property_id", "penalty_db"), *counts):
+    for t in (roads, rails, top.select("property_id", "max_screening"), terrain, air.select("property_id", "penalty_db"), counts_of(parts)):
         rows = rows.join(t, "property_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     rows = rows.withColumn("terrain", zero("terrain")).withColumn("aircraft_db", F.when(F.col("penalty_db") > 0, ac.AMBIENT_DB + F.col("penalty_db")).otherwise(0.0))

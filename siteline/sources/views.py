@@ -100,14 +100,18 @@ def for_duckdb(sql: str) -> str:
     return sql.replace(" div ", " // ").replace(" AS string)", " AS varchar)").replace("explode(sequence(", "unnest(generate_series(")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view over the tables of a folder; nothing is registered in the session's catalog."""
-    args, sql = {}, VIEWS[name]
+def _text(sf_dir: str, name: str) -> str:
+    """A view's SQL over the files of a folder, the views that it needs written out in it."""
+    sql = VIEWS[name]
     for t in [*TABLES, *VIEWS]:
-        if re.search(rf"\b{t}\b", sql.split("FROM", 1)[1]):
-            sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
-            args[t] = view(spark, sf_dir, t) if t in VIEWS else spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return spark.sql(sql, **args)
+        source = f"({_text(sf_dir, t)})" if t in VIEWS and re.search(rf"\b(FROM|JOIN) {t}\b", sql) else f"parquet.`{sf_dir}/{t}.parquet`"
+        sql = re.sub(rf"\b(FROM|JOIN) {t}\b", lambda m, source=source: f"{m[1]} {source}", sql)
+    return sql
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder or a view derived from them; nothing is registered in the session's catalog."""
+    return spark.sql(_text(sf_dir, name)) if name in VIEWS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def duckdb_ctes(*names: str) -> str:
