@@ -1,10 +1,10 @@
 """Exact top-k search by inner product with Fagin's threshold algorithm.
 
 Vectors are dealt into blocks; each block keeps, for each dimension, its vectors' numbers sorted by that component.
-For a query the lists are read from the end that its component's sign favours, all to the same depth; every vector met is
-scored. The products at the current depth add up to a bound on what is not yet met, and reading stops as soon as the
-bound is below the k-th best score. Blocks of queries meet blocks of vectors in a join on the block's number, and the
-best of all blocks are merged per query.
+For a query the lists are read from the end that its component's sign favours, deeper where the product at the current
+depth is larger; every vector met is scored. These products add up to a bound on what is not yet met, and reading stops
+as soon as the bound is below the k-th best score. Blocks of queries meet one block of vectors each first; the k-th best
+score there is taken along to the other blocks, in a join on the block's number, and the best of all are merged per query.
 """
 
 from __future__ import annotations
@@ -48,45 +48,46 @@ def _packed(rows: DataFrame, block: str, sort: bool) -> DataFrame:
     return rows.groupBy(block, F.size("v").alias("dim")).applyInPandas(pack, "block long, dim int, ids binary, m binary, lists binary")
 
 
-def _scores(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; kept within the range of long."""
-    if float(np.abs(m).max(initial=0)) * float(np.abs(q).max(initial=0)) * len(q) < 1 << 53:
+def _scores(m: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+    """Integer inner products, kept within the range of long; ``exact``: doubles can hold them."""
+    if exact:
         return (m @ q).astype(np.int64)
     w = [int(x) for x in q]
     return np.array([min(max(sum(int(a) * b for a, b in zip(row, w, strict=True)), _LONG[0]), _LONG[1]) for row in m], dtype=np.int64)
 
 
-def threshold_top_k(ids: np.ndarray, m: np.ndarray, lists: np.ndarray, query: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the query's k best of a block, the query's own row left out; ties go to the smaller id.
+def threshold_top_k(ids: np.ndarray, m: np.ndarray, lists: np.ndarray, query: int, q: np.ndarray, k: int, floor: int = _LONG[0]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, scores, rows scored) of the query's k best of a block, the query's own row left out; ties go to the smaller id.
 
-    ids ascend; lists[d] holds the rows in descending order of component d.
+    ids ascend; lists[d] holds the rows in descending order of component d. Rows that score less than ``floor`` need not
+    be found. Once half of the block is met the rest is scored at once.
     """
     n, used = len(ids), np.flatnonzero(q)
-    met = np.zeros(n, dtype=bool)
-    own = (ids == query).sum()
-    best, score = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    depth = START if len(used) else n
+    exact = float(np.abs(m).max(initial=0)) * float(np.abs(q).max(initial=0)) * len(q) < 1 << 53
+    met, down = ids == query, q[used] > 0
+    best, score, scored = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0
+    done, depth = np.zeros(len(used), dtype=np.int64), np.full(len(used), min(START, n))
     while True:
-        depth = min(depth, n)
         now = np.zeros(n, dtype=bool)
-        if depth == n:
+        for i, d in enumerate(used):
+            now[lists[d, done[i] : depth[i]] if down[i] else lists[d, n - depth[i] : n - done[i]]] = True
+        if not len(used) or 2 * (met | now).sum() >= n:
             now[:] = True
-        else:
-            for d in used:
-                now[lists[d, :depth] if q[d] > 0 else lists[d, n - depth :]] = True
         new = np.flatnonzero(now & ~met)
         met |= now
-        new = new[ids[new] != query] if own else new
-        best, score = np.concatenate((best, new)), np.concatenate((score, _scores(m[new], q)))
+        scored += len(new)
+        best, score = np.concatenate((best, new)), np.concatenate((score, _scores(m[new], q, exact)))
         order = np.lexsort((best, ~score))[:k]  # ~ keeps within the range where - would not
         best, score = best[order], score[order]
-        if depth == n:
+        if met.all():
             break
-        edge = [int(m[lists[d, depth], d]) * int(q[d]) if q[d] > 0 else int(m[lists[d, n - depth - 1], d]) * int(q[d]) for d in used]
-        if len(best) == k and sum(edge) < int(score[-1]):
+        rows = np.where(down, lists[used, np.minimum(depth, n - 1)], lists[used, np.maximum(n - depth - 1, 0)])
+        edge = [int(a) * int(b) for a, b in zip(m[rows, used], q[used], strict=True)]
+        if sum(edge) < max(floor, int(score[-1]) if len(best) == k else floor):
             break
-        depth *= 2
-    return ids[best], score
+        done = depth
+        depth = np.where(np.array(edge, dtype=float) >= sum(edge) / len(edge), np.minimum(depth * 2, n), depth)
+    return ids[best], score, scored
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
@@ -98,10 +99,11 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     rows = cut(scaled(vectors))
     n = rows.count()
     blocks, q_blocks = 1 + n // BLOCK, 1 + n // (every * QUERIES)
-    deal = lambda b: F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(b)).cast("long")
+    deal_of = lambda x, b: F.pmod(F.xxhash64(x, F.lit("block")), F.lit(b)).cast("long")
+    deal = lambda b: deal_of(F.col("vec_id"), b)
     index = _packed(rows.withColumn("block", deal(blocks)), "block", True)
-    asked = _packed(rows.where(F.col("vec_id") % every == 0).withColumn("block", deal(q_blocks)), "block", False)
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    asked = cut(_packed(rows.where(F.col("vec_id") % every == 0).withColumn("block", deal(q_blocks)), "block", False))
+    home = asked.select(F.pmod(F.xxhash64("block"), F.lit(blocks)).cast("long").alias("block"), F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,13 +113,25 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
                 ids, m = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["m"], dtype=np.float64).reshape(-1, d)
                 lists = np.frombuffer(r["lists"], dtype=np.int32).reshape(d, -1)
                 q_ids, q_m = np.frombuffer(r["q_ids"], dtype=np.int64), np.frombuffer(r["q_m"], dtype=np.float64).reshape(-1, d)
+                floors = dict(zip(r["f_ids"] or (), r["floors"] or (), strict=True))
                 for i, q in zip(q_ids, q_m, strict=True):
-                    found, score = threshold_top_k(ids, m, lists, int(i), q, k)
+                    found, score, _ = threshold_top_k(ids, m, lists, int(i), q, k, floors.get(int(i), _LONG[0]))
                     out.append((np.full(len(found), i), found, score))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
-    pairs = index.join(asked, ["block", "dim"]).select("dim", "ids", "m", "lists", "q_ids", "q_m")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    def searched(asked: DataFrame) -> DataFrame:
+        pairs = index.join(asked, ["block", "dim"]).select("dim", "ids", "m", "lists", "q_ids", "q_m", "f_ids", "floors")
+        return pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+
+    none = F.lit(None).cast("array<long>")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = searched(home.withColumn("f_ids", none).withColumn("floors", none))
+    if blocks > 1:
+        found = cut(found)
+        # rows that repeat a query's vec_id have queries of their own: the least of their k-th scores holds for all
+        kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
+        of = kth.withColumn("q_block", deal_of(F.col("query_id"), q_blocks)).groupBy("q_block").agg(F.collect_list("query_id").alias("f_ids"), F.collect_list("kth").alias("floors"))
+        others = home.withColumnRenamed("block", "home").join(of, "q_block", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).where("block <> home")
+        found = found.unionByName(searched(others))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

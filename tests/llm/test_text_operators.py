@@ -450,6 +450,39 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_threshold_stops_early():
+    """With a few heavy components most rows are never scored; with even ones in many dimensions all are."""
+    rng = np.random.default_rng(8)
+    for spread, most in ((2.0 ** -np.arange(16), 0.35), (np.ones(48), 1.0)):
+        m = np.floor(1024 * rng.normal(0, 1, (4000, len(spread))) * spread)
+        ids, lists = np.arange(4000) * 3, np.argsort(-m, axis=0, kind="stable").T
+        total = 0
+        for i in range(0, 400, 20):
+            found, score, scored = topk.threshold_top_k(ids, m, lists, int(ids[i]), m[i], 10)
+            want = sorted((-int(m[j] @ m[i]), int(ids[j])) for j in range(4000) if j != i)[:10]
+            assert [(-int(s), int(v)) for s, v in zip(score, found)] == want
+            again = topk.threshold_top_k(ids, m, lists, int(ids[i]), m[i], 10, floor=-want[-1][0])
+            assert again[0].tolist() == found.tolist() and again[2] <= scored
+            beyond = topk.threshold_top_k(ids, m, lists, int(ids[i]), m[i], 10, floor=1 << 62)
+            assert beyond[2] < 0.5 * 4000
+            total += scored
+        assert total <= most * 20 * 4000 and (most < 1 or total > 0.9 * 20 * 4000)
+
+
+def test_top_k_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 60)
+    monkeypatch.setattr(topk, "QUERIES", 1)
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in rng.normal(0, 2.0 ** -np.arange(6))]) for i in [*range(700), *range(0, 700, 50)]]
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    fine = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in rows]
+    for q in range(0, 700, 100):
+        every = [(-sum(a * b for a, b in zip(v, w)), i) for own, v in fine if own == q for i, w in fine if i != q]
+        assert [(v, s) for _, v, s in sorted(got[q])] == [(i, -s) for s, i in sorted(every)[:10]]
+
+
 def test_tokens(spark, docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
