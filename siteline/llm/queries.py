@@ -20,40 +20,49 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products with all vectors for every hundredth one."""
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, links at up to 4 bits."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of 10 words of the benchmark, and the items."""
     return decontam.digest(decontam.removal_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in passages of 50 words that occur again."""
     return suffixdedup.digest(suffixdedup.repeats(read(spark, sf_dir, "documents")))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150 % of all words takes of every document."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fifth."""
     docs = read(spark, sf_dir, "documents")
     return toxicity.predicted(toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels"))))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from lang outside the held-out third."""
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every document."""
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 

@@ -33,6 +33,8 @@ _FOLD = (
     | {c: " " for c in (0xA0, 0x2018, 0x2019, 0x201C, 0x201D, 0x2013, 0x2014, 0x2026)}
 )
 PREFIXES = (4, 5, 6)
+#: The greatest weight of a text, which keeps one very long text from bending the curve of the score.
+MOST_WEIGHT = 30.0
 
 
 def fold(text: str | None) -> str:
@@ -72,10 +74,13 @@ class Lexicon:
         return [(s, e, w) for s, e, w, x in found if not x and not any(p <= s and e <= q + 1 for p, q in excepted)]
 
     def measures(self, a: ahocorasick.Automaton, text: str | None) -> tuple[float, float]:
-        """A text's weight, and its weight for its length: by the root of the number of words."""
+        """A text's weight, and its weight for its length: by the root of the number of words.
+
+        All entries count; a weight beyond MOST_WEIGHT counts as that, where the score is 1 to many digits anyway.
+        """
         folded = fold(text)
-        total = sum(w for _, _, w in self.hits(a, folded))
-        return min(total, 30.0), min(total, 30.0) / math.sqrt(max(1, folded.count(" ") - 1)) * 10
+        total = min(sum(w for _, _, w in self.hits(a, folded)), MOST_WEIGHT)
+        return total, total / math.sqrt(max(1, folded.count(" ") - 1)) * 10
 
     def score(self, weight: float, density: float) -> float:
         z = self.curve[0] + self.curve[1] * weight + self.curve[2] * density
@@ -103,8 +108,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 9000) -> t
     return rows, {y: 1 / max(s, 1e-9) for y, s in share.items()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 9000, max_entries: int = 400) -> Lexicon:
-    """Lexicon from a bounded sample of labelled rows (``max_rows``); at most ``max_entries`` entries.
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 9000, max_entries: int = 400, max_exceptions: int = 200) -> Lexicon:
+    """Lexicon from a bounded sample of labelled rows (``max_rows``): the ``max_entries`` entries of most documents, and
+    the ``max_exceptions`` most frequent exception phrases. Without labelled rows of both kinds there is no entry.
 
     An entry is taken if its documents are toxic far more often than the sample's (likelihood ratio above 30, a tenth as
     frequent among others); of beginnings and words with the same documents the longest is. Words before an entry that
@@ -142,13 +148,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 9000, max_entries:
             covered |= {(r.entry[:n], r.a) for n in range(4, len(r.entry))}
             weights[r.entry] = math.log((r.a + 0.5) / (pos + 1)) - math.log((r.b + 0.5) / (neg + 1))
     lexicon = Lexicon(weights)
-    lexicon.exceptions = _exceptions(rows, lexicon)
+    lexicon.exceptions = _exceptions(rows, lexicon, max_exceptions)
     lexicon.curve = _curve(rows, lexicon, stands_for)
     rows.unpersist()
     return lexicon
 
 
-def _exceptions(rows: DataFrame, lexicon: Lexicon, most: int = 200) -> list[str]:
+def _exceptions(rows: DataFrame, lexicon: Lexicon, most: int) -> list[str]:
     """Pairs of a word and an entry after it that are mostly seen in harmless documents."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +196,8 @@ def _curve(rows: DataFrame, lexicon: Lexicon, stands_for: dict[int, float]) -> t
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, score) of each row's whole text; null and empty texts get the score of a text without entries."""
+    """(doc_id, score) of each row's whole text, rows that repeat a doc_id among them; null and empty texts get the score
+    of a text without entries. An empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = lexicon.automaton()

@@ -496,6 +496,64 @@ def test_tokens(spark, docs, texts):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((text or "").encode()), n, n > 2048)
 
 
+def test_tokens_of_other_files_and_long_pieces(spark):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    texts = [None, "", "It's 12 o'clock,  isn't it?\n\nNaïve café.", key(60_000), "é" + key(9000) + "'s 3̈x" * 1500, "漢字" * 3000 + key(5000), " a  b\u00a0c " * 20]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"):
+        path = public_tokenizers.path(name)
+        if name.endswith(".json"):
+            own = Tokenizer.from_file(path)
+            n = lambda t: len(own.encode(t, add_special_tokens=False))  # noqa: B023, E731
+        else:
+            piece = SentencePieceProcessor(model_file=path)
+            n = lambda t: len(piece.encode(t))  # noqa: B023, E731
+        got = {x.doc_id: x.n_tokens for x in tokens.token_counts(rows, name).collect()}
+        assert got == {k: n(t or "") for k, t in enumerate(texts)}, name
+
+
+def test_language_network_against_plain():
+    """The forward pass by pair tables against plain loops over windows, filters and places."""
+    rng = np.random.default_rng(1)
+    k = len(langid.WIDTHS)
+    filters = [rng.normal(0, 1, (w * langid.DIM, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS]
+    biases = [rng.normal(0, 1, langid.FILTERS).astype(np.float32) for _ in langid.WIDTHS]
+    out = rng.normal(0, 1, (k * langid.FILTERS, 3)).astype(np.float32)
+    model = langid.Model(["a", "b", "c"], rng.normal(0, 1, (256, langid.DIM)).astype(np.float32), filters, biases, out, np.zeros(3, np.float32))
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)).lower() for n in (1, 5, 255, 256, 257, 700)]
+    number, score = model.predict(texts)
+    for t, best, p in zip(texts, number, score):
+        total = np.zeros(3)
+        for i in range(0, len(t), langid.WINDOW):
+            part = t[i : i + langid.WINDOW]
+            e = model.embedding[np.frombuffer(part.ljust(langid.WINDOW, b"\0"), dtype=np.uint8)]
+            pooled = [max(float(e[o : o + w].reshape(-1) @ f[:, c] + b[c]) for o in range(langid.WINDOW - w + 1)) for w, f, b in zip(langid.WIDTHS, filters, biases) for c in range(langid.FILTERS)]
+            z = np.maximum(pooled, 0) @ out
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(part)
+        total /= len(t)
+        assert best == total.argmax() and abs(p - total.max()) < 1e-3
+
+
+def test_lexicon_against_plain():
+    """Matched weights against a search of every entry at every place."""
+    r = random.Random(2)
+    words = [f"{a}{b}" for a in ("stu", "idi", "mor", "fin", "cle") for b in ("pid", "ot", "on", "ality", "e")]
+    lex = toxicity.Lexicon({f" {words[0]} ": 2.0, " idi": 3.0, " mor": 1.5, f" {words[11]} ": 0.7}, [f" not {words[0]} ", " fine idi"])
+    auto = lex.automaton()
+    for _ in range(300):
+        text = " ".join(r.choice([*words, "not", "fine", "1d10t", "ѕtupid", "MORE!"]) for _ in range(r.randint(0, 12)))
+        folded = toxicity.fold(text)
+        spans = lambda entry: [(i, i + len(entry)) for i in range(len(folded)) if folded.startswith(entry, i)]  # noqa: B023, E731
+        out = [s for x in lex.exceptions for s in spans(x)]
+        want = sorted((s, e, w) for entry, w in lex.weights.items() for s, e in spans(entry) if not any(p <= s and e <= q + 1 for p, q in out))
+        assert sorted(lex.hits(auto, folded)) == want, text
+
+
 def test_language(spark, docs):
     rows = {r.doc_id: r for r in langid.identify(docs).collect()}
     assert len(rows) == docs.count()
