@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteline.llm import decontam, langid, mixing, secrets, simhash, suffixdedup, tokens, topk, toxicity, url_filters
+from siteline.llm import alignment, decontam, infill, langid, mixing, secrets, simhash, suffixdedup, tokens, topk, toxicity, url_filters, vantage
 from siteline.llm.common import read
 
 
@@ -66,8 +66,24 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with how common the links' pairs are."""
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of all vectors for every hundredth one; at factor one the trees leave out no nearer vector."""
+    return vantage.nearest(read(spark, sf_dir, "embeddings"), relax=1.0)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-middle form and rebuilt from it, as hashes."""
+    return infill.digest(infill.transform(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_topk, op3_secrets, op4_simhash, op5_decontamination, op6_repeats, op7_mixing, op8_toxicity, op9_language, op10_tokens)
+    f.__name__: f
+    for f in (op1_url_filters, op2_topk, op3_secrets, op4_simhash, op5_decontamination, op6_repeats, op7_mixing, op8_toxicity, op9_language, op10_tokens, op11_alignment, op12_neighbours, op13_infill)
 }
 
 ORACLES: dict[str, str] = {}
@@ -119,6 +135,38 @@ SELECT query_id, cast(rank AS INT) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
 """
 
+ORACLES["op12_neighbours"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, cast(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10
+"""
+
+ORACLES["op13_infill"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || cast(doc_id AS VARCHAR)) AS h FROM documents),
+t AS (
+  SELECT *, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w,
+         cast('0x' || h[1:8] AS BIGINT) AS h1, cast('0x' || h[9:16] AS BIGINT) AS h2,
+         cast('0x' || h[17:24] AS BIGINT) AS h3, cast('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, cast(len(w) AS BIGINT) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (
+  SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, cast(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars,
+       cast(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p
+"""
+
 ORACLES["op1_url_filters"] = """
 WITH cap AS (
   SELECT page_id, url, 1704067200 + page_id * 977 % 31536000 AS fetched,
