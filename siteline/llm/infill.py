@@ -130,14 +130,14 @@ def boundaries(text: str, units: str = "words") -> BoundarySet:
     ends = UNITS[units]
 
     def chunks() -> Iterator[np.ndarray]:
-        # offset o belongs to container o >> 16, so the first stretch has SPAN - 1 points and a place for offset 0
-        at, n = 0, len(text)
-        while at < n:
-            to = min(n, (at + SPAN) // SPAN * SPAN - (at < SPAN)) if at else min(n, SPAN - 1)
+        n = len(text)
+        for end in range(SPAN - 1, n + SPAN, SPAN):  # offset o, after point o - 1, belongs to container o >> 16
+            at, to = max(0, end - SPAN), min(n, end)
+            if at >= to:
+                return
             points = np.frombuffer(text[at:to].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             follows = ord(text[to]) if to < n else None
             yield (np.flatnonzero(ends(points, follows)) + at + 1) % SPAN
-            at = to
 
     return BoundarySet(chunks())
 

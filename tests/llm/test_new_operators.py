@@ -131,15 +131,15 @@ def plain_align(aligner, rows):
         for i, s, e in a:
             while k < len(b) and b[k][2] <= s:
                 k += 1
-            for j, s2, _ in b[k:]:
-                if s2 >= e:
-                    break
-                links[i, j] += 1
-        for e in both:
-            groups.append(",".join(str(i) for i, s, t in a if start <= s < e) + "|" + ",".join(str(i) for i, s, t in b if start <= s < e) if len(text) < 3000 else None)
+            n = k
+            while n < len(b) and b[n][1] < e:
+                links[i, b[n][0]] += 1
+                n += 1
+        for e in both if len(text or "") < 3000 else ():
+            groups.append(",".join(str(i) for i, s, t in a if start <= s < e) + "|" + ",".join(str(i) for i, s, t in b if start <= s < e))
             start = e
         counts.update(links.keys())
-        docs.append((doc_id, len(a), len(b), len(both), links, sha(";".join(groups)) if groups and groups[0] is not None else "" if not groups else None))
+        docs.append((doc_id, len(a), len(b), len(both), links, sha(";".join(groups)) if groups else None if both else ""))
     best = Counter()
     for (i, _), n in counts.items():
         best[i] = max(best[i], n)
@@ -238,11 +238,11 @@ def test_tree_leaves_out_more_as_factor_grows():
     m = np.repeat(rng.normal(size=(64, 6)), 64, axis=0) + 0.05 * rng.normal(size=(4096, 6))
     tree = vantage.Tree.unpacked(vantage.Tree.build(np.arange(4096), m, leaf=16).packed())
     seen, found = {}, {}
-    for relax in (1.0, 3.0, 20.0):
+    for relax in (1.0, 2.0, 20.0):
         each = [tree.search(int(tree.ids[i]), tree.m[i], 10, relax) for i in range(0, 4096, 64)]
         seen[relax], found[relax] = sum(x[2] for x in each) / 64, [set(x[0].tolist()) for x in each]
-    assert seen[1.0] < 1400 and seen[3.0] < seen[1.0] and seen[20.0] <= seen[3.0]
-    recall = sum(len(a & b) for a, b in zip(found[1.0], found[3.0])) / 640
+    assert seen[1.0] < 1400 and seen[2.0] < seen[1.0] and seen[20.0] <= seen[2.0]
+    recall = sum(len(a & b) for a, b in zip(found[1.0], found[2.0])) / 640
     assert recall >= 0.9
     for i in range(0, 4096, 512):
         d = vantage.distances(tree.m, tree.m[i])
