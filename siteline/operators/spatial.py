@@ -7,7 +7,7 @@ condition of the join. Spark broadcasts a side that is small enough and splits c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteline.functions import geo
@@ -81,26 +81,98 @@ def overlapping(props: DataFrame, feats: DataFrame, radius_m: float, strict: boo
     return parts[0].unionByName(parts[1])
 
 
-def near_polygons(props: DataFrame, edges: DataFrame, key: str, radius_m: float, keep: list[str]) -> DataFrame:
-    """(property_id, key, keep..., dist_m) of polygons closer than the radius, given by their edges (x1, y1, x2, y2) with
-    the polygon's box; the distance is 0 inside."""
-    lat, lng, x1, y1, x2, y2 = map(F.col, ("lat", "lng", "x1", "y1", "x2", "y2"))
-    t = geo.along_segment(lat, lng, x1, y1, x2, y2)
-    dist = geo.dist_isotropic(lat, lng, y1 + t * (y2 - y1), x1 + t * (x2 - x1))
-    pairs = overlapping(props, edges, radius_m, strict=False).withColumn("_d", dist).withColumn("_c", geo.crosses_ray(lat, lng, x1, y1, x2, y2).cast("int"))
-    out = pairs.groupBy("property_id", key, *keep).agg(F.min("_d").alias("_d"), F.sum("_c").alias("_c"))
-    return out.withColumn("dist_m", F.when(F.col("_c") % 2 == 1, F.lit(0.0)).otherwise(F.col("_d"))).where(F.col("dist_m") < radius_m).drop("_d", "_c")
+#: Cells of polygon covers are shifted by this many degrees, so that no round coordinate lies on a border.
+SHIFT = 0.0031415926535
+
+
+def _cover_cell(x: Column, cell: float) -> Column:
+    return F.floor((x + SHIFT) / cell)
+
+
+def _east(cx: Column, cell: float) -> Column:
+    """The eastern border of a column of cells; of a row, the northern one."""
+    return (cx + 1) * cell - SHIFT
+
+
+def edge_cells(edges: DataFrame, cell: float) -> DataFrame:
+    """Edges (x1, y1, x2, y2) in each cell (_fy, _fx) that they cross, those they only touch included.
+
+    An edge is cut by rows of cells first and goes to the columns of its part in a row, so a long one has as many rows as
+    cells on its way, not as cells of its box.
+    """
+    x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
+    out = edges.withColumn("_fy", F.explode(F.sequence(_cover_cell(F.least(y1, y2), cell), _cover_cell(F.greatest(y1, y2), cell))))
+    lo, hi = F.greatest(F.least(y1, y2), _east(F.col("_fy") - 1, cell)), F.least(F.greatest(y1, y2), _east(F.col("_fy"), cell))
+    at = lambda y: F.when(y1 == y2, x1).otherwise(x1 + (x2 - x1) * (y - y1) / F.when(y1 == y2, F.lit(1.0)).otherwise(y2 - y1))
+    ends = [at(lo), F.when(y1 == y2, x2).otherwise(at(hi))]
+    slack = 1e-9  # degrees, for the rounding of the cut
+    west, east = F.greatest(F.least(*ends) - slack, F.least(x1, x2)), F.least(F.greatest(*ends) + slack, F.greatest(x1, x2))
+    return out.withColumn("_fx", F.explode(F.sequence(_cover_cell(west, cell), _cover_cell(F.greatest(west, east), cell))))
+
+
+def polygon_cover(edges: DataFrame, key: str, keep: list[str], cell: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Cells of polygons given by the edges of their rings: (edges by crossed cell, inner cells).
+
+    The first has the edges in each cell that they cross, with ``_odd``: whether the cell's north-eastern corner is inside.
+    The second has the cells that are inside as a whole. Corners are told by a scan along the northern border of each row of
+    cells: a corner is inside if an odd number of edges crosses the border east of it. There are as many rows as
+    edges cross cells, and as cells are covered.
+    """
+    x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
+    by = [key, *keep]
+    crossed = edge_cells(edges.select(*by, "x1", "y1", "x2", "y2"), cell)
+    north = _east(F.col("_fy"), cell)
+    # an edge crosses a row's northern border once, in the column of that place, whatever other cells of the row it crosses
+    meets = (y1 > north) != (y2 > north)
+    place = _cover_cell((x2 - x1) * (north - y1) / F.when(y1 == y2, F.lit(1.0)).otherwise(y2 - y1) + x1, cell)
+    borders = edges.select(*by, "x1", "y1", "x2", "y2").withColumn("_fy", F.explode(F.sequence(_cover_cell(F.least(y1, y2), cell) - 1, _cover_cell(F.greatest(y1, y2), cell)))).where(meets)
+    cells = crossed.select(*by, "_fy", "_fx", F.lit(0).alias("n")).unionByName(borders.select(*by, "_fy", place.alias("_fx"), F.lit(1).alias("n")))
+    cells = cells.groupBy(*by, "_fy", "_fx").agg(F.sum("n").alias("n"))
+    row = Window.partitionBy(*by, "_fy").orderBy(F.desc("_fx"))
+    cells = cells.withColumn("_odd", F.coalesce(F.sum("n").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1).withColumn("_next", F.lead("_fx").over(row))
+    inner = cells.where((F.col("_odd") != (F.col("n") % 2 == 1)) & (F.col("_next") < F.col("_fx") - 1))
+    inner = inner.select(*by, "_fy", F.explode(F.sequence(F.col("_next") + 1, F.col("_fx") - 1)).alias("_fx"))
+    of = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by] + [F.col("_fy") == F.col("_ry"), F.col("_fx") == F.col("_rx")]
+    corners = cells.select(*(F.col(c).alias(f"_k_{c}") for c in by), F.col("_fy").alias("_ry"), F.col("_fx").alias("_rx"), "_odd")
+    return crossed.join(corners, of).drop("_ry", "_rx", *(f"_k_{c}" for c in by)), inner
 
 
 def inside(props: DataFrame, edges: DataFrame, key: str, keep: list[str], cell: float = 0.05) -> DataFrame:
-    """(property_id, key, keep...) of the polygons that hold a property, given by their edges with the polygon's box."""
-    lat, lng = F.col("lat"), F.col("lng")
-    left = props.withColumn("_cy", _cell(lat, cell)).withColumn("_cx", _cell(lng, cell))
-    right = edges.withColumn("_fy", _span(F.col("ymin"), F.col("ymax"), cell)).withColumn("_fx", _span(F.col("xmin"), F.col("xmax"), cell))
-    boxed = (F.col("_cy") == F.col("_fy")) & (F.col("_cx") == F.col("_fx")) & lng.between(F.col("xmin"), F.col("xmax")) & lat.between(F.col("ymin"), F.col("ymax"))
-    cross = geo.crosses_ray(lat, lng, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    out = left.join(right, boxed & cross).groupBy("property_id", key, *keep).agg(F.count("*").alias("_c"))
-    return out.where(F.col("_c") % 2 == 1).drop("_c")
+    """(property_id, key, keep...) of the polygons that hold a property, given by the edges of their rings; of overlapping
+    rings, what an odd number of them holds.
+
+    A property in an inner cell is inside. In a crossed cell its way to the cell's north-eastern corner, east and then north,
+    meets edges of that cell only; each changes sides.
+    """
+    lat, lng, x1, y1, x2, y2 = map(F.col, ("lat", "lng", "x1", "y1", "x2", "y2"))
+    border, inner = polygon_cover(edges, key, keep, cell)
+    left = props.withColumn("_cy", _cover_cell(lat, cell)).withColumn("_cx", _cover_cell(lng, cell))
+    here = (F.col("_cy") == F.col("_fy")) & (F.col("_cx") == F.col("_fx"))
+    east, north = _east(F.col("_cx"), cell), _east(F.col("_cy"), cell)
+    eastward = geo.crosses_ray(lat, lng, x1, y1, x2, y2) & ~geo.crosses_ray(lat, east, x1, y1, x2, y2)
+    at = (y2 - y1) * (east - x1) / F.when(x1 == x2, F.lit(1.0)).otherwise(x2 - x1) + y1
+    northward = ((x1 > east) != (x2 > east)) & ((lat < at) != (north < at))
+    by = ["property_id", key, *keep]
+    met = left.join(border, here).groupBy(*by, "_odd").agg(F.sum(eastward.cast("int") + northward.cast("int")).alias("_n"))
+    found = met.where((F.col("_n") % 2 == 1) != F.col("_odd")).select(*by)
+    return found.unionByName(left.join(inner, here).select(*by))
+
+
+def near_polygons(props: DataFrame, edges: DataFrame, key: str, radius_m: float, keep: list[str], cell: float = 0.05) -> DataFrame:
+    """(property_id, key, keep..., dist_m) of polygons closer than the radius whose box (xmin, xmax, ymin, ymax) overlaps the
+    window, given by the edges of their rings; the distance is 0 inside. Up to 60 degrees of latitude."""
+    delta = geo.window_deg(radius_m)
+    lat, lng, x1, y1, x2, y2 = map(F.col, ("lat", "lng", "x1", "y1", "x2", "y2"))
+    t = geo.along_segment(lat, lng, x1, y1, x2, y2)
+    dist = geo.dist_isotropic(lat, lng, y1 + t * (y2 - y1), x1 + t * (x2 - x1))
+    boxes = ["xmin", "xmax", "ymin", "ymax"]
+    meets = (F.col("_xmin") <= lng + delta) & (F.col("_xmax") >= lng - delta) & (F.col("_ymin") <= lat + delta) & (F.col("_ymax") >= lat - delta)
+    own = edges.select(key, *keep, "x1", "y1", "x2", "y2", *(F.col(c).alias(f"_{c}") for c in boxes))
+    own = own.withColumns({"xmin": F.least(x1, x2), "xmax": F.greatest(x1, x2), "ymin": F.least(y1, y2), "ymax": F.greatest(y1, y2)})
+    # a degree of longitude at 60 degrees is half as long, so edges are looked for in a wider window than the polygon's box
+    pairs = overlapping(props, own, radius_m * 1.35, strict=False).where(meets).withColumn("dist_m", dist).where(F.col("dist_m") < radius_m)
+    near = pairs.select("property_id", key, *keep, "dist_m").unionByName(inside(props, edges, key, keep, cell).withColumn("dist_m", F.lit(0.0)))
+    return near.groupBy("property_id", key, *keep).agg(F.min("dist_m").alias("dist_m"))
 
 
 def nearest_cell(props: DataFrame, grid: DataFrame, max_dist_m: float, corrected: bool, keep: list[str], order: list[str]) -> DataFrame:

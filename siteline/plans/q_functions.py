@@ -231,7 +231,7 @@ def ray_project(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("property_id", F.bround(s, 3).alias("size"), F.bround(a, 3).alias("along"), F.bround(o, 3).alias("off"))
 
 
-@query("tile_key", duckdb_ctes("v_properties") + "\nSELECT property_id, cast(floor(lng / 10) * 10 AS INT) || 'E_' || cast(floor(abs(lat) / 10) * 10 AS INT) || 'S' AS coarse, 'S' || lpad(cast(cast(ceil(abs(lat)) AS INT) AS VARCHAR), 2, '0') || '_00_E' || lpad(cast(cast(floor(lng) AS INT) AS VARCHAR), 3, '0') || '_00' AS fine FROM v_properties")
+@query("tile_key", duckdb_ctes("v_properties") + "\nSELECT property_id, CASE WHEN floor(lng / 10) * 10 IN (110, 120, 130, 140, 150) AND floor(abs(lat) / 10) * 10 IN (10, 20, 30, 40) THEN cast(floor(lng / 10) * 10 AS INT) || 'E_' || cast(floor(abs(lat) / 10) * 10 AS INT) || 'S' END AS coarse, 'S' || lpad(cast(cast(ceil(abs(lat)) AS INT) AS VARCHAR), 2, '0') || '_00_E' || lpad(cast(cast(floor(lng) AS INT) AS VARCHAR), 3, '0') || '_00' AS fine FROM v_properties")
 def tile_key(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "v_properties").select("property_id", geo.coarse_tile(F.col("lat"), F.col("lng")).alias("coarse"), geo.fine_tile(F.col("lat"), F.col("lng")).alias("fine"))
 
