@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteline.functions import acoustics as ac
 from siteline.functions import geo, places
-from siteline.plans import nearby
+from siteline.plans import boosting, nearby
+from siteline.plans.q_etl import shared_folder
 from siteline.plans.q_nearby import MDEG, R4, centres_sql, near_pois_sql, near_rail_sql, near_segments_sql, near_stations_sql
 from siteline.plans.q_noise import CLASS_AADT_SQL, LDEN_SQL, LEVELS_SQL, NOISE_SQL, NOT_MOTOR_SQL, PATHS_SQL, RADIUS, best_terrain_barrier, crtn_sql, noise, path_samples, period_sql, rail_kind
 from siteline.plans.q_scores import raster_at, sql_any
@@ -396,61 +394,71 @@ def training_table(features: DataFrame, measured: DataFrame) -> DataFrame:
     return assign_split(rows.withColumn("target", F.col("la50") - F.col("physics_lden")), "property_id")
 
 
-ROWS_A_TASK = 20_000
-
-
-def fit_residual(rows: DataFrame, trees: int = 300, depth: int = 5, rate: float = 0.03):
-    """A gradient-boosted model of the residual, weighted, on the sorted features."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+def fit_residual(rows: DataFrame, models: dict[str, Column], settings: boosting.Settings | None = None) -> boosting.Forest:
+    """Gradient-boosted models of the residual, weighted, on the sorted features: one for each set of rows."""
+    return boosting.fit(rows, "property_id", FEATURES, "target", "weight", models, shared_folder(rows.sparkSession), settings)
 
-    # a round is a few short jobs over all rows, so tasks are made no smaller than they are worth
-    parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_A_TASK))
-    rows = rows.select("target", "weight", *FEATURES).coalesce(parts)
-    gbt = GBTRegressor(featuresCol="x", labelCol="target", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=42, checkpointInterval=50)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="x"), gbt]).fit(rows)
 
-
-def predicted_errors(model, rows: DataFrame) -> DataFrame:
-    """Rows with err of the model and phys_err of physics alone."""
-    out = model.transform(rows)
+def predicted_errors(forest: boosting.Forest, rows: DataFrame, model: Column) -> DataFrame:
+    """Rows with err of the model that ``model`` names for each, and phys_err of physics alone."""
+    out = forest.predict(rows).withColumn("prediction", F.element_at("predicted", model)).drop("predicted")
     return out.withColumn("err", F.col("physics_lden") + F.col("prediction") - F.col("la50")).withColumn("phys_err", F.col("physics_lden") - F.col("la50"))
 
 
 def _table(spark: SparkSession, d: str) -> DataFrame:
-    return training_table(noise_features(spark, d), view(spark, d, "v_measured")).persist()
+    """The training table, written once: features are dear and training reads them several times."""
+    path = f"{shared_folder(spark)}/training"
+    training_table(noise_features(spark, d), view(spark, d, "v_measured")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def both_metrics(errors: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Metrics of model and physics, told apart by ``which``."""
+    m = error_metrics(errors, by).withColumn("which", F.lit("model"))
+    return m.unionByName(error_metrics(errors.withColumn("err", F.col("phys_err")), by).withColumn("which", F.lit("physics")))
 
 
 @query("train_residual")
 def train_residual(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out metrics of model and physics."""
+    """Held-out metrics of model and physics; the model of all rows, fitted beside it, is for use (``refit``)."""
     rows = _table(spark, d)
-    e = predicted_errors(fit_residual(rows.where("is_train")), rows.where("not is_train"))
-    m = error_metrics(e).withColumn("which", F.lit("model"))
-    return m.unionByName(error_metrics(e.withColumn("err", F.col("phys_err"))).withColumn("which", F.lit("physics")))
+    forest = fit_residual(rows, {"train": F.col("is_train")})
+    return both_metrics(predicted_errors(forest, rows.where("not is_train"), F.lit("train")))
+
+
+@query("refit_all")
+def refit_all(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions for all training rows by the model fitted on all, saved and loaded again."""
+    rows, path = _table(spark, d), f"{shared_folder(spark)}/model"
+    fit_residual(rows, {"all": F.lit(True)}).save(spark, path)
+    return boosting.Forest.load(spark, path).predict(rows).select("property_id", F.bround(F.col("physics_lden") + F.element_at("predicted", F.lit("all")), 4).alias("level_db"))
 
 
 @query("top_features")
 def top_features(spark: SparkSession, d: str) -> DataFrame:
-    """The ten features of most importance."""
-    model = fit_residual(_table(spark, d).where("is_train")).stages[-1]
-    imp = model.featureImportances.toArray()
-    rows = [(n, float(v)) for n, v in zip(FEATURES, imp, strict=True)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(10)
+    """The ten features of most importance, as shares of the gain of all splits."""
+    forest = fit_residual(_table(spark, d), {"train": F.col("is_train")})
+    return spark.createDataFrame(forest.importance("train"), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(10)
 
 
 @query("cross_validate")
 def cross_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics by fold of five-fold validation, each fold by a model of the others."""
+    """Metrics by fold of five-fold validation, each fold by a model of the others; all models share their jobs."""
     rows = _table(spark, d)
+    forest = fit_residual(rows, {f"fold {k}": F.col("fold") != k for k in range(5)})
+    return error_metrics(predicted_errors(forest, rows, F.concat(F.lit("fold "), F.col("fold").cast("string"))), ["fold"])
 
-    def fold(k: int) -> DataFrame:
-        errors = predicted_errors(fit_residual(rows.where(F.col("fold") != k)), rows.where(F.col("fold") == k))
-        return error_metrics(errors).withColumn("fold", F.lit(k))
 
-    with ThreadPoolExecutor(5) as pool:  # rounds are many short jobs, so the folds' jobs run side by side
-        return reduce(DataFrame.unionByName, pool.map(fold, range(5)))
+@query("leave_city_out")
+def leave_city_out(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of model and physics by city, each city by a model of the others (200 trees of depth 4), and of all as city
+    null."""
+    rows = _table(spark, d)
+    cities = [r.city for r in rows.select("city").distinct().where("city is not null").orderBy("city").limit(boosting.MOST_MODELS + 1).collect()]
+    forest = fit_residual(rows, {f"city {c}": F.col("city") != c for c in cities}, boosting.Settings(trees=200, depth=4, rate=0.05, alpha=1.0, least_weight=1.0))
+    errors = predicted_errors(forest, rows.where("city is not null"), F.concat(F.lit("city "), F.col("city").cast("string")))
+    columns = ["city", "which", "n", "bias", "mae", "w5"]
+    return both_metrics(errors, ["city"]).select(columns).unionByName(both_metrics(errors).withColumn("city", F.lit(None).cast("int")).select(columns))
 
 
 @query("evaluate_model", FEATURES_SQL + """, ms AS (SELECT c_custkey AS property_id, (38 + (c_custkey * 17) % 45)::double AS la50, c_custkey % 12 AS mc FROM customer),
