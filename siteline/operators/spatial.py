@@ -94,22 +94,36 @@ def _east(cx: Column, cell: float) -> Column:
     return (cx + 1) * cell - SHIFT
 
 
-def edge_cells(edges: DataFrame, cell: float) -> DataFrame:
-    """Edges (x1, y1, x2, y2) in each cell (_fy, _fx) that they cross, those they only touch included.
+def edge_cells(edges: DataFrame, cell: float, margin_y: Column | float = 0.0, margin_x: Column | float = 0.0) -> DataFrame:
+    """Edges (x1, y1, x2, y2) in each cell (_fy, _fx) that they cross or come near to, within margins in degrees.
 
     An edge is cut by rows of cells first and goes to the columns of its part in a row, so a long one has as many rows as
     cells on its way, not as cells of its box.
     """
     x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
-    out = edges.withColumn("_fy", F.explode(F.sequence(_cover_cell(F.least(y1, y2), cell), _cover_cell(F.greatest(y1, y2), cell))))
-    lo, hi = F.greatest(F.least(y1, y2), _east(F.col("_fy") - 1, cell)), F.least(F.greatest(y1, y2), _east(F.col("_fy"), cell))
+    my, mx = (m if isinstance(m, Column) else F.lit(m) for m in (margin_y, margin_x))
+    out = edges.withColumn("_fy", F.explode(F.sequence(_cover_cell(F.least(y1, y2) - my, cell), _cover_cell(F.greatest(y1, y2) + my, cell))))
+    lo, hi = F.greatest(F.least(y1, y2), _east(F.col("_fy") - 1, cell) - my), F.least(F.greatest(y1, y2), _east(F.col("_fy"), cell) + my)
     at = lambda y: F.when(y1 == y2, x1).otherwise(x1 + (x2 - x1) * (y - y1) / F.when(y1 == y2, F.lit(1.0)).otherwise(y2 - y1))
     ends = [at(lo), F.when(y1 == y2, x2).otherwise(at(hi))]
     slack = 1e-9  # degrees, for the rounding of the cut
-    west, east = F.greatest(F.least(*ends) - slack, F.least(x1, x2)), F.least(F.greatest(*ends) + slack, F.greatest(x1, x2))
+    west, east = F.greatest(F.least(*ends) - slack, F.least(x1, x2)) - mx, F.least(F.greatest(*ends) + slack, F.greatest(x1, x2)) + mx
     return out.withColumn("_fx", F.explode(F.sequence(_cover_cell(west, cell), _cover_cell(F.greatest(west, east), cell))))
 
 
+def near_rays(rays: DataFrame, points: DataFrame, x: str, y: str, margin_m: float, exact: Column, cell_m: float = 200.0) -> DataFrame:
+    """Rays (x1, y1, x2, y2, and k: metres of a degree of longitude) with the points (x, y) up to ``margin_m`` off their way
+    that pass ``exact``. A ray walks over the cells of its corridor and a point lies in one, so pairs meet once and only
+    points along the way are looked at. Column names of the two must differ."""
+    cell = cell_m / geo.M_PER_DEG
+    wide = margin_m + 2.0  # metres: k is taken at one latitude
+    left = edge_cells(rays, cell, wide / geo.M_PER_DEG, F.lit(wide) / F.col("k"))
+    right = points.withColumn("_py", _cover_cell(F.col(y), cell)).withColumn("_px", _cover_cell(F.col(x), cell))
+    # a cell holds what stands on some hundred metres square, so the points' side can be hashed; the many rays aren't sorted
+    right = right.hint("shuffle_hash")
+    return left.join(right, (F.col("_fy") == F.col("_py")) & (F.col("_fx") == F.col("_px")) & exact).drop("_fy", "_fx", "_py", "_px")
+
+
 def polygon_cover(edges: DataFrame, key: str, keep: list[str], cell: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Cells of polygons given by the edges of their rings: (edges by crossed cell, inner cells).
 

@@ -112,7 +112,7 @@ def _road_levels(spark: SparkSession, d: str) -> DataFrame:
     from siteline.plans.q_noise import screened
 
     props = _props(spark, d)
-    return screened(road_levels(nearby.roads(props, view(spark, d, "v_roads"), RADIUS)), props, nearby.building_centres(props, view(spark, d, "v_buildings"), RADIUS))
+    return screened(road_levels(nearby.roads(props, view(spark, d, "v_roads"), RADIUS)), props, view(spark, d, "v_buildings"), RADIUS)
 
 
 @query("road_energy_features", ROAD_BASE_SQL + ",\n" + ENERGY_SQL + f"\nSELECT property_id, {rounded(ENERGY_COLS)} FROM fen")
@@ -183,7 +183,7 @@ def _rail_features(spark: SparkSession, d: str) -> DataFrame:
     props = _props(spark, d)
     rail = nearby.rail(props, view(spark, d, "v_rail_shapes"), view(spark, d, "v_rail_frequency"), RADIUS)
     src = rail.select("property_id", F.lit(3).alias("kind_no"), F.col("shape_id").alias("sid"), "dist_m", F.col("near_lng").alias("src_lng"), F.col("near_lat").alias("src_lat"))
-    return rail_features(rail, barrier_combine(corridor(src, props, nearby.building_centres(props, view(spark, d, "v_buildings"), RADIUS))), RADIUS)
+    return rail_features(rail, barrier_combine(corridor(src, props, view(spark, d, "v_buildings"), RADIUS)), RADIUS)
 
 
 @query("rail_features", ROAD_BASE_SQL + ",\n" + RAIL_SQL + f"\nSELECT property_id, {rounded(RAIL_COLS)} FROM frl")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siteline.functions import acoustics as ac
 from siteline.functions import geo, ladders, places
+from siteline.operators import spatial
 from siteline.plans import nearby
 from siteline.plans.q_nearby import R4, centres_sql, near_rail_sql, near_segments_sql, near_stations_sql
 from siteline.plans.q_scores import CONTOUR_SQL, PENALTY_SQL, aircraft, inside_sql, label_sql, ladder_sql, raster_at
@@ -70,31 +70,26 @@ def rail_sources(rail: DataFrame, fallback: DataFrame) -> DataFrame:
     return g.unionByName(f).where("raw > 0")
 
 
-def corridor(sources: DataFrame, props: DataFrame, centres: DataFrame, sectors: int = 16) -> DataFrame:
+def corridor(sources: DataFrame, props: DataFrame, buildings: DataFrame, radius_m: float) -> DataFrame:
     """(property_id, kind_no, sid, zone, loss): buildings that stand between a source and its property, by 20 m zone.
 
-    Sources meet buildings of their sector as seen from the property; a building within 30 m of the line of sight may
-    reach over into other sectors, a near one into all, so it goes to each that it can be met in. The geometry of a
-    source is worked out before the join.
+    Each line of sight walks over cells of a grid and meets the buildings whose centre lies in its corridor, 30 m to either
+    side; they must also be in the property's window of the radius.
     """
-    turn = 2 * math.pi
-    dx, dy = (F.col("lng") - F.col("src_lng")) * F.col("k"), (F.col("lat") - F.col("src_lat")) * geo.M_PER_DEG
-    at = sources.where("src_lng is not null and dist_m >= 20").select("property_id", "kind_no", "sid", "dist_m", "src_lng", "src_lat").join(nearby.keyed(props), "property_id")
-    at = at.withColumn("k", geo.M_PER_DEG * F.cos(F.radians((F.col("src_lat") + F.col("lat")) / 2)))
-    at = at.withColumn("dx", dx).withColumn("dy", dy).withColumn("size", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where("size >= 1")
-    at = at.withColumn("nx", F.col("dx") / F.col("size")).withColumn("ny", F.col("dy") / F.col("size"))
-    sector = lambda angle: F.pmod(F.floor(angle / turn * sectors), F.lit(sectors)).cast("int")
-    at = at.select("property_id", "kind_no", "sid", "dist_m", "src_lng", "src_lat", "k", "nx", "ny", "size", sector(F.atan2(-F.col("dy"), -F.col("dx"))).alias("s"))
-    b = centres.join(nearby.keyed(props), "property_id").withColumn("ex", (F.col("clng") - F.col("lng")) * geo.lng_scale(F.col("lat"))).withColumn("ey", (F.col("clat") - F.col("lat")) * geo.M_PER_DEG)
-    b = b.withColumn("far", F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey"))).withColumn("angle", F.atan2("ey", "ex"))
-    reach = F.asin(F.lit(35.0) / F.col("far"))  # 5 m more than the test below for the change of scale with latitude
-    first, last = (F.floor((F.col("angle") + w) / turn * sectors) for w in (-reach, reach))
-    some = F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.lit(sectors)).cast("int"))
-    b = b.select(F.col("property_id").alias("b_id"), "h", "clng", "clat", F.explode(F.when(F.col("far") > 40, some).otherwise(F.sequence(F.lit(0), F.lit(sectors - 1)))).alias("b_s"))
-    bx, by = (F.col("clng") - F.col("src_lng")) * F.col("k"), (F.col("clat") - F.col("src_lat")) * geo.M_PER_DEG
+    delta = geo.window_deg(radius_m)
+    dx, dy = (F.col("x2") - F.col("x1")) * F.col("k"), (F.col("y2") - F.col("y1")) * geo.M_PER_DEG
+    at = sources.where("src_lng is not null and dist_m >= 20").select("property_id", "kind_no", "sid", "dist_m", F.col("src_lng").alias("x1"), F.col("src_lat").alias("y1"))
+    at = at.join(nearby.keyed(props).select("property_id", F.col("lng").alias("x2"), F.col("lat").alias("y2")), "property_id")
+    at = at.withColumn("k", geo.M_PER_DEG * F.cos(F.radians((F.col("y1") + F.col("y2")) / 2)))
+    at = at.withColumn("size", F.sqrt(dx * dx + dy * dy)).where("size >= 1").withColumn("nx", dx / F.col("size")).withColumn("ny", dy / F.col("size"))
+    # only a ray of a length near the radius or more can leave the window
+    at = at.withColumn("leaves", (F.abs(dx) + 35 > delta * F.col("k") * 0.99) | (F.abs(dy) + 35 > delta * geo.M_PER_DEG))
+    b = buildings.select(F.coalesce("height", F.lit(6.0)).alias("h"), "clng", "clat", "xmin", "xmax", "ymin", "ymax")
+    window = ~F.col("leaves") | (F.col("xmin") < F.col("x2") + delta) & (F.col("xmax") > F.col("x2") - delta) & (F.col("ymin") < F.col("y2") + delta) & (F.col("ymax") > F.col("y2") - delta)
+    bx, by = (F.col("clng") - F.col("x1")) * F.col("k"), (F.col("clat") - F.col("y1")) * geo.M_PER_DEG
     along, off = bx * F.col("nx") + by * F.col("ny"), F.abs(by * F.col("nx") - bx * F.col("ny"))
-    between = (F.col("property_id") == F.col("b_id")) & (F.col("s") == F.col("b_s")) & (off <= 30) & (along >= 5) & (along <= F.col("dist_m") - 5)
-    out = at.join(b, between).select("property_id", "kind_no", "sid", "dist_m", "h", along.alias("along"), off.alias("off"), "size")
+    between = (off <= 30) & (along >= 5) & (along <= F.col("dist_m") - 5) & window
+    out = spatial.near_rays(at, b, "clng", "clat", 30.0, between).select("property_id", "kind_no", "sid", "dist_m", "h", along.alias("along"), off.alias("off"), "size")
     loss = ac.barrier_loss(F.col("along"), F.col("off"), F.col("size"), F.col("dist_m"), F.col("h"))
     return out.select("property_id", "kind_no", "sid", F.floor(F.col("along") / 20).cast("int").alias("zone"), loss.alias("loss")).where("loss is not null")
 
@@ -106,9 +101,9 @@ def barrier_combine(losses: DataFrame) -> DataFrame:
     return zones.groupBy("property_id", "kind_no", "sid").agg(F.least(F.lit(ac.BARRIERS_CAP), m + 0.4 * (F.sum("loss") - m)).alias("screen"))
 
 
-def screened(sources: DataFrame, props: DataFrame, centres: DataFrame) -> DataFrame:
+def screened(sources: DataFrame, props: DataFrame, buildings: DataFrame, radius_m: float) -> DataFrame:
     """``sources`` with ``screen`` (raw screening) and ``level``; roads and rails that end at 0 are left out."""
-    s = barrier_combine(corridor(sources, props, centres))
+    s = barrier_combine(corridor(sources, props, buildings, radius_m))
     out = sources.join(s, ["property_id", "kind_no", "sid"], "left").withColumn("screen", F.coalesce("screen", F.lit(0.0)))
     return out.withColumn("level", F.greatest(F.col("raw") - F.col("screen") * F.col("factor"), F.lit(0.0)))
 
@@ -170,7 +165,7 @@ def noise_parts(props: DataFrame, aadt: DataFrame, stations: DataFrame, roads: D
     }
     near = {k: v.persist() for k, v in near.items()}
     sources = road_sources(near["aadt"], near["stations"], near["roads"]).unionByName(rail_sources(near["rail"], near["tracks"])).persist()
-    return near | {"sources": sources, "levels": screened(sources, props, nearby.building_centres(props, buildings, radius_m)).persist()}
+    return near | {"sources": sources, "levels": screened(sources, props, buildings, radius_m).persist()}
 
 
 def release(parts: dict[str, DataFrame]) -> None:
@@ -372,7 +367,7 @@ def q_dedup_directional(spark: SparkSession, d: str) -> DataFrame:
 def join_corridor_buildings(spark: SparkSession, d: str) -> DataFrame:
     p, props = parts_of(spark, d), view(spark, d, "v_properties")
     s = road_sources(p["aadt"], p["stations"], p["roads"]).unionByName(rail_sources(p["rail"], p["tracks"]))
-    c = corridor(s, props, nearby.building_centres(props, view(spark, d, "v_buildings"), RADIUS))
+    c = corridor(s, props, view(spark, d, "v_buildings"), RADIUS)
     return c.groupBy("property_id", "kind_no", "sid", "zone").agg(F.bround(F.max("loss"), 3).alias("loss"))
 
 

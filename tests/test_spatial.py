@@ -85,8 +85,9 @@ def test_more_screening_never_adds_noise(spark):
     props = spark.createDataFrame([(1, -37.8009, 145.0)], "property_id long, lat double, lng double")
     levels = []
     for n in range(4):
-        b = spark.createDataFrame([(1, i, 8.0, 145.0, -37.8002 - 0.0002 * i) for i in range(n)], "property_id long, id long, h double, clng double, clat double")
-        levels.append(q_noise.screened(src, props, b).first().level)
+        at = [-37.8002 - 0.0002 * i for i in range(n)]
+        b = spark.createDataFrame([(8.0, 145.0, y, 144.9999, 145.0001, y - 0.0001, y + 0.0001) for y in at], "height double, clng double, clat double, xmin double, xmax double, ymin double, ymax double")
+        levels.append(q_noise.screened(src, props, b, 500).first().level)
     assert levels == sorted(levels, reverse=True) and levels[0] == 70.0 and levels[3] < levels[0]
 
 
@@ -112,3 +113,33 @@ def test_noise_takes_sources_within_500_m(spark):
         some += int((window & (dist > 300) & (dist < 500)).sum())
     assert some > 0
     spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("cell_m", [15.0, 100.0, 700.0])
+def test_rays_meet_all_points_along_their_way(spark, cell_m):
+    rng = random.Random(12)
+    rays = [(i, 145 + 0.01 * rng.random(), -38 + 0.01 * rng.random(), 145 + 0.01 * rng.random(), -38 + 0.01 * rng.random()) for i in range(60)]
+    rays += [(60, 145.0, -38.0, 145.01, -38.0), (61, 145.0, -38.0, 145.0, -37.99), (62, 145.002, -37.998, 145.002, -37.998)]  # level, upright, a point
+    points = [(i, 145 + 0.01 * rng.random(), -38 + 0.01 * rng.random()) for i in range(400)]
+    k = 111_320 * math.cos(math.radians(38))
+    left = spark.createDataFrame(rays, "r long, x1 double, y1 double, x2 double, y2 double").withColumn("k", F.lit(k))
+    right = spark.createDataFrame(points, "p long, px double, py double")
+    dx, dy = (F.col("x2") - F.col("x1")) * k, (F.col("y2") - F.col("y1")) * 111_320
+    bx, by = (F.col("px") - F.col("x1")) * k, (F.col("py") - F.col("y1")) * 111_320
+    size = F.sqrt(dx * dx + dy * dy)
+    near = (F.abs(bx * dy - by * dx) <= 30 * size) & (bx * dx + by * dy >= 0) & (bx * dx + by * dy <= size * size) & (size > 0)
+    want = {(r.r, r.p) for r in left.crossJoin(right).where(near).collect()}
+    got = [(r.r, r.p) for r in spatial.near_rays(left, right, "px", "py", 30.0, near, cell_m).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+@pytest.mark.parametrize("radius", [300.0, 500.0])
+def test_candidates_of_rays_grow_with_their_way(spark, radius):
+    """What a ray looks at: cells along its way, not all buildings of the window."""
+    k = 111_320 * math.cos(math.radians(38))
+    ray = spark.createDataFrame([(145.0, -38.0, 145.0 + radius / k * 0.7, -38.0 + radius / 111_320 * 0.7)], "x1 double, y1 double, x2 double, y2 double").withColumn("k", F.lit(k))
+    step = 20.0  # a building each 20 m in the window of the radius
+    n = int(2 * 1.5 * radius / step)
+    grid = [(145.0 + (i - n / 2) * step / k, -38.0 + (j - n / 2) * step / 111_320) for i in range(n) for j in range(n)]
+    met = spatial.near_rays(ray, spark.createDataFrame(grid, "px double, py double"), "px", "py", 30.0, F.lit(True)).count()
+    assert radius / step * 3 < met < radius / 20 * 30 < len(grid)
