@@ -141,5 +141,5 @@ def test_candidates_of_rays_grow_with_their_way(spark, radius):
     step = 20.0  # a building each 20 m in the window of the radius
     n = int(2 * 1.5 * radius / step)
     grid = [(145.0 + (i - n / 2) * step / k, -38.0 + (j - n / 2) * step / 111_320) for i in range(n) for j in range(n)]
-    met = spatial.near_rays(ray, spark.createDataFrame(grid, "px double, py double"), "px", "py", 30.0, F.lit(True)).count()
-    assert radius / step * 3 < met < radius / 20 * 30 < len(grid)
+    met = spatial.near_rays(ray, spark.createDataFrame(grid, "px double, py double"), "px", "py", 30.0, F.lit(True), 50.0).count()
+    assert radius / step * 3 < met < radius / step * 16 < len(grid) / 8
