@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -50,6 +50,30 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def in_blocks(xs: Column, zero: Column, add: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """An array's elements in blocks of about the root of their number: structs of ``xs``, and of ``before`` and ``after``, the
+    running state (``add`` an element to it, ``join`` two of it) at either end.
+
+    What grows an array by an element at a time copies it each time; within a block these copies are short.
+    """
+    def states(blocks: Column) -> Column:
+        return F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, zero, add)), F.array(zero), lambda acc, s: F.concat(acc, F.array(join(F.element_at(acc, -1), s))))
+
+    def ends(blocks: Column, at: Column) -> Column:
+        return F.transform(blocks, lambda b, i: F.struct(b.alias("xs"), at[i].alias("before"), at[i + 1].alias("after")))
+
+    def cut_up(v: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), size), lambda i: F.slice(v, i, size))
+
+    size = lambda v: F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"))
+    return _let(xs, lambda v: _let(size(v), lambda k: _let(cut_up(v, k), lambda blocks: _let(states(blocks), lambda at: ends(blocks, at)))))
+
+
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, as expressions in lambdas are for each element."""
+    return F.transform(F.array(x), use)[0]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteline.llm.common import cut, keyed_rows, with_text
+from siteline.llm.common import cut, in_blocks, keyed_rows, with_text
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,15 +36,16 @@ def _spans(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     sizes = F.transform(F.arrays_zip(gaps.alias("g"), whole.alias("w"), part.alias("p")), lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["w"]).alias("w"), F.length(x["p"]).alias("p")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    long = lambda x: x["g"] + F.coalesce(x["w"], F.lit(0))
 
     def step(s: Column, x: Column) -> Column:
         a = s["at"] + x["g"]
-        b = a + F.coalesce(x["w"], F.lit(0))
-        span = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(x["p"] >= max(least, 1), F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
+        span = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), (s["at"] + long(x)).alias("end")))
+        return F.struct((s["at"] + long(x)).alias("at"), F.when(x["p"] >= max(least, 1), F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(sizes, start, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
+    blocks = in_blocks(sizes, F.lit(0), lambda s, x: s + long(x), lambda a, b: a + b)
+    found = F.transform(blocks, lambda b: F.aggregate(b["xs"], F.struct(b["before"].alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda s: s["out"]))
+    return F.when(text.rlike(pattern), F.flatten(found)).otherwise(F.array().cast(_SPAN))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -212,12 +213,16 @@ def redact(docs: DataFrame, q: float = 0.1, mark: str = "[secret]") -> DataFrame
     found = scan(docs, q).select(F.col("doc_id").alias("f_id"), F.col("at").alias("f_at"), F.array_sort(F.concat("base", "added")).alias("spans")).where(F.size("spans") > 0)
     rows = keyed_rows(docs).join(found.dropDuplicates(["f_id", "f_at"]), F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("at") == F.col("f_at")), "left")
     text = F.col("row.text").cast("string")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    piece = lambda a, b: F.substring(text, a + 1, b - a)
+    # a block's part of the text is cut out first, so that each piece is looked for in a short text
+    blocks = in_blocks(F.col("spans"), F.lit(0), lambda at, x: F.greatest(at, x["end"]), lambda a, b: F.greatest(a, b))
+    blocks = F.transform(blocks, lambda b: F.struct(b["xs"].alias("xs"), b["before"].alias("before"), F.substring(text, b["before"] + 1, b["after"] - b["before"]).alias("part")))
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], piece(s["at"], x["start"]), F.lit(mark))).otherwise(s["out"]).alias("out"))
+    def pieces(b: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            piece = F.concat(F.substring(b["part"], s["at"] - b["before"] + 1, x["start"] - s["at"]), F.lit(mark))
+            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"))
+
+        return F.aggregate(b["xs"], F.struct(b["before"].alias("at"), F.array().cast("array<string>").alias("out")), step, lambda s: s["out"])
 
-    changed = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], piece(s["at"], F.length(text))))
+    changed = F.concat(F.array_join(F.flatten(F.transform(blocks, pieces)), ""), F.substring(text, F.array_max("spans.end") + 1, F.length(text)))
     return with_text(rows, F.when(F.col("spans").isNotNull(), changed), docs)

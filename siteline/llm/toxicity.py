@@ -8,9 +8,11 @@ are learned from labelled rows. A document's weight is set against its length, a
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -70,8 +72,14 @@ class Lexicon:
         if not len(a):
             return []
         found = [(end - n + 1, end + 1, w, x) for end, (n, w, x) in a.iter(folded)]
-        excepted = [(s, e) for s, e, _, x in found if x]
-        return [(s, e, w) for s, e, w, x in found if not x and not any(p <= s and e <= q + 1 for p, q in excepted)]
+        excepted = sorted((s, e) for s, e, _, x in found if x)
+        starts, reach = [s for s, _ in excepted], list(accumulate((e for _, e in excepted), max))
+
+        def inside(s: int, e: int) -> bool:  # the phrases that begin at s or before reach as far as e
+            k = bisect_right(starts, s)
+            return k > 0 and e <= reach[k - 1] + 1
+
+        return [(s, e, w) for s, e, w, x in found if not x and not inside(s, e)]
 
     def measures(self, a: ahocorasick.Automaton, text: str | None) -> tuple[float, float]:
         """A text's weight, and its weight for its length: by the root of the number of words.
