@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from siteline.functions import acoustics as ac
 from siteline.functions import geo, ladders, places
-from siteline.operators import spatial
+from siteline.operators import raster, spatial
 from siteline.plans import nearby
+from siteline.plans.q_etl import shared_folder
 from siteline.plans.q_nearby import R4, aniso, centres_sql, first_int, in_window, iso, near_pois_sql, near_rail_sql, near_segments_sql, state_sql
 from siteline.plans.q_noise import CLASS_AADT_SQL, LDEN_SQL, crtn_sql, path_samples, period_sql, rail_sql, track_sql
 from siteline.plans.q_scores import GROUP_SQL, ladder_sql, sql_any
@@ -40,8 +41,12 @@ def extract_region(spark: SparkSession, d: str) -> DataFrame:
 
 @query("raster_cell_source", duckdb_ctes("v_raster") + "\nSELECT row // 50 AS tile_y, col // 50 AS tile_x, count(*) AS n, cast(sum(value) AS BIGINT) AS total FROM v_raster GROUP BY ALL")
 def raster_cell_source(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a dataset from landed tiles, counted by squares of 50."""
+    path = shared_folder(spark)
+    raster.land(raster.tiles(view(spark, d, "v_raster").withColumn("dataset", F.lit("water")), ["dataset"]), path)
     tile = lambda c: F.expr(f"cast({c} div 50 as int)")
-    return view(spark, d, "v_raster").groupBy(tile("row").alias("tile_y"), tile("col").alias("tile_x")).agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
+    cells = raster.cells_of(raster.landed(spark, path, "water"))
+    return cells.groupBy(tile("row").alias("tile_y"), tile("col").alias("tile_x")).agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
 
 
 @query("explode_daily_series", duckdb_ctes("v_climate") + "\nSELECT cell_id, day, temperature_2m_max AS t, precipitation AS p FROM v_climate")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteline.functions import geo, ladders, places
-from siteline.operators import spatial
+from siteline.operators import raster, spatial
 from siteline.plans import nearby
 from siteline.plans.q_nearby import (
     CONTOUR_SQL, FIRE_ORDER, FIRE_RANK, FLOOD_ORDER, FLOOD_RANK, MDEG, R4, epa_sql, inside_sql, near_buildings_sql, near_pois_sql,
@@ -78,17 +80,29 @@ def join_raster_samples(spark: SparkSession, d: str) -> DataFrame:
     return raster_at(offset_samples(_props(spark, d), CROSS), view(spark, d, "v_raster")).select("property_id", "i", "value")
 
 
-def water_cells(samples: DataFrame) -> DataFrame:
-    """(property_id, max_occ, mean_occ, nearest_m, wet, flood) of 11 x 11 occurrence samples; 1 to 100 counts as wet."""
-    wet = F.col("value").between(1, 100)
-    dy, dx = (F.col("s_lat") - F.col("lat")) * geo.M_PER_DEG, (F.col("s_lng") - F.col("lng")) * geo.lng_scale(F.col("lat"))
-    some = lambda x: F.when(wet, x)
-    return samples.groupBy("property_id").agg(
-        F.coalesce(F.max(some(F.col("value"))), F.lit(0.0)).alias("max_occ"),
-        F.coalesce(F.bround(F.avg(some(F.col("value"))), 1), F.lit(0.0)).alias("mean_occ"),
-        F.bround(F.min(some(F.sqrt(dx * dx + dy * dy)))).alias("nearest_m"),
-        F.count_if(wet).alias("wet"),
-        F.count_if(F.col("value").between(1, 90)).alias("flood"),
+def tile_samples(props: DataFrame, raster_tiles: DataFrame, offsets: list[tuple[float, float]]) -> DataFrame:
+    """(property_id, lat, lng, samples): each property with an array of samples, from the one tile that it lies in."""
+    return raster.around(props.select("property_id", "lat", "lng"), raster_tiles, offsets, RASTER_LAT, RASTER_LNG, RASTER_STEP)
+
+
+def water_cells(sampled: DataFrame) -> DataFrame:
+    """(property_id, max_occ, mean_occ, nearest_m, wet, flood) of arrays of 11 x 11 occurrence samples; 1 to 100 counts as
+    wet."""
+    rows = sampled.withColumn("_wet", F.filter("samples", lambda x: x["value"].between(1, 100)))
+    scale = geo.lng_scale(F.col("lat"))
+
+    def metres(x: F.Column) -> F.Column:
+        dy, dx = (x["s_lat"] - F.col("lat")) * geo.M_PER_DEG, (x["s_lng"] - F.col("lng")) * scale
+        return F.sqrt(dx * dx + dy * dy)
+
+    wet, n = F.col("_wet"), F.size("_wet")
+    return rows.select(
+        "property_id",
+        F.coalesce(F.array_max(F.transform(wet, lambda x: x["value"])), F.lit(0.0)).alias("max_occ"),
+        F.coalesce(F.bround(F.aggregate(wet, F.lit(0.0), lambda s, x: s + x["value"]) / F.nullif(n, F.lit(0)), 1), F.lit(0.0)).alias("mean_occ"),
+        F.bround(F.array_min(F.transform(wet, metres))).alias("nearest_m"),
+        n.cast("long").alias("wet"),
+        F.size(F.filter(wet, lambda x: x["value"] <= 90)).cast("long").alias("flood"),
     )
 
 
@@ -100,14 +114,14 @@ wc AS (SELECT property_id, coalesce(max(CASE WHEN value BETWEEN 1 AND 100 THEN v
 
 @query("water_cells", duckdb_ctes("v_properties", "v_raster") + ",\n" + WATER_CELLS_SQL + "\nSELECT * FROM wc")
 def q_water_cells(spark: SparkSession, d: str) -> DataFrame:
-    return water_cells(raster_at(offset_samples(_props(spark, d), WATER_GRID), view(spark, d, "v_raster")))
+    return water_cells(tile_samples(_props(spark, d), _tiles(spark, d), WATER_GRID))
 
 
-def dominant_class(samples: DataFrame) -> DataFrame:
-    """(property_id, cover, has_trees): the most frequent class of the samples, the first in scan order at a tie."""
-    counts = samples.where("value is not null").groupBy("property_id", "value").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-    out = counts.groupBy("property_id").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("cover"), F.max(F.col("value") == 10).alias("has_trees"))
-    return out.withColumn("cover", F.col("cover").cast("int"))
+def dominant_class(sampled: DataFrame, classes: Callable[[F.Column], F.Column]) -> DataFrame:
+    """(property_id, cover, has_trees): the most frequent of the samples' ``classes``, the first in scan order at a tie."""
+    rows = sampled.select("property_id", F.filter(F.transform("samples", lambda x: classes(x["value"])), lambda v: v.isNotNull()).alias("v")).where(F.size("v") > 0)
+    counts = F.transform(F.array_distinct("v"), lambda v: F.struct(F.size(F.filter("v", lambda w: w == v)).alias("n"), (-F.array_position("v", v)).alias("first"), v.alias("v")))
+    return rows.select("property_id", F.array_max(counts)["v"].cast("int").alias("cover"), F.array_contains("v", 10).alias("has_trees"))
 
 
 #: Classes of land cover from the derived raster: its values in steps of ten.
@@ -116,9 +130,12 @@ cc AS (SELECT property_id, floor(value / 10) * 10 AS v, count(*) AS n, min(i) AS
 dc AS (SELECT property_id, cast(arg_max(v, n * 100 - first) AS INT) AS cover, bool_or(v = 10) AS has_trees FROM cc GROUP BY property_id)"""
 
 
+def _tiles(spark: SparkSession, d: str) -> DataFrame:
+    return raster.tiles(view(spark, d, "v_raster"))
+
+
 def _cover(spark: SparkSession, d: str) -> DataFrame:
-    s = raster_at(offset_samples(_props(spark, d), COVER_GRID), view(spark, d, "v_raster"))
-    return dominant_class(s.withColumn("value", F.floor(F.col("value") / 10) * 10))
+    return dominant_class(tile_samples(_props(spark, d), _tiles(spark, d), COVER_GRID), lambda v: F.floor(v / 10) * 10)
 
 
 @query("dominant_class", duckdb_ctes("v_properties", "v_raster") + ",\n" + COVER_SQL + "\nSELECT * FROM dc")
@@ -355,7 +372,7 @@ fl AS (SELECT *, CASE WHEN state IS NOT NULL THEN cast(greatest(0, least(100, CA
 
 def flood(spark: SparkSession, d: str) -> DataFrame:
     props = _props(spark, d)
-    cells = water_cells(raster_at(offset_samples(props, WATER_GRID), view(spark, d, "v_raster")))
+    cells = water_cells(tile_samples(props, _tiles(spark, d), WATER_GRID))
     return score_flood(props, worst_overlay(overlay_hits(spark, d, "flood"), FLOOD_ORDER), _layers(spark, FLOOD_LAYERS), cells, _terrain(spark, d))
 
 
