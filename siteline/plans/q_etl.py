@@ -366,6 +366,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(base or tempfile.mkdtemp(prefix='siteline-')).rstrip('/')}/siteline-{spark._jvm.java.util.UUID.randomUUID()}"
 
 
+def overwrite_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Write the partitions that ``rows`` have, in place of those that are there; all others stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def scan_timetable_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A timetable file as strings, quotes and blanks trimmed."""
     raw = spark.read.csv(path, header=True, schema=T.StructType([T.StructField(c, T.StringType()) for c in columns]))

@@ -9,11 +9,12 @@ from siteline.functions import acoustics as ac
 from siteline.functions import geo, ladders, places
 from siteline.operators import raster, spatial
 from siteline.plans import nearby
-from siteline.plans.q_etl import shared_folder
+from siteline.plans.q_etl import overwrite_partitions, shared_folder
 from siteline.plans.q_nearby import R4, aniso, centres_sql, first_int, in_window, iso, near_pois_sql, near_rail_sql, near_segments_sql, state_sql
 from siteline.plans.q_noise import CLASS_AADT_SQL, LDEN_SQL, crtn_sql, path_samples, period_sql, rail_sql, track_sql
 from siteline.plans.q_scores import GROUP_SQL, ladder_sql, sql_any
 from siteline.registry import query
+from siteline.sources import layout
 from siteline.sources.views import duckdb_ctes, view
 
 K = "o_orderkey"
@@ -25,18 +26,23 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 # -- sources ---------------------------------------------------------------------------------------------------------
 
-BOX = (144.92, -37.88, 144.98, -37.82)
+BOX = BOX_CORNERS = (144.92, -37.88, 144.98, -37.82)
 
 
 @query("scan_features", duckdb_ctes("v_roads") + f"\nSELECT road_id, class FROM v_roads WHERE xmin BETWEEN {BOX[0]}::double AND {BOX[2]}::double AND ymin BETWEEN {BOX[1]}::double AND {BOX[3]}::double")
 def scan_features(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "v_roads").where(F.col("xmin").between(BOX[0], BOX[2]) & F.col("ymin").between(BOX[1], BOX[3])).select("road_id", "class")
+    """Roads whose least corner lies in a window, from a file laid out for it."""
+    path = shared_folder(spark)
+    layout.write_features(view(spark, d, "v_roads"), path)
+    return layout.features_from(spark, path, BOX_CORNERS).select("road_id", "class")
 
 
 @query("extract_region", duckdb_ctes("v_roads") + f"\nSELECT road_id, class, subtype FROM v_roads WHERE xmin <= {BOX[2]}::double AND xmax >= {BOX[0]}::double AND ymin <= {BOX[3]}::double AND ymax >= {BOX[1]}::double")
 def extract_region(spark: SparkSession, d: str) -> DataFrame:
-    out = view(spark, d, "v_roads").where((F.col("xmin") <= BOX[2]) & (F.col("xmax") >= BOX[0]) & (F.col("ymin") <= BOX[3]) & (F.col("ymax") >= BOX[1]))
-    return out.select("road_id", "class", "subtype")
+    """Roads whose box overlaps a window, from a file laid out for it."""
+    path = shared_folder(spark)
+    layout.write_features(view(spark, d, "v_roads"), path)
+    return layout.features_over(spark, path, BOX_CORNERS).select("road_id", "class", "subtype")
 
 
 @query("raster_cell_source", duckdb_ctes("v_raster") + "\nSELECT row // 50 AS tile_y, col // 50 AS tile_x, count(*) AS n, cast(sum(value) AS BIGINT) AS total FROM v_raster GROUP BY ALL")
@@ -60,9 +66,11 @@ def explode_daily_series(spark: SparkSession, d: str) -> DataFrame:
 
 @query("replace_partition", duckdb_ctes("v_stations") + "\nSELECT station_id, state, aadt, direction FROM v_stations WHERE state <> 'WA' UNION ALL SELECT station_id, state, aadt + 1, direction FROM v_stations WHERE state = 'WA'")
 def replace_partition(spark: SparkSession, d: str) -> DataFrame:
-    s = view(spark, d, "v_stations").select("station_id", "state", "aadt", "direction")
-    fresh = s.where("state = 'WA'").withColumn("aadt", F.col("aadt") + 1)
-    return s.where("state <> 'WA'").unionByName(fresh)
+    """A table by state of which one state is written anew; the other partitions' files stay."""
+    path, s = shared_folder(spark), view(spark, d, "v_stations").select("station_id", "state", "aadt", "direction")
+    s.write.partitionBy("state").parquet(path)
+    overwrite_partitions(s.where("state = 'WA'").withColumn("aadt", F.col("aadt") + 1), path, ["state"])
+    return spark.read.parquet(path).select("station_id", "state", "aadt", "direction")
 
 
 @query("union_states", duckdb_ctes("v_stations") + "\nSELECT state, count(*) AS n FROM (SELECT station_id, 'VIC' AS state FROM v_stations WHERE state = 'VIC' UNION ALL SELECT station_id, 'NSW' FROM v_stations WHERE state = 'NSW') GROUP BY state")
