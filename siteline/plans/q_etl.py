@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteline.operators import ranks
 from siteline.plans.q_nearby import R4
-from siteline.plans.q_scores import at_share
 from siteline.registry import query
 from siteline.sources.views import duckdb_ctes, view
 
@@ -331,19 +331,27 @@ def calibrate_aadt(spark: SparkSession, d: str) -> DataFrame:
 # -- rain and contours -----------------------------------------------------------------------------------------------
 
 
-def rain_percentiles(daily: DataFrame, years: int = 6, least: int = 30) -> DataFrame:
-    """(cell_id, p95_mm, p99_mm, max_mm, rain_days_yr) of wet days; with fewer than ``least`` of them nulls and 0 days."""
-    wet = daily.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.when(F.col("precipitation") > 0, F.col("precipitation")))).alias("s"))
-    ok = F.size("s") >= least
-    return wet.select("cell_id", *[F.when(ok, F.bround(at_share("s", q), 1)).alias(n) for n, q in (("p95_mm", 0.95), ("p99_mm", 0.99))], F.when(ok, F.bround(F.array_max("s"), 1)).alias("max_mm"), F.when(ok, F.bround(F.size("s") / years)).otherwise(F.lit(0.0)).alias("rain_days_yr"))
+def rain_percentiles(daily: DataFrame, folder: str, years: int = 6, least: int = 30) -> DataFrame:
+    """(cell_id, p95_mm, p99_mm, max_mm, rain_days_yr) of wet days; with fewer than ``least`` of them nulls and 0 days.
+
+    Percentiles are the days at those places in their cell's order; no cell is held as a whole.
+    """
+    wet = ranks.ranked(daily.where("precipitation > 0").select("cell_id", "precipitation"), ["cell_id"], ["precipitation"], folder)
+    at = lambda q: F.max(F.when(F.col("rank") == F.floor(F.col("n") * q), F.col("precipitation")))
+    found = wet.groupBy("cell_id").agg(at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("precipitation").alias("most"), F.count("*").alias("n"))
+    found = found.select(F.col("cell_id").alias("w_id"), "p95", "p99", "most", "n")
+    out = daily.select("cell_id").distinct().join(found, F.col("cell_id").eqNullSafe(F.col("w_id")), "left")
+    ok = F.coalesce(F.col("n"), F.lit(0)) >= least
+    return out.select("cell_id", *[F.when(ok, F.bround(c, 1)).alias(n) for n, c in (("p95_mm", "p95"), ("p99_mm", "p99"), ("max_mm", "most"))], F.when(ok, F.bround(F.col("n") / years)).otherwise(F.lit(0.0)).alias("rain_days_yr"))
 
 
-RAIN_SQL = duckdb_ctes("v_climate") + """, rw AS (SELECT cell_id % 10 AS cell_id, list_sort(list(precipitation) FILTER (precipitation > 0)) AS s FROM v_climate GROUP BY 1)
+#: The derived days are too few for a cell of their own, so each fifteen neighbours are one; cells grow with the table.
+RAIN_SQL = duckdb_ctes("v_climate") + """, rw AS (SELECT cell_id // 15 AS cell_id, list_sort(list(precipitation) FILTER (precipitation > 0)) AS s FROM v_climate GROUP BY 1)
 SELECT cell_id, CASE WHEN n >= 30 THEN round_even(s[cast(trunc(n * 0.95::double) AS INT) + 1], 1) END AS p95_mm, CASE WHEN n >= 30 THEN round_even(s[cast(trunc(n * 0.99::double) AS INT) + 1], 1) END AS p99_mm, CASE WHEN n >= 30 THEN round_even(s[n], 1) END AS max_mm, CASE WHEN n >= 30 THEN round_even(n / 6, 0) ELSE 0.0::double END AS rain_days_yr FROM (SELECT *, coalesce(len(s), 0) AS n FROM rw)"""
 
 
 def _rain(spark: SparkSession, d: str) -> DataFrame:
-    return rain_percentiles(view(spark, d, "v_climate").withColumn("cell_id", F.col("cell_id") % 10))
+    return rain_percentiles(view(spark, d, "v_climate").withColumn("cell_id", F.expr("cell_id div 15")), shared_folder(spark))
 
 
 @query("rain_percentiles", RAIN_SQL)
@@ -351,11 +359,11 @@ def q_rain_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _rain(spark, d)
 
 
-@query("rain_pipeline", RAIN_SQL.replace("SELECT cell_id, CASE", "SELECT cell_id, -44.0::double + cell_id AS lat, 112.0::double + cell_id AS lng, CASE", 1))
+@query("rain_pipeline", RAIN_SQL.replace("SELECT cell_id, CASE", "SELECT cell_id, -44.0::double + cell_id % 34 AS lat, 112.0::double + cell_id // 34 AS lng, CASE", 1))
 def rain_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each cell of the one-degree grid, with its place."""
-    grid = _rain(spark, d).select("cell_id").distinct().select("cell_id", (F.lit(-44.0) + F.col("cell_id")).alias("lat"), (F.lit(112.0) + F.col("cell_id")).alias("lng"))
-    return grid.join(_rain(spark, d), "cell_id")
+    cell = F.col("cell_id")
+    return _rain(spark, d).withColumn("lat", F.lit(-44.0) + cell % 34).withColumn("lng", F.lit(112.0) + F.floor(cell / 34))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -453,11 +461,15 @@ def optional_source(spark: SparkSession, d: str) -> DataFrame:
     return there.unionByName(optional_table(spark, f"{d}/no_such_table.parquet", "s_suppkey long"))
 
 
+#: Records of a page or file of a source that comes in pages.
+PAGE = 50
+
+
 @query("scan_register_pages", duckdb_ctes("v_epa") + "\nSELECT name, issue, round_even(lat, 6) AS lat, round_even(lng, 6) AS lng FROM v_epa")
 def scan_register_pages(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark)
     f = F.struct(F.create_map(F.lit("SiteName"), F.col("name"), F.lit("Issue"), F.col("issue")).alias("attributes"), F.struct(F.col("lng").alias("x"), F.col("lat").alias("y")).alias("geometry"))
-    view(spark, d, "v_epa").groupBy((F.col("site_id") % 3).alias("page")).agg(F.collect_list(f).alias("features")).drop("page").write.json(path)
+    view(spark, d, "v_epa").groupBy(F.floor(F.col("site_id") / PAGE).alias("page")).agg(F.collect_list(f).alias("features")).drop("page").write.json(path)
     return scan_register(spark, path).select("name", "issue", R4("lat", 6), R4("lng", 6))
 
 
@@ -467,7 +479,7 @@ def scan_geojson_areas(spark: SparkSession, d: str) -> DataFrame:
     w = view(spark, d, "v_water").groupBy("water_id", "class").agg(F.sort_array(F.collect_list(F.struct("i", F.array("x1", "y1").alias("p")))).alias("s"))
     ring = F.transform("s", lambda x: x["p"])
     feature = F.struct(F.struct(F.lit("Polygon").alias("type"), F.array(F.concat(ring, F.slice(ring, 1, 1))).alias("coordinates")).alias("geometry"), F.create_map(F.lit("class"), F.col("class")).alias("properties"))
-    w.groupBy((F.col("water_id") % 2).alias("file")).agg(F.collect_list(feature).alias("features")).drop("file").repartition(2).write.option("maxRecordsPerFile", 1).json(path)
+    w.groupBy(F.floor(F.col("water_id") / PAGE).alias("file")).agg(F.collect_list(feature).alias("features")).drop("file").write.option("maxRecordsPerFile", 1).json(path)
     return scan_geojson(spark, path).select(R4("lat", 5), R4("lng", 5), F.col("properties")["class"].alias("class"))
 
 
@@ -477,7 +489,7 @@ def contours_as_kml(spark: SparkSession, d: str) -> str:
     o = view(spark, d, "v_overlays").where("theme = 'aircraft'").groupBy("overlay_id", "airfield", "code").agg(F.sort_array(F.collect_list(F.struct("i", F.concat_ws(",", "x1", "y1", F.lit("0")).alias("p")))).alias("s"))
     ring = F.struct(F.struct(F.struct(F.array_join(F.transform("s", lambda x: x["p"]), " ").alias("coordinates")).alias("LinearRing")).alias("outerBoundaryIs"))
     mark = F.struct(F.concat("airfield", F.lit(" - Contour Range "), F.regexp_replace("code", "ANEF ", "")).alias("name"), ring.alias("Polygon"))
-    o.groupBy(F.lit("ANEF Polygons").alias("name")).agg(F.collect_list(mark).alias("Placemark")).write.format("xml").option("rowTag", "Folder").option("rootTag", "kml").save(path)
+    o.groupBy(F.floor(F.col("overlay_id") / PAGE).alias("folder")).agg(F.lit("ANEF Polygons").alias("name"), F.collect_list(mark).alias("Placemark")).drop("folder").write.format("xml").option("rowTag", "Folder").option("rootTag", "kml").save(path)
     return path
 
 

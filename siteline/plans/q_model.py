@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteline.functions import acoustics as ac
 from siteline.functions import geo, places
+from siteline.operators import ranks
 from siteline.plans import boosting, nearby
 from siteline.plans.q_etl import shared_folder
 from siteline.plans.q_nearby import MDEG, R4, centres_sql, near_pois_sql, near_rail_sql, near_segments_sql, near_stations_sql
@@ -284,12 +285,11 @@ def q_assign_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def systematic_sample(rows: DataFrame, by: str, level: str, key: str, k: int) -> DataFrame:
-    """k rows of each group, evenly along the level: those at places int(i * n / k)."""
-    w = Window.partitionBy(by)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(level, key)) - 1).withColumn("_n", F.count("*").over(w))
-    i = F.ceil(F.col("_i") * k / F.col("_n"))
-    picked = (F.floor(i * F.col("_n") / k) == F.col("_i")) & (i < k)
-    return ranked.where(picked | (F.col("_n") <= k)).drop("_i", "_n")
+    """k rows of each group, evenly along the level: those at places int(i * n / k); groups may be of any size."""
+    placed = ranks.ranked(rows, [by], [level, key], shared_folder(rows.sparkSession))
+    i = F.ceil(F.col("rank") * k / F.col("n"))
+    picked = (F.floor(i * F.col("n") / k) == F.col("rank")) & (i < k)
+    return placed.where(picked | (F.col("n") <= k)).drop("rank", "n")
 
 
 @query("systematic_sample", duckdb_ctes("v_measured") + "\nSELECT city, property_id FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY laeq, property_id) - 1 AS i, count(*) OVER (PARTITION BY city) AS n FROM v_measured) m WHERE n <= 20 OR i IN (SELECT cast(floor(j * m.n / 20) AS BIGINT) FROM range(0, 20) t(j))")
