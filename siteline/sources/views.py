@@ -47,7 +47,9 @@ def _or_far(near: str, far: str, test: str) -> str:
 
 _PUT = ("c_custkey % 50 = 49", "(c_custkey div 50) % 7", list(FAR), "(c_custkey div 350)")
 _SITE = ("s_suppkey % 3 > 0", "(s_suppkey % 3 - 1)", ["NSW", "WA"], "(s_suppkey div 3)")
-_ZONE = ("n_nationkey % 5 = 4", "(n_nationkey div 5)", ["NSW", "WA", "SA", "TAS", "ACT"], "(n_nationkey * 0)")
+_ZONE = ("n_nationkey % 5 = 4", "((n_nationkey % 25) div 5)", ["NSW", "WA", "SA", "TAS", "ACT"], "(n_nationkey div 25)")
+#: Twenty-five polygons for each box that suppliers occupy.
+_AREAS = "(SELECT n_nationkey + 25 * b AS n_nationkey FROM nation CROSS JOIN (SELECT DISTINCT s_suppkey div 100 AS b FROM supplier))"
 
 
 def _placed(axis: int, key: str, m: int, q: int, block: int, put: tuple[str, str, list[str], str]) -> str:
@@ -76,12 +78,12 @@ VIEWS: dict[str, str] = {
     "v_pois": f"SELECT p_partkey AS poi_id, {_lat('p_partkey', 6271, 20023, 2000)} AS lat, {_lng('p_partkey', 15485863, 20029, 2000)} AS lng, {_pick(CATEGORIES, 'p_partkey')} AS category FROM part",
     "v_roads": f"SELECT road_id, class, subtype, speed_kmh, x1, y1, x1 + dx AS x2, y1 + dy AS y2, least(x1, x1 + dx) AS xmin, least(y1, y1 + dy) AS ymin, greatest(x1, x1 + dx) AS xmax, greatest(y1, y1 + dy) AS ymax FROM (SELECT o_orderkey AS road_id, {_lng('o_orderkey', 3571, 20047, 15000)} AS x1, {_lat('o_orderkey', 4409, 20051, 15000)} AS y1, ((o_orderkey * 31) % 401 - 200) / 100000.0D AS dx, ((o_orderkey * 37) % 401 - 200) / 100000.0D AS dy, CASE WHEN o_orderkey % 20 = 0 THEN {_pick(['standard_gauge', 'tram', 'narrow_gauge'], '(o_orderkey div 20)')} ELSE {_pick(ROAD_CLASSES, 'o_orderkey')} END AS class, CASE WHEN o_orderkey % 20 = 0 THEN 'rail' ELSE 'road' END AS subtype, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE cast(30 + 10 * (o_orderkey % 8) AS double) END AS speed_kmh FROM orders)",
     "v_buildings": f"SELECT id, lat, lng, side, height, floors, lng AS xmin, lng + side AS xmax, lat AS ymin, lat + side AS ymax, lng + side / 2 AS clng, lat + side / 2 AS clat FROM (SELECT id, {_lat('id', 9973, 20063, 120000)} AS lat, {_lng('id', 7723, 20071, 120000)} AS lng, (1 + id % 3) / 10000.0D AS side, CASE WHEN id % 5 = 0 THEN NULL ELSE h END AS height, cast(1 + id % 4 AS int) AS floors FROM (SELECT l_orderkey * 8 + l_linenumber AS id, max(l_quantity) AS h FROM lineitem GROUP BY l_orderkey * 8 + l_linenumber))",
-    "v_water": _octagon("n_nationkey AS water_id", f"{_lat('n_nationkey', 7001, 20011, 100)} AS lat, {_lng('n_nationkey', 9001, 20021, 100)} AS lng", "(5 + n_nationkey) * 1", f"{_pick(WATER_CLASSES, 'n_nationkey')} AS class, 'water' AS subtype", "nation"),
+    "v_water": _octagon("n_nationkey AS water_id", f"{_lat('n_nationkey', 7001, 20011, 25)} AS lat, {_lng('n_nationkey', 9001, 20021, 25)} AS lng", "5 + n_nationkey % 25", f"{_pick(WATER_CLASSES, 'n_nationkey')} AS class, 'water' AS subtype", _AREAS),
     "v_stations": f"SELECT s_suppkey AS station_id, concat('Road ', cast(s_suppkey % 7 AS string)) AS road_name, {_pick(['VIC', 'NSW', 'WA'], 's_suppkey')} AS state, {_lng('s_suppkey', 8009, 20021, 100)} AS lon, {_lat('s_suppkey', 6007, 20011, 100)} AS lat, cast(200 + (s_suppkey * 977 + d * 31) % 40000 AS bigint) AS aadt, cast(CASE WHEN s_suppkey % 6 = 5 THEN NULL ELSE s_suppkey % 25 END AS double) AS heavy_vehicle_pct, CASE WHEN d = 0 THEN 'N' WHEN d = 1 THEN 'S' END AS direction, cast(2015 + s_suppkey % 9 AS int) AS year FROM supplier CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2) WHERE d < 2 OR s_suppkey % 4 = 0",
     "v_aadt": "SELECT road_id AS seg_id, concat('R', cast(road_id % 50 AS string)) AS road_name, cast(500 + (road_id * 131) % 30000 AS bigint) AS aadt, CASE WHEN road_id % 70 = 0 THEN NULL ELSE (road_id % 200) / 1000.0D END AS hv, x1, y1, x2, y2, xmin, ymin FROM v_roads WHERE road_id % 10 = 0",
     "v_rail_shapes": f"SELECT l_suppkey % 20 AS shape_id, cast(CASE WHEN l_suppkey % 20 % 3 = 0 THEN 0 WHEN l_suppkey % 20 % 3 = 1 THEN 1 ELSE 2 END AS int) AS route_type, l_linenumber AS sequence, {_lat('(l_suppkey % 20 * 8)', 2503, 20011, 1000)} + l_linenumber * 0.004D AS lat, {_lng('(l_suppkey % 20 * 8)', 3301, 20021, 1000)} + l_linenumber * 0.003D AS lng, 'VIC' AS state FROM lineitem GROUP BY l_suppkey % 20, l_linenumber",
     "v_rail_frequency": "SELECT s_suppkey AS shape_id, concat('Line ', cast(s_suppkey AS string)) AS route_name, cast((s_suppkey * 7) % 25 AS double) AS peak, cast((s_suppkey * 5) % 12 AS double) AS offpeak FROM supplier WHERE s_suppkey < 20",
-    "v_overlays": _octagon("n_nationkey AS overlay_id", f"{_placed(0, 'n_nationkey', 5003, 20011, 100, _ZONE)} AS lat, {_placed(1, 'n_nationkey', 4001, 20021, 100, _ZONE)} AS lng", "20 + 2 * n_nationkey", f"{_pick(['flood', 'bushfire', 'aircraft'], 'n_nationkey')} AS theme, CASE WHEN {_ZONE[0]} THEN {_pick(_ZONE[2], _ZONE[1])} ELSE 'VIC' END AS state, concat('Layer ', cast(n_nationkey % 4 AS string)) AS layer_name, cast(n_nationkey % 4 AS int) AS layer_no, CASE WHEN n_nationkey % 3 = 0 THEN {_pick(['floodway', 'flood', 'moderate'], '(n_nationkey div 3)')} WHEN n_nationkey % 3 = 1 THEN {_pick(['high', 'extreme', 'moderate', 'low'], '(n_nationkey div 3)')} END AS severity, concat('ANEF ', cast(15 + 5 * (n_nationkey % 5) AS string), ' - ', cast(20 + 5 * (n_nationkey % 5) AS string)) AS code, concat('Field ', cast(n_nationkey % 5 AS string)) AS airfield, cast(CASE WHEN n_nationkey % 6 = 2 THEN 1 ELSE 0 END AS int) AS defence", "nation"),
+    "v_overlays": _octagon("n_nationkey AS overlay_id", f"{_placed(0, 'n_nationkey', 5003, 20011, 25, _ZONE)} AS lat, {_placed(1, 'n_nationkey', 4001, 20021, 25, _ZONE)} AS lng", "20 + 2 * (n_nationkey % 25)", f"{_pick(['flood', 'bushfire', 'aircraft'], 'n_nationkey')} AS theme, CASE WHEN {_ZONE[0]} THEN {_pick(_ZONE[2], _ZONE[1])} ELSE 'VIC' END AS state, concat('Layer ', cast(n_nationkey % 4 AS string)) AS layer_name, cast(n_nationkey % 4 AS int) AS layer_no, CASE WHEN n_nationkey % 3 = 0 THEN {_pick(['floodway', 'flood', 'moderate'], '(n_nationkey div 3)')} WHEN n_nationkey % 3 = 1 THEN {_pick(['high', 'extreme', 'moderate', 'low'], '(n_nationkey div 3)')} END AS severity, concat('ANEF ', cast(15 + 5 * (n_nationkey % 5) AS string), ' - ', cast(20 + 5 * (n_nationkey % 5) AS string)) AS code, concat('Field ', cast(n_nationkey % 5 AS string)) AS airfield, cast(CASE WHEN n_nationkey % 6 = 2 THEN 1 ELSE 0 END AS int) AS defence", _AREAS),
     "v_climate": "SELECT cell_id, day, max(t) AS temperature_2m_max, max(p) AS precipitation FROM (SELECT user_id AS cell_id, cast(ts AS date) AS day, 15 + value / 20 AS t, CASE WHEN event_type = 'error' THEN value / 10 ELSE 0.0D END AS p FROM events) GROUP BY cell_id, day",
     "v_measured": "SELECT property_id, lat, lng, cast(40 + (property_id * 13) % 35 AS double) AS laeq, cast(38 + (property_id * 17) % 45 AS double) AS la50, cast(property_id % 12 AS int) AS measure_count, cast(property_id % 7 AS int) AS city FROM v_properties",
     "v_pred": "SELECT property_id, city, laeq, measure_count, laeq + ((property_id * 29) % 25 - 12) AS predicted FROM v_measured",
