@@ -10,7 +10,7 @@ from siteline.functions import geo, places
 from siteline.operators import ranks
 from siteline.plans import boosting, nearby
 from siteline.plans.q_etl import shared_folder
-from siteline.plans.q_nearby import MDEG, R4, centres_sql, near_pois_sql, near_rail_sql, near_segments_sql, near_stations_sql
+from siteline.plans.q_nearby import MDEG, R4, centres_sql, near_pois_sql, near_rail_sql, near_segments_sql, near_stations_sql, state_sql
 from siteline.plans.q_noise import CLASS_AADT_SQL, LDEN_SQL, LEVELS_SQL, NOISE_SQL, NOT_MOTOR_SQL, PATHS_SQL, RADIUS, best_terrain_barrier, crtn_sql, noise, path_samples, period_sql, rail_kind
 from siteline.plans.q_scores import raster_at, sql_any
 from siteline.registry import query
@@ -367,6 +367,17 @@ def q_metrics_by_band(spark: SparkSession, d: str) -> DataFrame:
     return metrics_by_band(_errors(spark, d))
 
 
+def metrics_by_state(errors: DataFrame, least: int = 5) -> DataFrame:
+    """Metrics by the state that a row (lat, lng) lies in, null outside all; states of fewer than ``least`` rows are left out."""
+    by = error_metrics(errors.withColumn("state", geo.state_of(F.col("lat"), F.col("lng"))), ["state"])
+    return by.where(F.col("n") >= least).select("state", "n", "bias", "mae", "w5")
+
+
+@query("metrics_by_state", duckdb_ctes("v_pred", "v_properties") + f", er AS (SELECT predicted - laeq AS err, {state_sql(geo.STATE_BOXES)} AS state FROM v_pred JOIN v_properties USING (property_id))\nSELECT state, n, bias, mae, w5 FROM (SELECT state, {METRICS_SQL} FROM er GROUP BY state) WHERE n >= 5")
+def q_metrics_by_state(spark: SparkSession, d: str) -> DataFrame:
+    return metrics_by_state(_errors(spark, d).join(_props(spark, d).select("property_id", "lat", "lng"), "property_id"))
+
+
 @query("worst_best_n", ERR_SQL + "\nSELECT * FROM (SELECT 'worst' AS side, property_id, err FROM er ORDER BY abs(err) DESC, property_id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'best', property_id, err FROM er ORDER BY abs(err), property_id LIMIT 5)")
 def worst_best_n(spark: SparkSession, d: str) -> DataFrame:
     e = _errors(spark, d)
