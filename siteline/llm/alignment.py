@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from siteline.llm.common import cut, shared_folder
 
 #: Characters of a block of documents, pieces that a worker remembers, and characters of a run that is encoded at once.
-BLOCK, MEMO, RUN = 2 << 20, 400_000, 1 << 14
+BLOCK, MEMO, RUN = 2 << 20, 200_000, 1 << 14
 #: Pieces are cut before a space that follows another character; neither tokenizer has a token over such a place.
 _CUT, _UNSAFE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
