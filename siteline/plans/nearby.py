@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteline.functions import geo
-from siteline.operators import spatial
+from siteline.operators import dense, spatial
 
 KEY = ["property_id", "lat", "lng"]
 
@@ -57,6 +57,15 @@ def places(props: DataFrame, pois: DataFrame, radius_m: float = 1500) -> DataFra
     return spatial.near_points(keyed(props), points, radius_m, "p_lng", "p_lat").select("property_id", "poi_id", "category", "dist_m")
 
 
+def places_dense(props: DataFrame, pois: DataFrame, folder: str, radius_m: float = 1500, most: int = 50_000) -> DataFrame:
+    """The rows of ``places`` where so many stand close together that squares of one size won't do; ``folder`` is for the
+    counts of crowded squares."""
+    points = pois.select("poi_id", "category", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    dist = geo.dist_isotropic(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
+    pairs = dense.dense_join(keyed(props), points, radius_m, "p_lng", "p_lat", folder, dist < radius_m, most)
+    return pairs.select("property_id", "poi_id", "category", dist.alias("dist_m"))
+
+
 def _box_distance(lat: Column, lng: Column) -> Column:
     dx = F.greatest(F.col("xmin") - lng, F.lit(0.0), lng - F.col("xmax"))
     dy = F.greatest(F.col("ymin") - lat, F.lit(0.0), lat - F.col("ymax"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteline.functions import ladders
@@ -63,12 +63,16 @@ def _without_properties(sql: str) -> str:
     return sql[:start] + duckdb_ctes("v_lattice").removeprefix("WITH ") + ",\n" + GRID_SQL + ",\n" + sql[end:]
 
 
-def grid_noise(spark: SparkSession, d: str, props: DataFrame, radius_m: float = RADIUS) -> DataFrame:
-    """Noise scores of a lattice (property_id, lat, lng), such as ``grid_points`` of one of REGIONS."""
+def grid_noise(spark: SparkSession, d: str, props: DataFrame, radius_m: float = RADIUS, without: Column | None = None) -> DataFrame:
+    """Noise scores of a lattice (property_id, lat, lng), such as ``grid_points`` of one of REGIONS; ``without`` tells roads that are
+    left out by their road_id."""
     v = lambda n: view(spark, d, n)
     contours = v("v_overlays").where("theme = 'aircraft'")
     hits = spatial.inside(props, contours, "overlay_id", ["layer_name", "layer_no", "severity", "code", "airfield", "defence"])
-    parts = noise_parts(props, v("v_aadt"), v("v_stations"), v("v_roads"), v("v_rail_shapes"), v("v_rail_frequency"), v("v_buildings"), radius_m)
+    roads, counted = v("v_roads"), v("v_aadt")
+    if without is not None:
+        roads, counted = roads.where(~without), counted.withColumn("road_id", F.col("seg_id")).where(~without).drop("road_id")
+    parts = noise_parts(props, counted, v("v_stations"), roads, v("v_rail_shapes"), v("v_rail_frequency"), v("v_buildings"), radius_m)
     out = score_noise(props, parts, aircraft_exposure(props, worst_contour(hits)), v("v_raster"))
     return props.join(out, "property_id").select("property_id", "lat", "lng", "score", F.col("lden_db").alias("estimated_db"), "road_db", "rail_db", "label", "dominant_source")
 

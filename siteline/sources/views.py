@@ -76,6 +76,7 @@ def _octagon(key: str, base: str, radius: str, cols: str, source: str) -> str:
 VIEWS: dict[str, str] = {
     "v_properties": f"SELECT c_custkey AS property_id, {_placed(0, 'c_custkey', 7919, 20011, 1500, _PUT)} AS lat, {_placed(1, 'c_custkey', 104729, 20021, 1500, _PUT)} AS lng, cast(20 + c_custkey % 100 AS double) AS roof_area_m2, {_pick(['optimal', 'east', 'west', 'suboptimal'], 'c_custkey')} AS orientation FROM customer",
     "v_pois": f"SELECT p_partkey AS poi_id, {_lat('p_partkey', 6271, 20023, 2000)} AS lat, {_lng('p_partkey', 15485863, 20029, 2000)} AS lng, {_pick(CATEGORIES, 'p_partkey')} AS category FROM part",
+    "v_core": "SELECT poi_id, category, CASE WHEN poi_id % 10 < 9 THEN -37.85D + (poi_id * 613) % 1009 / 100000.0D ELSE lat END AS lat, CASE WHEN poi_id % 10 < 9 THEN 144.95D + (poi_id * 757) % 1013 / 100000.0D ELSE lng END AS lng FROM v_pois",
     "v_roads": f"SELECT road_id, class, subtype, speed_kmh, x1, y1, x1 + dx AS x2, y1 + dy AS y2, least(x1, x1 + dx) AS xmin, least(y1, y1 + dy) AS ymin, greatest(x1, x1 + dx) AS xmax, greatest(y1, y1 + dy) AS ymax FROM (SELECT o_orderkey AS road_id, {_lng('o_orderkey', 3571, 20047, 15000)} AS x1, {_lat('o_orderkey', 4409, 20051, 15000)} AS y1, ((o_orderkey * 31) % 401 - 200) / 100000.0D AS dx, ((o_orderkey * 37) % 401 - 200) / 100000.0D AS dy, CASE WHEN o_orderkey % 20 = 0 THEN {_pick(['standard_gauge', 'tram', 'narrow_gauge'], '(o_orderkey div 20)')} ELSE {_pick(ROAD_CLASSES, 'o_orderkey')} END AS class, CASE WHEN o_orderkey % 20 = 0 THEN 'rail' ELSE 'road' END AS subtype, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE cast(30 + 10 * (o_orderkey % 8) AS double) END AS speed_kmh FROM orders)",
     "v_buildings": f"SELECT id, lat, lng, side, height, floors, lng AS xmin, lng + side AS xmax, lat AS ymin, lat + side AS ymax, lng + side / 2 AS clng, lat + side / 2 AS clat FROM (SELECT id, {_lat('id', 9973, 20063, 120000)} AS lat, {_lng('id', 7723, 20071, 120000)} AS lng, (1 + id % 3) / 10000.0D AS side, CASE WHEN id % 5 = 0 THEN NULL ELSE h END AS height, cast(1 + id % 4 AS int) AS floors FROM (SELECT l_orderkey * 8 + l_linenumber AS id, max(l_quantity) AS h FROM lineitem GROUP BY l_orderkey * 8 + l_linenumber))",
     "v_water": _octagon("n_nationkey AS water_id", f"{_lat('n_nationkey', 7001, 20011, 25)} AS lat, {_lng('n_nationkey', 9001, 20021, 25)} AS lng", "5 + n_nationkey % 25", f"{_pick(WATER_CLASSES, 'n_nationkey')} AS class, 'water' AS subtype", _AREAS),
