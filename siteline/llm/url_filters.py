@@ -44,27 +44,44 @@ def intervals(entries: DataFrame) -> DataFrame:
     return log.withColumn("until", nxt).where("action = 'add'").select("list_name", "verdict", "key", F.col("at").alias("since"), "until")
 
 
+def as_of(keyed: DataFrame, valid: DataFrame) -> DataFrame:
+    """Captures (page_id, url, fetched_at, key, salt) with each interval (key, list_name, salt, since, until, verdict) that holds
+    their time; of one list and key at most one does.
+
+    Both go in order of time, and the last interval that began is carried forward: work is near that of sorting them,
+    however long a key's history is. A capture takes part once for each list that names its key.
+    """
+    named = valid.select("key", "list_name", "salt").distinct()
+    asked = keyed.join(named, ["key", "salt"]).select("key", "list_name", "salt", F.col("fetched_at").alias("at"), F.struct("page_id", "url").alias("capture"))
+    began = valid.select("key", "list_name", "salt", F.col("since").alias("at"), F.struct("since", "until", "verdict").alias("entry"))
+    # an entry counts from its time on, so it goes before captures of that time
+    order = Window.partitionBy("key", "salt", "list_name").orderBy(F.col("at"), F.col("capture").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = asked.unionByName(began, allowMissingColumns=True).withColumn("held", F.last("entry", ignorenulls=True).over(order))
+    holds = F.col("capture").isNotNull() & F.col("held").isNotNull() & (F.col("held.until").isNull() | (F.col("at") < F.col("held.until")))
+    return merged.where(holds).select("capture.page_id", "capture.url", F.col("at").alias("fetched_at"), "key", "list_name", "held.since", "held.verdict")
+
+
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per capture (page_id, url, fetched_at): host, n_active, verdict, list_name, key, since.
 
     The most specific active entry decides, that is the one with the longest key; among equals ``block`` beats
     ``allow``, then the later list name. Without an active entry, with a null time or without a host the verdict is
-    ``none``. Captures that repeat each get a row.
+    ``none``. Captures that repeat each get a row. Without captures there are no rows; without entries all are ``none``.
     """
     rows = captures.select("page_id", "url", "fetched_at")
-    keyed = rows.select("page_id", "url", "fetched_at", F.explode(F.concat(F.array(F.lit("")), keys_of(F.col("url")))).alias("key"))
+    keyed = rows.where("fetched_at is not null").select("page_id", "url", "fetched_at", F.explode(keys_of(F.col("url"))).alias("key"))
     valid = intervals(entries)
-    counts = keyed.where("key <> ''").groupBy("key").agg(F.count("*").alias("n"))
     total = rows.count()
-    hot = counts.where(F.col("n") * HOT > F.lit(total)).select("key", F.lit(True).alias("hot"))  # fewer than HOT x keys of a URL
-    spread = F.when(F.col("key") == "", F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(SALTS * HOT))).when(F.col("hot"), F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(SALTS))).otherwise(F.lit(0))
-    keyed = keyed.join(F.broadcast(hot), "key", "left").select("page_id", "url", "fetched_at", "key", spread.cast("int").alias("salt"))
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * HOT > F.lit(total)).select("key", F.lit(True).alias("hot"))  # fewer than HOT x keys of a URL
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(SALTS))).otherwise(F.lit(0))
+    keyed = keyed.join(F.broadcast(hot), "key", "left").select("page_id", "url", "fetched_at", "key", share.cast("int").alias("salt"))
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    valid = valid.join(F.broadcast(hot), "key", "left").select("list_name", "verdict", F.col("key").alias("v_key"), "since", "until", F.explode(salts).alias("v_salt"))
-    active = (F.col("key") == F.col("v_key")) & (F.col("salt") == F.col("v_salt")) & (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
-    joined = keyed.join(valid, active, "left")
-    best = F.max(F.when(F.col("v_key").isNotNull(), F.struct(F.length("v_key").alias("size"), (F.col("verdict") == "block").alias("block"), "list_name", F.col("v_key").alias("key"), "since", "verdict"))).alias("best")
-    out = joined.groupBy("page_id", "url", "fetched_at").agg(best, F.count("v_key").alias("active"), F.count_if(F.col("key") == "").alias("copies"))
+    valid = valid.join(F.broadcast(hot), "key", "left").select("key", "list_name", F.explode(salts).alias("salt"), "since", "until", "verdict")
+    merged = as_of(keyed, valid)
+    match = F.struct(F.length("key").alias("size"), (F.col("verdict") == "block").alias("block"), "list_name", "key", "since", "verdict").alias("match")
+    found = merged.select("page_id", "url", "fetched_at", match)
+    every = rows.withColumn("base", F.lit(1)).unionByName(found, allowMissingColumns=True)
+    out = every.groupBy("page_id", "url", "fetched_at").agg(F.max("match").alias("best"), F.count("match").alias("active"), F.count("base").alias("copies"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(
         "page_id",
