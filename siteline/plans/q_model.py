@@ -11,7 +11,7 @@ from siteline.operators import ranks
 from siteline.plans import boosting, nearby
 from siteline.plans.q_etl import shared_folder
 from siteline.plans.q_nearby import MDEG, R4, centres_sql, near_pois_sql, near_rail_sql, near_segments_sql, near_stations_sql, state_sql
-from siteline.plans.q_noise import CLASS_AADT_SQL, LDEN_SQL, LEVELS_SQL, NOISE_SQL, NOT_MOTOR_SQL, PATHS_SQL, RADIUS, best_terrain_barrier, crtn_sql, noise, path_samples, period_sql, rail_kind
+from siteline.plans.q_noise import CLASS_AADT_SQL, FACADE_SQL, LDEN_SQL, LEVELS_SQL, NOISE_SQL, NOT_MOTOR_SQL, PATHS_SQL, RADIUS, best_terrain_barrier, crtn_sql, facade_sectors, noise, path_samples, period_sql, rail_kind
 from siteline.plans.q_scores import raster_at, sql_any
 from siteline.registry import query
 from siteline.sources.views import duckdb_ctes, view
@@ -481,9 +481,12 @@ def evaluate_model(spark: SparkSession, d: str) -> DataFrame:
     return error_metrics(rows)
 
 
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "v_measured").where("measure_count >= 3 and laeq >= 50").select("property_id", "laeq", "city")
+
+
 def _noise_errors(spark: SparkSession, d: str) -> DataFrame:
-    m = view(spark, d, "v_measured").where("measure_count >= 3 and laeq >= 50").select("property_id", "laeq", "city")
-    return noise(spark, d).select("property_id", "leq_db", "lden_db").join(m, "property_id")
+    return noise(spark, d).select("property_id", "leq_db", "lden_db").join(_measured(spark, d), "property_id")
 
 
 MEASURED_SQL = ", ms AS (SELECT c_custkey AS property_id, (40 + (c_custkey * 13) % 35)::double AS laeq, cast(c_custkey % 7 AS INT) AS city FROM customer WHERE c_custkey % 12 >= 3 AND 40 + (c_custkey * 13) % 35 >= 50)"
@@ -501,3 +504,8 @@ def benchmark_cities(spark: SparkSession, d: str) -> DataFrame:
     return city_weighted(systematic_sample(_noise_errors(spark, d), "city", "laeq", "property_id", 50).withColumn("err", F.col("lden_db") - F.col("laeq")))
 
 
+@query("benchmark_facades", LEVELS_SQL + ",\n" + FACADE_SQL + MEASURED_SQL + ", er AS (SELECT ff.hi - laeq AS err, city FROM ff JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY laeq, property_id) - 1 AS i, count(*) OVER (PARTITION BY city) AS n FROM ms) m WHERE n <= 50 OR i IN (SELECT cast(floor(j * m.n / 50) AS BIGINT) FROM range(0, 50) t(j))) s ON ff.property_id = s.property_id), " + CITY_SQL)
+def benchmark_facades(spark: SparkSession, d: str) -> DataFrame:
+    """As ``benchmark_cities``, for the level at the loudest facade."""
+    loudest = facade_sectors(spark, d).select("property_id", "lden_max_facade").join(_measured(spark, d), "property_id")
+    return city_weighted(systematic_sample(loudest, "city", "laeq", "property_id", 50).withColumn("err", F.col("lden_max_facade") - F.col("laeq")))
