@@ -211,38 +211,80 @@ def spanning(fp: np.ndarray, max_bits: int, forests: int) -> tuple[np.ndarray, n
     return a, b
 
 
-def near_links(points: DataFrame, max_bits: int = 4, forests: int = 1, limit: int | None = None) -> DataFrame:
-    """Links (u, v), u > v, between points (``node`` long, ``fps`` array of fingerprints, equal numbers of them).
-
-    Two points are near if for one of the numbers their fingerprints differ in at most ``max_bits`` bits. A cell with up
-    to ``forests`` near pairs per linked point returns them all, a denser one so many spanning forests; so links have
-    the same components as all near pairs. ``limit``: points of a cell beyond which it is cut into blocks.
-    """
+def _met(points: DataFrame, max_bits: int, forests: int, limit: int | None, members: bool) -> DataFrame:
+    """(u, v, key, fp): the links of ``near_links``, repeats included, with null key and fp; with ``members`` also a row (node,
+    null, key, fp) for each linked point of each cell that returned spanning forests only."""
     if not 1 <= max_bits <= 12:
         raise ValueError("max_bits must be from 1 to 12")
     n, variants = points.agg(F.count("*"), F.coalesce(F.max(F.size("fps")), F.lit(1))).first()
     limit = limit or LIMIT
     cells = _cells(points, max_bits, agreeing(n, max_bits), variants)
     cells = _in_blocks(cells, limit) if n > limit else cells
+    none = lambda k: pa.nulls(k, pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts, ends in sorted_groups(batches, ["key"]):
-            node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-            us, vs = [], []
+            node, fp, key = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("key").to_numpy()
+            us, vs, dense = [], [], []
             for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
                 x = fp[s:e]
                 a, b, _, linked = links_within(x, max_bits, forests * (e - s))
                 of = np.flatnonzero(linked)
                 if len(a) > forests * len(of) or len(of) and not len(a):
                     a, b = (of[k] for k in spanning(x[of], max_bits, forests))
+                    dense.append(s + of)
                 us.append(node[s + a])
                 vs.append(node[s + b])
             if us:
                 u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), none(len(u)), none(len(u))], names=["u", "v", "key", "fp"])
+            if members and dense:
+                of = np.concatenate(dense)
+                yield pa.RecordBatch.from_arrays([pa.array(node[of]), none(len(of)), pa.array(key[of]), pa.array(fp[of].view(np.int64))], names=["u", "v", "key", "fp"])
 
     dealt = cells.repartition(partitions(cells), "key").sortWithinPartitions("key", "node").select("key", "node", "fp")
-    return dealt.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    return dealt.mapInArrow(run, "u long, v long, key long, fp long")
+
+
+def near_links(points: DataFrame, max_bits: int = 4, forests: int = 1, limit: int | None = None) -> DataFrame:
+    """Links (u, v), u > v, between points (``node`` long, ``fps`` array of fingerprints, equal numbers of them).
+
+    Two points are near if for one of the numbers their fingerprints differ in at most ``max_bits`` bits. A cell with up
+    to ``forests`` near pairs per linked point returns them all, a denser one so many spanning forests; so links have
+    the same components as all near pairs. ``limit``: points of a cell beyond which it is cut into blocks.
+    """
+    return _met(points, max_bits, forests, limit, False).select("u", "v").where("u <> v").distinct()
+
+
+def links_across(members: DataFrame, labels: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    """All near pairs (u, v), u > v, of points (key, node, fp) of one cell whose ``labels`` (node, label, size) differ.
+
+    Pairs whose sizes of sets rule out a Jaccard similarity of ``similarity`` are left out. A cell with one label takes no
+    further step, and pairs leave a tile at a time.
+    """
+    rows = members.join(labels, "node")
+    parted = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts, ends in sorted_groups(batches, ["key"]):
+            node, label, size = (t.column(c).to_numpy() for c in ("node", "label", "size"))
+            fp = t.column("fp").to_numpy().view(np.uint64)
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                # points of a label lie one after the other and meet all behind them
+                after = s + np.searchsorted(label[s:e], label[s:e], side="right")
+                i = s
+                while i < e and (first := int(after[i - s])) < e:
+                    last = min(first, i + max(1, _TILE // (e - first)))
+                    a, b = np.nonzero(np.bitwise_count(fp[i:last, None] ^ fp[None, first:e]) <= max_bits)
+                    a, b = a + i, b + first
+                    alike = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+                    u, v = node[a[alike]], node[b[alike]]
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                    i = last
+
+    dealt = rows.join(parted, "key", "left_semi").repartition(partitions(rows), "key").sortWithinPartitions("key", "label").select("key", "node", "fp", "label", "size")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, limit: int | None = None) -> DataFrame:
@@ -275,11 +317,15 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits:
     their shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more, and a group is a component of
     links. Texts of the same words are one point from the start, those without words (null, empty) among them. Rows that
     repeat doc_id and text count as one; those that repeat a doc_id with another text are documents of their own.
+
+    Dense cells give ``forests`` spanning forests of candidates first. Once these are tested, all other candidates of such a
+    cell between two groups are tested too, so groups are those of all candidates.
     """
     fps = cut(fingerprints(docs, words, variants))
     one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("at"))
     texts = cut(fps.groupBy("same").agg(F.first("fps").alias("fps"), F.min(one).alias("one")).select("fps", "one")).withColumn("node", F.monotonically_increasing_id())
-    links = cut(near_links(texts.select("node", "fps"), max_bits, forests))
+    met = cut(_met(texts.select("node", "fps"), max_bits, forests, None, True))
+    links = cut(met.where("v is not null and u <> v").select("u", "v").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,6 +339,10 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits:
     asked = rows.select("doc_id", "at", F.col("row.text").cast("string").alias("text")).join(wanted, same_row("w_id", "w_at"))
     sets = cut(asked.dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>"))
     found = connected_components(_similar(links, sets, similarity))
+    labels = sets.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label"), F.size("shingles").alias("size"))
+    across = cut(links_across(met.where("v is null").select("key", F.col("u").alias("node"), "fp"), labels, max_bits, similarity))
+    if not across.isEmpty():
+        found = connected_components(found.toDF("u", "v").unionByName(_similar(across, sets, similarity)))
     of = texts.join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("one").alias("one"))
     kept = of.select(F.col("one.doc_id").alias("k_id"), F.col("one.at").alias("k_at"))
     return distinct_rows(rows.join(kept, same_row("k_id", "k_at"), "left_semi"), fps.groupBy("doc_id", "at").agg(F.count("*").alias("n")).where("n > 1"))

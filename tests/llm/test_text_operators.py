@@ -594,3 +594,20 @@ def test_url_filters(spark):
     assert out == [(1, "a.b.example.com", 2, "allow", "p:a.b.example.com/en"), (1, "a.b.example.com", 2, "allow", "p:a.b.example.com/en"), (2, "a.b.example.com", 0, "none", ""), (3, "", 0, "none", ""), (4, "", 0, "none", ""), (5, "other.net", 0, "none", ""), (6, "other.net", 1, "block", "d:other.net")]
     assert url_filters.evaluate(captures.limit(0), entries).count() == 0
     assert url_filters.evaluate(captures, entries.limit(0)).where("verdict <> 'none'").count() == 0
+
+
+def test_keep_one_tests_all_candidates_of_a_dense_cell(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 200)]
+    texts = []
+    for k in range(160):  # changed at three places they are near to what is changed at one only
+        w = list(base)
+        for at in rng.choice(200, 1 if k % 20 == 0 else 3, replace=False):
+            w[at] = f"changed{k}x{at}"
+        texts.append(" ".join(w))
+    fps = [simhash.fingerprints_of(simhash.words_of(t.encode()), 5, 4) for t in texts]
+    s = [plain_shingles(t) for t in texts]
+    near = lambda a, b: any(((x ^ y) % (1 << 64)).bit_count() <= 8 for x, y in zip(fps[a], fps[b])) and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])
+    comp = components(range(160), [(a, b) for a in range(160) for b in range(a) if near(a, b)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(df, forests=1).collect()} == set(comp.values())
