@@ -143,3 +143,13 @@ def test_candidates_of_rays_grow_with_their_way(spark, radius):
     grid = [(145.0 + (i - n / 2) * step / k, -38.0 + (j - n / 2) * step / 111_320) for i in range(n) for j in range(n)]
     met = spatial.near_rays(ray, spark.createDataFrame(grid, "px double, py double"), "px", "py", 30.0, F.lit(True), 50.0).count()
     assert radius / step * 3 < met < radius / step * 16 < len(grid) / 8
+
+
+def test_rays_are_dealt_out_by_the_cells_that_they_cross(spark, monkeypatch):
+    """The margin is the points' matter: a ray of 400 m meets at most a row of cells, not a strip around it."""
+    k = 111_320 * math.cos(math.radians(38))
+    dealt, edge_cells = [], spatial.edge_cells
+    monkeypatch.setattr(spatial, "edge_cells", lambda *a, **b: dealt.append(edge_cells(*a, **b)) or dealt[-1])
+    ray = spark.createDataFrame([(145.0, -38.0, 145.0 + 400 / k, -38.0)], "x1 double, y1 double, x2 double, y2 double").withColumn("k", F.lit(k))
+    spatial.near_rays(ray, spark.createDataFrame([(145.0, -38.0)], "px double, py double"), "px", "py", 30.0, F.lit(True), 50.0)
+    assert dealt[0].count() <= 400 / 50 / math.cos(math.radians(38)) + 2
