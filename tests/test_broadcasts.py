@@ -15,3 +15,8 @@ def test_no_growing_table_is_broadcast(spark, name):
     # rail shapes, at most twenty, have their timetable broadcast
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "[shape_id" not in line]
     assert len(joins) <= BY_SHUFFLE[name], joins
+
+
+def test_walkability_broadcasts_nothing(spark):
+    plan = QUERIES["score_walkability"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
