@@ -1,8 +1,10 @@
 """A query's plan stays short: the driver holds it, and a description of it, for every step that ends."""
 
 import pytest
+from pyspark.sql import functions as F
 from siteline.plans import q_noise
 from siteline.queries import QUERIES
+from siteline.sources.views import view
 
 SF = "/root/testdata/sf0.001"
 #: Queries and the most characters of a plan. Before noise tables and scores were written on the way, ``score_noise`` had 2.7 million.
@@ -25,3 +27,9 @@ def test_noise_parts_are_written_when_asked_for_and_given_up(spark, tmp_path):
     assert not parts
     with pytest.raises(Exception, match="(?i)exist"):
         levels.count()
+
+
+@pytest.mark.parametrize("name", ["v_raster", "v_grid", "v_lattice"])
+def test_cells_of_boxes_are_made_in_many_tasks(spark, name):
+    made = view(spark, SF, name).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert made == 4  # the session's partitions; one before, as a few boxes went to one task

@@ -67,3 +67,9 @@ def test_scans_read_the_named_dataset_and_rows(world, spark, tmp_path_factory):
     got = {(r.row, r.col): r.value for r in raster.cells_of(some).collect()}
     assert {k: v for k, v in got.items() if k[0] < 150} == {k: v for k, v in cells.items() if k[0] >= 0}
     assert raster.landed(spark, path, "none").count() == 0
+
+
+def test_places_of_tiles_are_made_in_many_tasks(spark):
+    cells = spark.range(20).select((F.col("id") * raster.SIZE).cast("int").alias("row"), F.lit(0).alias("col"), F.lit(1.0).alias("value"))
+    plan = raster.tiles(cells)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # numbers that are asked for stay, others are made smaller as Spark sees fit
