@@ -32,6 +32,8 @@ OCCUPANCY, LIMIT = 16384, 65536
 FEW = 100_000
 EVEN = 0x5555555555555555
 _TILE = 1 << 18
+#: Bits of a set's sketch, a power of two, and pairs of sketches held against each other at a time.
+SKETCH, _PAIRS = 2048, 1 << 14
 
 
 def _signed(x: int) -> int:
@@ -256,11 +258,34 @@ def near_links(points: DataFrame, max_bits: int = 4, forests: int = 1, limit: in
     return _met(points, max_bits, forests, limit, False).select("u", "v").where("u <> v").distinct()
 
 
-def links_across(members: DataFrame, labels: DataFrame, max_bits: int, similarity: float) -> DataFrame:
-    """All near pairs (u, v), u > v, of points (key, node, fp) of one cell whose ``labels`` (node, label, size) differ.
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """Of each of ``SKETCH`` buckets whether an odd number of a set's 64-bit hashes falls into it.
 
-    Pairs whose sizes of sets rule out a Jaccard similarity of ``similarity`` are left out. A cell with one label takes no
-    further step, and pairs leave a tile at a time.
+    Two sketches differ in no more bits than their sets have elements that are not in both.
+    """
+    n = np.bincount((shingles.view(np.uint64) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH)
+    return np.packbits(n & 1).tobytes()
+
+
+def _may_be_similar(size: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (a, b) of row numbers those whose sizes and sketches leave a Jaccard similarity of ``similarity`` possible, and
+    in how many bits their sketches differ. A set's sketch is a row of ``sketch``."""
+    alike = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+    a, b = a[alike], b[alike]
+    differ = np.empty(len(a), dtype=np.int64)
+    for i in range(0, len(a), _PAIRS):
+        differ[i : i + _PAIRS] = np.bitwise_count(sketch[a[i : i + _PAIRS]] ^ sketch[b[i : i + _PAIRS]]).sum(axis=1)
+    # |a ^ b| <= (1 - s) / (1 + s) * (|a| + |b|) is the same as a similarity of s or more; one is for rounding
+    may = differ <= (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + 1
+    return np.stack([a[may], b[may]]), differ[may]
+
+
+def links_across(members: DataFrame, labels: DataFrame, max_bits: int, similarity: float, first: bool = False) -> DataFrame:
+    """All near pairs (u, v), u > v, of points (key, node, fp) of one cell whose ``labels`` (node, label, size, sketch) differ.
+
+    Pairs whose sizes or sketches of sets rule out a Jaccard similarity of ``similarity`` are left out in the cell. With
+    ``first`` only the pair of fewest different bits of sketches is returned for each two labels of a tile. A cell with one
+    label takes no further step, and pairs leave a tile at a time.
     """
     rows = members.join(labels, "node")
     parted = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
@@ -270,20 +295,25 @@ def links_across(members: DataFrame, labels: DataFrame, max_bits: int, similarit
             node, label, size = (t.column(c).to_numpy() for c in ("node", "label", "size"))
             fp = t.column("fp").to_numpy().view(np.uint64)
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                sketch = np.frombuffer(b"".join(t.column("sketch")[s:e].to_pylist()), dtype=np.uint64).reshape(e - s, -1)
                 # points of a label lie one after the other and meet all behind them
                 after = s + np.searchsorted(label[s:e], label[s:e], side="right")
                 i = s
-                while i < e and (first := int(after[i - s])) < e:
-                    last = min(first, i + max(1, _TILE // (e - first)))
-                    a, b = np.nonzero(np.bitwise_count(fp[i:last, None] ^ fp[None, first:e]) <= max_bits)
-                    a, b = a + i, b + first
-                    alike = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
-                    u, v = node[a[alike]], node[b[alike]]
+                while i < e and (behind := int(after[i - s])) < e:
+                    last = min(behind, i + max(1, _TILE // (e - behind)))
+                    a, b = np.nonzero(np.bitwise_count(fp[i:last, None] ^ fp[None, behind:e]) <= max_bits)
+                    (a, b), differ = _may_be_similar(size[s:e], sketch, a + i - s, b + behind - s, similarity)
+                    a, b = a + s, b + s
+                    if first and len(a):  # a tile has one label on its left side
+                        order = np.lexsort((differ, label[b]))
+                        order = order[np.flatnonzero(np.diff(label[b][order], prepend=-1))]
+                        a, b = a[order], b[order]
+                    u, v = node[a], node[b]
                     if len(u):
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
                     i = last
 
-    dealt = rows.join(parted, "key", "left_semi").repartition(partitions(rows), "key").sortWithinPartitions("key", "label").select("key", "node", "fp", "label", "size")
+    dealt = rows.join(parted, "key", "left_semi").repartition(partitions(rows), "key").sortWithinPartitions("key", "label").select("key", "node", "fp", "label", "size", "sketch")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
@@ -319,7 +349,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits:
     repeat doc_id and text count as one; those that repeat a doc_id with another text are documents of their own.
 
     Dense cells give ``forests`` spanning forests of candidates first. Once these are tested, all other candidates of such a
-    cell between two groups are tested too, so groups are those of all candidates.
+    cell between two groups are tested too, so groups are those of all candidates. Sketches of their sets, which never rule
+    out a similar pair, come before the sets, and the likeliest candidate of two groups comes before the others.
     """
     fps = cut(fingerprints(docs, words, variants))
     one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("at"))
@@ -330,18 +361,21 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(words_of(x.as_py()), words)).view(np.int64) for x in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(map(odd_sketch, sets), pa.binary())], names=["node", "shingles", "sketch"])
 
     ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     rows = keyed_rows(docs)
     wanted = texts.join(ends, "node").select("node", F.col("one.doc_id").alias("w_id"), F.col("one.at").alias("w_at"))
     same_row = lambda i, at: F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("at") == F.col(at))
     asked = rows.select("doc_id", "at", F.col("row.text").cast("string").alias("text")).join(wanted, same_row("w_id", "w_at"))
-    sets = cut(asked.dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>"))
+    sets = cut(asked.dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>, sketch binary"))
     found = connected_components(_similar(links, sets, similarity))
-    labels = sets.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label"), F.size("shingles").alias("size"))
-    across = cut(links_across(met.where("v is null").select("key", F.col("u").alias("node"), "fp"), labels, max_bits, similarity))
-    if not across.isEmpty():
+    members = met.where("v is null").select("key", F.col("u").alias("node"), "fp")
+    for first in (True, False):  # two groups that one pair links need no second
+        labels = sets.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label"), F.size("shingles").alias("size"), "sketch")
+        across = cut(links_across(members, labels, max_bits, similarity, first))
+        if across.isEmpty():
+            break
         found = connected_components(found.toDF("u", "v").unionByName(_similar(across, sets, similarity)))
     of = texts.join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("one").alias("one"))
     kept = of.select(F.col("one.doc_id").alias("k_id"), F.col("one.at").alias("k_at"))

@@ -611,3 +611,37 @@ def test_keep_one_tests_all_candidates_of_a_dense_cell(spark):
     comp = components(range(160), [(a, b) for a in range(160) for b in range(a) if near(a, b)])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(df, forests=1).collect()} == set(comp.values())
+
+
+def test_keep_one_looks_at_few_pairs_of_a_family_below_the_similarity(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 200)]
+    texts = []
+    for k in range(300):
+        w = list(base)
+        for at in rng.choice(200, 3, replace=False):
+            w[at] = f"changed{k}x{at}"
+        texts.append(" ".join(w))
+    looked, similar = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda links, *rest: looked.append(links.count()) or similar(links, *rest))
+    out = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forests=1)
+    kept = {r.doc_id for r in out.collect()}
+    assert sum(looked) < 20 * len(texts), looked  # 24,865 before, one for each candidate
+    fps = [simhash.fingerprints_of(simhash.words_of(t.encode()), 5, 4) for t in texts]
+    s = [plain_shingles(t) for t in texts]
+    within = [(a, b) for a in range(300) for b in range(a) if any(((x ^ y) % (1 << 64)).bit_count() <= 8 for x, y in zip(fps[a], fps[b]))]
+    comp = components(range(300), [(a, b) for a, b in within if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])])
+    assert kept == set(comp.values()) and len(within) > 20 * len(texts)
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(10)
+    x = rng.integers(-(2**63), 2**63, 4000)
+    sets = [np.unique(np.concatenate([x[:n], rng.integers(-(2**63), 2**63, k)])) for n in (1, 9, 100, 4000) for k in (0, 1, 9, 11, 100, 500)] * 2
+    sketch = np.frombuffer(b"".join(map(simhash.odd_sketch, sets)), dtype=np.uint64).reshape(len(sets), -1)
+    a, b = np.triu_indices(len(sets), 1)
+    (u, v), differ = simhash._may_be_similar(np.array(list(map(len, sets))), sketch, a, b, 0.8)
+    kept = set(zip(u.tolist(), v.tolist()))
+    pairs = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in zip(a.tolist(), b.tolist())}
+    assert {p for p, s in pairs.items() if s >= 0.8} <= kept and len(kept) < 0.5 * len(pairs)
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for i, j, d in zip(u.tolist(), v.tolist(), differ.tolist()))
