@@ -33,3 +33,10 @@ def test_noise_parts_are_written_when_asked_for_and_given_up(spark, tmp_path):
 def test_cells_of_boxes_are_made_in_many_tasks(spark, name):
     made = view(spark, SF, name).select(F.spark_partition_id().alias("p")).distinct().count()
     assert made == 4  # the session's partitions; one before, as a few boxes went to one task
+
+
+@pytest.mark.parametrize("name", ["join_within_roads", "sector_stats"])
+def test_distances_to_segments_are_worked_out_after_the_join(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "_cy#" in line and "xmin#" in line]
+    assert joins and not any("SQRT" in line.upper() or "LOG10" in line.upper() for line in joins), joins
