@@ -178,3 +178,38 @@ def _bounds(held: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.n
         new[1:] |= c[1:] != c[:-1]
     starts = np.flatnonzero(new)
     return t, starts, np.append(starts[1:], len(t))
+
+
+def search_blocks(vectors: DataFrame, asked: DataFrame, blocks: int, build: Callable[[np.ndarray, np.ndarray], object], search: Callable, schema: str) -> DataFrame:
+    """Blocks of vectors searched by the queries sent to them. vectors: (block, vec_id, v); asked: (block, vec_id, v, bound).
+
+    Each block's vectors (of one number of dimensions) come before its queries in one sorted partition, a row each: ``build`` (ids, matrix)
+    makes the index where it is used, and ``search`` (index, ids, matrix, bounds) answers some queries with arrays of the
+    schema's columns. So no row, batch or broadcast grows with the tables, and an index isn't copied for each query.
+    """
+    kind = asked.schema["bound"].dataType
+    rows = [vectors.select("block", F.size("v").alias("dim"), F.lit(0).alias("asks"), "vec_id", "v", F.lit(None).cast(kind).alias("bound")), asked.select("block", F.size("v").alias("dim"), F.lit(1).alias("asks"), "vec_id", "v", "bound")]
+    dealt = union_all(rows).repartition(max(partitions(vectors), blocks), "block", "dim").sortWithinPartitions("block", "dim", "asks", "vec_id")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, index = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [b.column(i).to_numpy() for i in range(3)]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for start, end in zip([0, *new], [*new, b.num_rows], strict=True):
+                part, (block, dim, asks) = b.slice(start, end - start), (int(k[start]) for k in keys)
+                if here != (block, dim):
+                    here, held, index = (block, dim), [], None
+                # copies: slices would keep the whole batch
+                ids, m = part.column(3).to_numpy().copy(), part.column(4).flatten().to_numpy().reshape(-1, dim).copy()
+                if not asks:
+                    held.append((ids, m))
+                elif held:
+                    if index is None:
+                        index = build(*map(np.concatenate, zip(*held, strict=True)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in search(index, ids, m, part.column(5).to_pylist())], names=names)
+
+    return dealt.mapInArrow(run, schema)

@@ -3,21 +3,17 @@
 Vectors are dealt into blocks; each block keeps, for each dimension, its vectors' numbers sorted by that component.
 For a query the lists are read from the end that its component's sign favours, deeper where the product at the current
 depth is larger; every vector met is scored. These products add up to a bound on what is not yet met, and reading stops
-as soon as the bound is below the k-th best score. Blocks of queries meet one block of vectors each first; the k-th best
-score there is taken along to the other blocks, in a join on the block's number, and the best of all are merged per query.
+as soon as the bound is below the k-th best score. Queries meet one block of vectors each first, some hundreds the same one; the
+k-th best score there is taken along to the other blocks, and the best of all are merged per query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteline.llm.common import cut
+from siteline.llm.common import cut, search_blocks
 
 BLOCK, QUERIES, START = 4096, 256, 16
 _LONG = (-(1 << 63), (1 << 63) - 1)
@@ -36,16 +32,9 @@ def scaled(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long"), v.alias("v"))
 
 
-def _packed(rows: DataFrame, block: str, sort: bool) -> DataFrame:
-    """One row per block and dimension count: ids and components as bytes, with sorted lists for candidates."""
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
-        m = np.array(pdf["v"].tolist(), dtype=np.float64)
-        lists = np.argsort(-m, axis=0, kind="stable").T.astype(np.int32).tobytes() if sort else b""
-        return pd.DataFrame({"block": [key[0]], "dim": [m.shape[1]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()], "lists": [lists]})
-
-    return rows.groupBy(block, F.size("v").alias("dim")).applyInPandas(pack, "block long, dim int, ids binary, m binary, lists binary")
+def sorted_lists(m: np.ndarray) -> np.ndarray:
+    """For each dimension the numbers of the rows, in descending order of that component."""
+    return np.argsort(-m, axis=0, kind="stable").T.astype(np.int32)
 
 
 def _scores(m: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
@@ -99,39 +88,25 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     rows = cut(scaled(vectors))
     n = rows.count()
     blocks, q_blocks = 1 + n // BLOCK, 1 + n // (every * QUERIES)
-    deal_of = lambda x, b: F.pmod(F.xxhash64(x, F.lit("block")), F.lit(b)).cast("long")
-    deal = lambda b: deal_of(F.col("vec_id"), b)
-    index = _packed(rows.withColumn("block", deal(blocks)), "block", True)
-    asked = cut(_packed(rows.where(F.col("vec_id") % every == 0).withColumn("block", deal(q_blocks)), "block", False))
-    home = asked.select(F.pmod(F.xxhash64("block"), F.lit(blocks)).cast("long").alias("block"), F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for r in b.to_pylist():
-                d = r["dim"]
-                ids, m = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["m"], dtype=np.float64).reshape(-1, d)
-                lists = np.frombuffer(r["lists"], dtype=np.int32).reshape(d, -1)
-                q_ids, q_m = np.frombuffer(r["q_ids"], dtype=np.int64), np.frombuffer(r["q_m"], dtype=np.float64).reshape(-1, d)
-                floors = dict(zip(r["f_ids"] or (), r["floors"] or (), strict=True))
-                for i, q in zip(q_ids, q_m, strict=True):
-                    found, score, _ = threshold_top_k(ids, m, lists, int(i), q, k, floors.get(int(i), _LONG[0]))
-                    out.append((np.full(len(found), i), found, score))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+    deal = lambda b: F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(b)).cast("long")
+    index = rows.withColumn("block", deal(blocks))
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("home", F.pmod(F.xxhash64(deal(q_blocks)), F.lit(blocks)).cast("long"))
+
+    def search(block: tuple[np.ndarray, np.ndarray, np.ndarray], q_ids: np.ndarray, q_m: np.ndarray, floors: list[int | None]) -> list[np.ndarray]:
+        out = [threshold_top_k(*block, int(i), q, k, _LONG[0] if f is None else f)[:2] for i, q, f in zip(q_ids, q_m, floors, strict=True)]
+        found, score = map(np.concatenate, zip(*out, strict=True))
+        return [np.repeat(q_ids, [len(x) for x, _ in out]), found, score]
 
     def searched(asked: DataFrame) -> DataFrame:
-        pairs = index.join(asked, ["block", "dim"]).select("dim", "ids", "m", "lists", "q_ids", "q_m", "f_ids", "floors")
-        return pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+        return search_blocks(index, asked, blocks, lambda ids, m: (ids, m, sorted_lists(m)), search, "query_id long, vec_id long, score long")
 
-    none = F.lit(None).cast("array<long>")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    found = searched(home.withColumn("f_ids", none).withColumn("floors", none))
+    found = searched(asked.select(F.col("home").alias("block"), "vec_id", "v", F.lit(None).cast("long").alias("bound")))
     if blocks > 1:
         found = cut(found)
-        # rows that repeat a query's vec_id have queries of their own: the least of their k-th scores holds for all
-        kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
-        of = kth.withColumn("q_block", deal_of(F.col("query_id"), q_blocks)).groupBy("q_block").agg(F.collect_list("query_id").alias("f_ids"), F.collect_list("kth").alias("floors"))
-        others = home.withColumnRenamed("block", "home").join(of, "q_block", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).where("block <> home")
+        # rows that repeat a query's vec_id have queries of their own: the least of their scores holds for all
+        kth = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("bound")).where(F.col("n") == k).drop("n")
+        every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        others = asked.join(kth.hint("merge"), "vec_id", "left").withColumn("block", every_block).where("block <> home")
         found = found.unionByName(searched(others))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
