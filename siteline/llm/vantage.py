@@ -3,27 +3,22 @@
 A shard holds some thousands of vectors, dealt evenly. Each node of its tree has a vantage point and splits its vectors at
 their median distance from it. By the triangle inequality a query at distance d from the vantage point is at least
 d - hi or lo - d away from vectors at distances lo to hi; a side is left out once that bound, multiplied by ``relax``, exceeds
-the k-th best distance so far. At 1 the search is exact; larger factors leave out more. Blocks of queries meet one shard
-each first; the k-th distance found there bounds their search of all other shards.
+the k-th best distance so far. At 1 the search is exact; larger factors leave out more. Queries meet one shard each
+first, a thousand the same one; the k-th distance found there bounds their search of all other shards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteline.llm.common import cut
+from siteline.llm.common import cut, search_blocks
 
-#: Vectors of a shard, queries of a block, and vectors of a leaf, all on average.
+#: Vectors of a shard, queries that share their first shard, and vectors of a leaf, all on average.
 SHARD, QUERIES, LEAF = 4096, 1024, 128
 #: Rounding of distances, in parts of their size.
 SLACK = 1e-12
-_FOUND = "q_block long, query_id long, vec_id long, score double"
 
 
 def distances(m: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -128,59 +123,6 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    return pdf["vec_id"].to_numpy(np.int64), np.array(pdf["v"].tolist(), dtype=np.float64)
-
-
-def shards(rows: DataFrame, count: int, leaf: int = LEAF) -> DataFrame:
-    """The index: a row for each shard and number of dimensions, with its tree as bytes. ``rows`` has (vec_id, v, dealt);
-    dealt, a number of the row, deals them out evenly, whatever repeats."""
-
-    def plant(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"shard": key[0], "dim": key[1], **Tree.build(*_matrix(pdf), leaf).packed()}])
-
-    fields = ", ".join(f"{k} binary" for k in Tree.PARTS)
-    return rows.groupBy(F.pmod(F.xxhash64("dealt"), F.lit(count)).cast("long").alias("shard"), F.size("v").alias("dim")).applyInPandas(plant, f"shard long, dim int, {fields}")
-
-
-def _blocks(rows: DataFrame, count: int) -> DataFrame:
-    """Queries in blocks: (q_block, dim, q_ids, q_m), a row for each block and number of dimensions."""
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, m = _matrix(pdf)
-        return pd.DataFrame([{"q_block": key[0], "dim": key[1], "q_ids": ids.tobytes(), "q_m": m.tobytes()}])
-
-    return rows.groupBy(F.pmod(F.xxhash64("dealt"), F.lit(count)).cast("long").alias("q_block"), F.size("v").alias("dim")).applyInPandas(pack, "q_block long, dim int, q_ids binary, q_m binary")
-
-
-def _searched(index: DataFrame, asked: DataFrame, k: int, relax: float) -> DataFrame:
-    """The k nearest in each shard for each query of the blocks sent to it (shard, q_block, dim, q_ids, q_m, bounds), at most
-    k for each query_id, q_block and shard."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tree = None, None
-        for r in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
-            if held != (r["shard"], r["dim"]):  # rows of one shard follow each other
-                held, tree = (r["shard"], r["dim"]), Tree.unpacked(r)
-            ids, bounds = np.frombuffer(r["q_ids"], dtype=np.int64), dict(r["bounds"] or {})
-            found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for i, q in zip(ids.tolist(), np.frombuffer(r["q_m"], dtype=np.float64).reshape(len(ids), -1), strict=True):
-                near, d, _ = tree.search(i, q, k, relax, bounds.get(i, np.inf))
-                if i in found:  # rows that repeat a query's id ask together
-                    near, d = np.concatenate((found[i][0], near)), np.concatenate((found[i][1], d))
-                    order = np.lexsort((near, d))[:k]
-                    near, d = near[order], d[order]
-                found[i] = near, d
-            sizes = [len(x) for x, _ in found.values()]
-            columns = (np.full(sum(sizes), r["q_block"]), np.repeat(list(found), sizes), np.concatenate([x for x, _ in found.values()]), np.concatenate([d for _, d in found.values()]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["q_block", "query_id", "vec_id", "score"])
-
-    pairs = index.join(asked, ["shard", "dim"]).select("shard", "dim", *Tree.PARTS, "q_block", "q_ids", "q_m", "bounds")
-    return pairs.mapInArrow(search, _FOUND)
-
-
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, relax: float = 1.0, leaf: int = LEAF, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of all vectors for each query, a row whose vec_id ``every`` divides.
 
@@ -191,22 +133,27 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, relax: float = 1.
     """
     if relax < 1:
         raise ValueError("relax must be 1 or more")
-    rows = cut(usable(vectors)).withColumn("dealt", F.monotonically_increasing_id())
+    rows = cut(usable(vectors)).withColumn("dealt", F.monotonically_increasing_id())  # deals rows out evenly, whatever repeats
     n, asking = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     count, q_count = 1 + n // shard, 1 + asking // QUERIES
-    index = shards(rows, count, leaf)
-    if count > 1:
-        index = cut(index)
-    asked = cut(_blocks(rows.where(F.col("vec_id") % every == 0), q_count))
-    home = F.pmod(F.xxhash64("q_block"), F.lit(count)).cast("long")
-    first = asked.withColumn("shard", home).withColumn("bounds", F.lit(None).cast("map<long,double>"))
-    found = _searched(index, first, k, relax)
+    deal = lambda b: F.pmod(F.xxhash64("dealt"), F.lit(b)).cast("long")
+    index = rows.withColumn("block", deal(count))
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("home", F.pmod(F.xxhash64(deal(q_count)), F.lit(count)).cast("long"))
+
+    def search(tree: Tree, q_ids: np.ndarray, q_m: np.ndarray, bounds: list[float | None]) -> list[np.ndarray]:
+        out = [tree.search(i, q, k, relax, np.inf if x is None else x)[:2] for i, q, x in zip(q_ids.tolist(), q_m, bounds, strict=True)]
+        near, d = map(np.concatenate, zip(*out, strict=True))
+        return [np.repeat(q_ids, [len(x) for x, _ in out]), near, d]
+
+    def searched(asked: DataFrame) -> DataFrame:
+        return search_blocks(index, asked, count, lambda ids, m: Tree.build(ids, m, leaf), search, "query_id long, vec_id long, score double")
+
+    found = searched(asked.select(F.col("home").alias("block"), "vec_id", "v", F.lit(None).cast("double").alias("bound")))
     if count > 1:
         found = cut(found)
-        kth = found.groupBy("q_block", "query_id").agg(F.count("*").alias("n"), F.max("score").alias("kth")).where(F.col("n") >= k)
-        bounds = kth.groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("bounds"))
+        kth = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.max("score").alias("bound")).where(F.col("n") >= k).drop("n")
         every_shard = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-        others = asked.join(bounds, "q_block", "left").withColumn("shard", every_shard).where(F.col("shard") != home)
-        found = found.unionByName(_searched(index, others, k, relax))
+        others = asked.join(kth.hint("merge"), "vec_id", "left").withColumn("block", every_shard).where("block <> home")
+        found = found.unionByName(searched(others))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,7 @@ import pytest
 from siteline.llm import topk, vantage
 
 
-@pytest.mark.parametrize("search", [topk.top_k])
+@pytest.mark.parametrize("search", [topk.top_k, vantage.nearest])
 def test_searches_broadcast_nothing(spark, monkeypatch, search):
     """Spark takes vectors for far fewer bytes than they are where the file is small, as with many copies, and sent the whole
     index through the driver: at 615,360 vectors in 11 MB both searches failed."""
